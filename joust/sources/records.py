@@ -1,0 +1,138 @@
+"""The record store and the files of batch providers."""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import cell_key, flag
+from ..schemas import FIELDS, RECORD
+
+
+def record_key() -> Column:
+    """Identity of a record, of the fields that name its cell."""
+    c = F.col
+    return cell_key(c("module"), c("model_id"), c("scale_id"), c("item_id"), c("framing"), c("referent"), c("reasoning_mode"), c("paraphrase_id"), c("trial_idx"), c("welfare_qvar"), c("welfare_object"), c("welfare_subject"), flag(c("no_preference_offered")), F.concat_ws("~", "entity_a", "entity_b"))
+
+
+def defaulted(df: DataFrame) -> DataFrame:
+    for name, _, default in FIELDS:
+        if default is not None:
+            df = df.withColumn(name, F.coalesce(name, F.lit(default)))
+    return df
+
+
+def read_records(spark: SparkSession, paths: str | list[str], module: str | None = None, strict: bool = True) -> DataFrame:
+    """JSON lines. Unknown fields are dropped and missing ones take their defaults. strict: a malformed line fails the
+    read; else it is skipped, as is a row without a model."""
+    if strict:
+        x = spark.read.schema(RECORD).option("mode", "FAILFAST").json(paths)
+    else:
+        x = spark.read.schema(T.StructType([*RECORD.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(paths)
+        x = x.where("_corrupt_record is null and model_id is not null").drop("_corrupt_record")
+    x = defaulted(x)
+    return x.where(F.col("module") == module) if module else x
+
+
+def ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records with seq, their order: by the place of the path in the list, then by the line's place in its file."""
+    parts = [read_records(spark, p).withColumn("__path", F.lit(i)).withColumn("__block", F.col("_metadata.file_block_start")).withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.monotonically_increasing_id()) for i, p in enumerate(paths)]
+    x = functools.reduce(DataFrame.unionByName, parts)
+    return x.withColumn("seq", F.struct("__path", "__file", "__block", "__row")).drop("__path", "__file", "__block", "__row")
+
+
+def is_error(notes: Column) -> Column:
+    return F.coalesce(notes.startswith("error:"), F.lit(False))
+
+
+def deduplicated(df: DataFrame, key: list[str], seq: str = "seq", notes: str = "notes") -> DataFrame:
+    """The first row of a key that is no error, else its first error. min_by keeps it a partial aggregate."""
+    row = F.struct(*df.columns)
+    x = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.min_by(row, F.struct(is_error(F.col(notes)), F.col(seq))).alias("row"))
+    return x.select("row.*")
+
+
+def done_keys(df: DataFrame, key: Column, retry_errors: bool = True) -> DataFrame:
+    x = df.where(~is_error(F.col("notes"))) if retry_errors else df
+    return x.select(key.alias("cell_key")).distinct()
+
+
+def pending(cells: DataFrame, done: DataFrame) -> DataFrame:
+    return cells.join(done.select("cell_key"), "cell_key", "left_anti")
+
+
+def capped(cells: DataFrame, limit: int, order: list[str]) -> DataFrame:
+    """At most so many cells a model, the first in design order: a feature of trial runs."""
+    return cells.withColumn("__n", F.row_number().over(Window.partitionBy("model").orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
+
+
+RESULT = "custom_id string, error variant, result struct<type string, error struct<message string>, message struct<stop_reason string, content array<struct<type string, text string>>>>, response struct<status_code int, body struct<choices array<struct<message struct<content string, refusal string>, finish_reason string>>>>"
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """value (a JSON line of either provider) -> custom_id, text, error, refused. Any other shape is an error."""
+    r = F.from_json("value", RESULT.replace("error variant", "error string", 1))
+    x = lines.withColumn("r", r)
+    first = F.get(F.col("r.response.body.choices"), 0)
+    text1 = F.array_join(F.transform(F.filter("r.result.message.content", lambda c: c["type"] == "text"), lambda c: c["text"]), "")
+    err1 = F.when(F.col("r.result.type") != "succeeded", F.coalesce("r.result.error.message", "r.result.type"))
+    err2 = F.coalesce("r.error", F.when(F.col("r.response.status_code") != 200, F.concat(F.lit("status "), F.col("r.response.status_code"))))
+    shape = F.when(F.col("r.result").isNotNull(), 1).when(F.col("r.response").isNotNull() | F.col("r.error").isNotNull(), 2)
+    x = x.withColumn("shape", F.when(shape.isNotNull(), shape).otherwise(F.raise_error(F.concat(F.lit("unknown result shape: "), F.substring("value", 1, 200))).cast("int")))
+    one = F.col("shape") == 1
+    refused = F.when(one, F.coalesce(F.col("r.result.message.stop_reason") == "refusal", F.lit(False))).otherwise(F.coalesce(first["message"]["refusal"].isNotNull() | (first["finish_reason"] == "content_filter"), F.lit(False)))
+    return x.select(F.col("r.custom_id").alias("custom_id"), F.when(one, text1).otherwise(F.coalesce(first["message"]["content"], first["message"]["refusal"])).alias("text"), F.when(one, err1).otherwise(err2).alias("error"), refused.alias("refused"))
+
+
+def collected(results: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of results that belong to a cell, and the tally of those that do not."""
+    known = results.join(cells, F.col("custom_id") == F.col("cell_key"))
+    stray = results.join(cells, F.col("custom_id") == F.col("cell_key"), "left_anti").agg(F.count("*").alias("unmatched"))
+    return known, stray
+
+
+def requests(cells: DataFrame, style: str, max_tokens: int = 16) -> DataFrame:
+    """cell_key, line: a provider request as JSON for each rendered cell."""
+    user = F.concat_ws("\n", "question", "options")
+    message = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")))
+    body = F.struct(F.col("model"), F.lit(max_tokens).alias("max_tokens"), message.alias("messages"))
+    if style == "params":
+        row = F.struct(F.col("cell_key").alias("custom_id"), body.alias("params"))
+    else:
+        row = F.struct(F.col("cell_key").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
+    return cells.select("model", "cell_key", F.to_json(row).alias("line"))
+
+
+def sharded(lines: DataFrame, max_requests: int, max_bytes: int) -> DataFrame:
+    """model, shard, cell_key, line: packed in key order, a new shard where either cap would break. Packing is
+    sequential, so a model's sorted lines stream through one task; no more than one batch is held."""
+    import pandas as pd
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, shard, n, size = None, 0, 0, 0
+        for pdf in batches:
+            at = []
+            for model, line in zip(pdf.model, pdf.line):
+                own = len(line.encode()) + 1
+                if model != now:
+                    now, shard, n, size = model, 0, 0, 0
+                elif n + 1 > max_requests or size + own > max_bytes:
+                    shard, n, size = shard + 1, 0, 0
+                n, size = n + 1, size + own
+                at.append(shard)
+            yield pdf.assign(shard=at)[["model", "shard", "cell_key", "line"]]
+
+    return lines.repartition("model").sortWithinPartitions("model", "cell_key").mapInPandas(pack, "model string, shard int, cell_key string, line string")
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One file with a header: for report tables, which are small."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
