@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, order, quality, simhash, suffixes, urls
+from . import chat, decontam, html, mixing, neighbours, order, quality, simhash, suffixes, urls
 
 QUERIES = {
     "op1_training_order": order.op1_training_order,
     "op2_line_field": quality.op2_line_field,
     "op3_url_boosting": urls.op3_url_boosting,
+    "op4_multi_index": neighbours.op4_multi_index,
     "op5_suffix_intervals": suffixes.op5_suffix_intervals,
     "op6_systematic_mixing": mixing.op6_systematic_mixing,
+    "op7_template_classes": html.op7_template_classes,
     "op8_chat_round_trip": chat.op8_chat_round_trip,
     "op9_simhash_variants": simhash.op9_simhash_variants,
     "op10_template_windows": decontam.op10_template_windows,
