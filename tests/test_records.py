@@ -1,0 +1,143 @@
+"""Parsing, design and the record store."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from joust.functions import text as T
+from joust.operators import design as G
+from joust.operators.choices import from_records
+from joust.sources import records as S
+from joust.streaming import ingest
+
+LETTER = [("A", 3, 1), ("B", 3, 2), ("C", 3, 3), (" b ", 3, 2), ("**C**", 3, 3), ("B.", 3, 2), ("ANSWER: C", 3, 3), ("B: recognition of good qualities", 3, 2), ("I would choose B.", 3, 2), ("C", 2, None), ("As an AI, I decline to answer that.", 3, None), (None, 3, None)]
+
+
+def test_letters(spark):
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(LETTER)], "i int, raw string, n int").withColumn("x", T.letter_answer(F.col("raw"), F.col("n"))).orderBy("i").collect()
+    assert [r.x.position for r in df] == [r[2] for r in LETTER]
+    assert [r.x.parse_failed for r in df] == [r[2] is None for r in LETTER]
+    assert [bool(r.x.refusal) for r in df][-3:] == [False, True, True]
+
+
+def test_numbers_and_thoughts(spark):
+    rows = [("ANSWER: 5", 5.0), ("4", 4.0), ('{"response": 3}', 3.0), ("I think 9 or maybe 6", 6.0), ("none", None), (None, None)]
+    got = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, raw string").withColumn("x", T.number_answer(F.col("raw"), 1, 7)).orderBy("i").collect()
+    assert [r.x.rating for r in got] == [v for _, v in rows]
+    r = spark.createDataFrame([("<THINK>a\nb</think>\n 7 ",)], "raw string").select(T.without_thoughts(F.col("raw")).alias("x")).first().x
+    assert (r.text, r.leaked) == ("7", True)
+
+
+def test_hashes_equal_hashlib(spark):
+    import hashlib
+
+    r = spark.range(1).select(T.prompt_hash(F.lit("s"), F.lit("u")).alias("h"), T.cell_seed(7, F.lit("x"), F.lit("y")).alias("s"), T.cell_key(F.lit("x"), F.lit(None), F.lit(3)).alias("k")).first()
+    assert r.h == hashlib.sha256(b"s\0u").hexdigest()[:16]
+    assert r.s == 7 + int(hashlib.sha256(b"x|y").hexdigest(), 16) % 100000
+    assert r.k == hashlib.sha1(b"x||3").hexdigest()[:20]
+
+
+def test_grid_is_unique_and_balanced(spark):
+    cells = G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(G.spec_entities(spark, 32))))
+    assert cells.count() == 31_744 == cells.select("cell_key").distinct().count()
+    per = cells.groupBy("no_pref_offered", "option_order").count().collect()
+    assert {(r.no_pref_offered, r["count"]) for r in per} == {(True, 3968), (False, 3968)} and len(per) == 8
+
+
+def test_rendered_letters_follow_the_printed_order(spark):
+    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), spark.createDataFrame([("x", "y")], "a string, b string"))))
+    for r in cells.collect():
+        first = r.options.split("\n")[0].removeprefix("A. ")
+        assert r.letter_map["A"] == ("no_preference" if first == G.NEITHER else first)
+    shares = G.mock_shares(cells, F.lit("s"), F.col("options")).collect()
+    assert all(sum(r.shares) == pytest.approx(1) for r in shares)
+
+
+def test_sampled_pairs_are_balanced():
+    pairs = G.sample_pairs([f"E{i}" for i in range(10)], 15, 1)
+    degree = {}
+    for a, b in pairs:
+        degree[a] = degree.get(a, 0) + 1
+        degree[b] = degree.get(b, 0) + 1
+    assert len(set(pairs)) == 15 and max(degree.values()) - min(degree.values()) <= 2
+
+
+def line(**over):
+    return {"record_id": "r", "model_id": "M", "scale_id": "s", "item_id": "i", "trial_idx": 0, "notes": "", "module": "welfare", "welfare_probe": "choice", "welfare_qvar": "increase", "welfare_object": "self", "welfare_subject": "self", "entity_a": "x", "entity_b": "y", "no_preference_offered": True, "welfare_options": {"A": "y", "B": "x", "C": "no_preference"}, "welfare_choice": "x", "refusal_flag": False} | over
+
+
+def write(path, rows, tail=""):
+    path.write_text("".join(json.dumps(r) + "\n" for r in rows) + tail)
+    return str(path)
+
+
+def test_reads_drop_unknown_fields_and_default_missing_ones(spark, tmp_path):
+    rows = [line(extra=1), {k: v for k, v in line(trial_idx=1).items() if k != "module"}]
+    p = write(tmp_path / "a.jsonl", rows, '{"model_id": "M", "tri')
+    got = S.read_records(spark, p, strict=False)
+    assert got.count() == 2 and {r.module for r in got.collect()} == {"welfare", "battery"}
+    with pytest.raises(Exception):
+        S.read_records(spark, p).count()
+    r = from_records(got.where("module = 'welfare'")).first()
+    assert (r.pos_a, r.pos_b, r.pos_none, r.chosen_position, r.answered) == (2, 1, 3, 2, True)
+
+
+def test_a_foreign_choice_is_answered_without_position(spark, tmp_path):
+    r = from_records(S.read_records(spark, write(tmp_path / "a.jsonl", [line(welfare_choice="z")]))).first()
+    assert r.answered and r.chosen_position is None and not r.chose_a
+
+
+@pytest.mark.parametrize("notes,kept", [(["error: timeout", ""], 1), (["", "error: late"], 0), (["", ""], 0), (["error: a", "error: b"], 0)])
+def test_dedup_takes_the_first_good_row(spark, tmp_path, notes, kept):
+    a = write(tmp_path / "b.jsonl", [line(record_id="0", notes=notes[0])])
+    b = write(tmp_path / "a.jsonl", [line(record_id="1", notes=notes[1])])
+    got = S.deduplicated(S.ordered(spark, [a, b]).withColumn("key", S.record_key()), ["key"]).collect()
+    assert [r.record_id for r in got] == [str(kept)]
+
+
+def test_resume(spark):
+    rows = spark.createDataFrame([("k1", ""), ("k2", "error: x"), ("k2", "error: y")], "cell_key string, notes string")
+    cells = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "cell_key string")
+    assert {r[0] for r in S.pending(cells, S.done_keys(rows, F.col("cell_key"))).collect()} == {"k2", "k3"}
+    assert {r[0] for r in S.pending(cells, S.done_keys(rows, F.col("cell_key"), False)).collect()} == {"k3"}
+
+
+RESULTS = [
+    ({"custom_id": "k1", "result": {"type": "succeeded", "message": {"stop_reason": "end_turn", "content": [{"type": "text", "text": "A"}]}}}, ("A", None, False)),
+    ({"custom_id": "k2", "result": {"type": "errored", "error": {"message": "late"}}}, (None, "late", False)),
+    ({"custom_id": "k3", "result": {"type": "succeeded", "message": {"stop_reason": "refusal", "content": []}}}, ("", None, True)),
+    ({"custom_id": "k4", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "B"}, "finish_reason": "stop"}]}}}, ("B", None, False)),
+    ({"custom_id": "k5", "response": {"status_code": 429, "body": {}}}, (None, "status 429", False)),
+    ({"custom_id": "k9", "response": {"status_code": 200, "body": {"choices": [{"message": {"refusal": "no"}, "finish_reason": "stop"}]}}}, ("no", None, True)),
+]
+
+
+def test_both_result_shapes(spark):
+    lines = spark.createDataFrame([(json.dumps(r),) for r, _ in RESULTS], "value string")
+    got = {r.custom_id: (r.text, r.error, r.refused) for r in S.decoded(lines).collect()}
+    for r, want in RESULTS:
+        assert got[r["custom_id"]][1:] == want[1:] and (got[r["custom_id"]][0] or None) == (want[0] or None)
+    cells = spark.createDataFrame([(f"k{i}",) for i in range(1, 6)], "cell_key string")
+    known, stray = S.collected(S.decoded(lines), cells)
+    assert known.count() == 5 and stray.first().unmatched == 1
+    with pytest.raises(Exception, match="unknown result shape"):
+        S.decoded(spark.createDataFrame([('{"custom_id": "x", "other": 1}',)], "value string")).collect()
+
+
+def test_shards_respect_both_caps(spark):
+    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",), ("N",)], "model string"), G.all_pairs(G.spec_entities(spark, 5)))))
+    got = S.sharded(S.requests(cells, "params"), 100, 20_000).groupBy("model", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("b")).collect()
+    assert all(r.n <= 100 and r.b <= 20_000 for r in got) and sum(r.n for r in got) == cells.count()
+
+
+def test_streamed_merge_lets_a_success_replace_an_error(spark, tmp_path):
+    src, store = tmp_path / "in", tmp_path / "store"
+    src.mkdir()
+    write(src / "1.json", [line(record_id="0", notes="error: x")])
+    for k in range(2):
+        if k:
+            write(src / "2.json", [line(record_id="1")])
+        q = ingest.records(spark, str(src)).withColumn("key", S.record_key()).writeStream.foreachBatch(ingest.merge_into(str(store), ["key"])).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [r.record_id for r in ingest.latest(spark, str(store), ["key"]).collect()] == ["1"]
