@@ -1,0 +1,131 @@
+"""Dimension files, reports and administration."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from joust.operators import administer as A
+from joust.operators import choices as C
+from joust.operators import design as G
+from joust.schemas import OTHER
+from joust.sources import banks, reports
+from joust.sources import records as S
+
+
+def bank(tmp_path, count=2):
+    items = [{"item_id": "i1", "source_item_number": 1, "text": "one", "reverse_scored": True}, {"item_id": "i2", "text": "two", "subscale_id": "sub", "ai_applicable": "strained"}]
+    doc = {"item_count": count, "scales": [{"scale_id": "s", "scale_name": "S", "items": items, "response_scale": {"min": 1, "max": 4}, "scoring": {"reverse_formula": "5 - response"}}]}
+    (tmp_path / "bank.json").write_text(json.dumps(doc))
+    return str(tmp_path / "bank.json")
+
+
+def test_item_bank(spark, tmp_path):
+    items = banks.item_bank(spark, bank(tmp_path))
+    assert {r.item_id for r in banks.strained(items).collect()} == {"i2"}
+    with pytest.raises(ValueError, match="declares"):
+        banks.item_bank(spark, bank(tmp_path, 3))
+    v = items.select(banks.reverse_keyed(F.lit(2.0), F.col("reverse_formula"), F.col("lowest"), F.col("highest")).alias("a"), banks.reverse_keyed(F.lit(2.0), F.lit(None), F.col("lowest"), F.col("highest")).alias("b")).first()
+    assert (v.a, v.b) == (3.0, 3.0)
+
+
+def test_attributes_cover_items(spark, tmp_path):
+    items = banks.item_bank(spark, bank(tmp_path))
+    (tmp_path / "a.json").write_text(json.dumps({"attributes": {"i1": {"text": "x"}, "i2": {"text": "y", "polarity": -1}}}))
+    assert {(r.entity, r.construct) for r in banks.attributes(spark, str(tmp_path / "a.json"), items).collect()} == {("i1", "s"), ("i2", "s:sub")}
+    (tmp_path / "a.json").write_text(json.dumps({"attributes": {"i1": {"text": "x"}, "i3": {"text": "y"}}}))
+    with pytest.raises(ValueError, match="i3"):
+        banks.attributes(spark, str(tmp_path / "a.json"), items)
+
+
+REGISTRY = """
+defaults: {temperature: 0.5, quantization: {gguf: {quant: Q4}}}
+reasoning_by_family: {f: {control: tag, thinks_by_default: true}}
+models:
+  - {alias: B, family: f, release_date: "2024-02-01", ref: org/x-GGUF, quantization: {format: gguf}, params_total_b: 8}
+  - {alias: A, family: f, release_date: 2024-01-01, ref: org/y, temperature: 0.1, reasoning: {control: none}}
+  - {alias: C, family: gpt, release_date: "2024-03-01", ref: name, role: anchor}
+"""
+
+
+def test_registry(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "m.yaml").write_text(REGISTRY)
+    m = banks.registry(spark, str(tmp_path / "m.yaml"))
+    got = {r.model: r for r in m.collect()}
+    assert [got[k].backend for k in "ABC"] == ["hf", "llamacpp", "openai"] and got["B"].quant == "Q4"
+    assert (got["A"].temperature, got["B"].temperature, got["A"].reasoning_control, got["A"].thinks_by_default) == (0.1, 0.5, "none", True)
+    assert [r.model for r in banks.selected(m).collect()] == ["A", "B"] and [r.model for r in banks.timeline(m).collect()] == ["A", "B", "C"]
+    assert [r.model for r in banks.quant_variants(m, "B", ["Q4", "Q8"]).collect()] == ["B@Q4", "B@Q8"]
+    with pytest.raises(ValueError):
+        banks.registry_rows({"models": [{"alias": "A", "ref": "x", "release_date": "2024-01-01"}] * 2})
+
+
+def test_names(spark):
+    r = spark.range(1).select(reports.item_case(F.lit("the model's ai-like AIM of ai")).alias("t"), reports.ellipsis(F.lit("abcdef"), 4).alias("e"), banks.quant_tag(F.lit("m-UD-Q4_K_M-00001-of-00002.gguf")).alias("q"), banks.shard_index(F.lit("m-Q4-00001-of-00002.gguf")).alias("s"), banks.safe_name(F.lit("/a b/")).alias("n")).first()
+    assert tuple(r) == ("The Model's AI-Like Aim Of AI", "abc…", "UD-Q4_K_M", 1, "a_b")
+
+
+def test_reports(spark, tmp_path):
+    s = reports.Saver(str(tmp_path / "out"))
+    df = spark.createDataFrame([("M", "x", 0.25), ("N", "x", 0.75)], "model string, entity string, win_rate double")
+    back = reports.read_table(spark, s.csv(df, "t.csv", "a table")).select(reports.number(F.col("win_rate")).alias("v"), reports.number(F.col("model")).alias("t")).collect()
+    assert {r.v for r in back} == {0.25, 0.75} and {r.t for r in back} == {None}
+    assert "t.csv" in open(s.index()).read() and reports.json_safe({"a": float("nan"), "b": [1.23456789]}) == {"a": None, "b": [1.234568]}
+    data = reports.payload(df, {"k": 1})
+    page = reports.built_page("<script>const DATA = /*DATA*/;</script>", data)
+    assert reports.page_data(page)["entities"][0]["by_model"] == {"M": 0.25, "N": 0.75}
+    with pytest.raises(Exception, match="disagree"):
+        reports.scores_checked(df, df.withColumn("win_rate", F.col("win_rate") + 0.01)).collect()
+    assert {(r.bin, r.n) for r in reports.histogram(df, "win_rate", [], 20).collect()} == {(5, 1), (15, 1)}
+    line = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0)], "x double, y double")
+    assert tuple(reports.fitted_line(line, "x", "y", []).first()) == (2.0, 1.0)
+    reports.write_status(str(tmp_path / "s.json"), done=1)
+    assert reports.read_status(str(tmp_path / "s.json"))["done"] == 1 and reports.read_status(str(tmp_path / "none")) is None
+
+
+def cells(spark):
+    return G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(G.spec_entities(spark, 3)))))
+
+
+@A.responder("flaky")
+def flaky():
+    def answer(prompts):
+        if any("C. E00" in p for p in prompts):
+            raise RuntimeError("overload")
+        return ["ANSWER: B"] * len(prompts)
+
+    return answer
+
+
+def test_administration_resumes_and_keeps_errors_as_rows(spark):
+    x = cells(spark)
+    full = A.run(x, None)
+    assert full.count() == x.count() and full.where("choice = ''").count() == 0
+    rows = A.run(x, None, "flaky").cache()
+    t = A.tallies(rows).first()
+    assert t.written == x.count() and 0 < t.errors < t.written
+    assert A.run(x, rows).count() == t.errors
+    good = rows.where("notes = ''")
+    assert good.where("choice <> element_at(letter_map, 'B')").count() == 0
+
+
+def test_request_files(spark, tmp_path):
+    lines = S.requests(cells(spark), "params")
+    reports.to_body(lines, str(tmp_path / "b.json"))
+    assert len(json.load(open(tmp_path / "b.json"))) == lines.count()
+    meta = json.loads(reports.sidecar(lines, S.sharded(lines, 10, 10**6)).first().meta)
+    assert meta["cells_planned"] == lines.count() and meta["files"] == -(-lines.count() // 10)
+
+
+def test_guards():
+    assert A.guard({"a": 1}, None) == A.guard({"a": 1}, {"fingerprint": A.fingerprint({"a": 1})})
+    with pytest.raises(ValueError):
+        A.guard({"a": 1}, {"fingerprint": "x"})
+    assert A.baseline_of("qvar=preservation, no_pref_offered=false", OTHER) == {"qvar": "preservation", "object": "self", "subject": "self", "no_pref_offered": False}
+    for bad in ("qvar=x", "foo=1", "qvar=increase,qvar=increase"):
+        with pytest.raises(ValueError):
+            A.baseline_of(bad, OTHER)
+    with pytest.raises(ValueError):
+        A.checked_config({"qvar": []}, 1, None, OTHER)
+    assert C.TIE == 0.10
