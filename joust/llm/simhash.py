@@ -80,7 +80,9 @@ def classes(fps: DataFrame) -> DataFrame:
     """(fp, n) rows, fp distinct -> (fp, comp): comp of linked fingerprints; those without links are left out."""
     spread = fps.select("fp", "n", F.explode(F.array(*keys("fp"))).alias("key"))
     w = Window.partitionBy("key")
-    groups = spread.select("key", "fp", F.count("*").over(w).alias("size"), F.max(F.struct("n", "fp")).over(w)["fp"].alias("pivot")).where("size > 1 and fp <> pivot").select("key", "fp", "pivot")
+    groups = spread.select("key", "fp", F.count("*").over(w).alias("size"), F.max(F.struct("n", "fp")).over(w)["fp"].alias("pivot")).where("size > 1 and fp <> pivot")
+    # two alone are settled by the comparison with the pivot
+    groups = groups.where((F.col("size") > 2) | near(F.col("fp"), F.col("pivot"))).select("key", "fp", "pivot")
     groups = stored(groups, "simhash")
     direct = components(groups.where(near(F.col("fp"), F.col("pivot"))), "fp", "pivot")
     direct = cut(direct)
