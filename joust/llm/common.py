@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,18 +48,18 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     null ends are ignored; an empty edge list gives an empty result.
     """
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
     seen = None
     for _ in range(most_rounds):
         state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state["n"] == 0 or seen == (state["n"], state["x"]):
             break
         seen = (state["n"], state["x"])
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.unionAll(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        # large star: what is above u hangs on the least of u and its neighbours, and so does u itself
+        both = e.withColumn("end", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).select("end.*")
+        large = both.withColumn("m", least).select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        # small star: of those below u, all hang on the least
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(small.distinct())
     out = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return out.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
