@@ -258,7 +258,8 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
     docs = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     place = Window.partitionBy("key", "same").orderBy("doc_id", "start")
     of_key = Window.partitionBy("key")
-    found = all_runs(docs, length, gram).withColumn("r", F.rank().over(place))
+    # dealt by key once: finer windows sort within it
+    found = all_runs(docs, length, gram).repartition(n, "key").withColumn("r", F.rank().over(place))
     found = found.withColumn("lo", F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "start")).over(of_key)).withColumn("hi", F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "start")).over(of_key))
     found = found.withColumn("mixed", F.min("same").over(of_key) != F.max("same").over(of_key))
     found = found.where("r > 1 or twin or (lo <> hi and mixed)")
