@@ -13,7 +13,7 @@ OTHER = {"qvar": ("increase", "preservation"), "object": ("self", "ai_assistant"
 
 S, D, B, I, L = T.StringType(), T.DoubleType(), T.BooleanType(), T.IntegerType(), T.LongType()  # noqa: E741
 
-#: (name, type, default); fields without a default are required.
+#: The field names of stored records, as (name, type, default); fields without a default may be null.
 FIELDS: list[tuple[str, T.DataType, object]] = [
     *[(n, S, None) for n in "record_id timestamp model_id model_ref model_family model_generation model_release_date model_kind quantization quantized_file backend".split()],
     ("in_window", B, None),
