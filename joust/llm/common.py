@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of an edge list in one file of a cut.
+ROWS_A_FILE = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +64,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         large = both.withColumn("m", least).select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: of those below u, all hang on the least
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u"))).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.distinct())
+        # as few files as the rows need: each file of a checkpoint costs its executor a process
+        e = cut(small.distinct().coalesce(1 + state["n"] // ROWS_A_FILE))
     out = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return out.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, stored, table
+from .common import components, stored, table
 
 WIDTH = 4
 SEED = 42
@@ -85,7 +85,6 @@ def classes(fps: DataFrame) -> DataFrame:
     groups = groups.where((F.col("size") > 2) | near(F.col("fp"), F.col("pivot"))).select("key", "fp", "pivot")
     groups = stored(groups, "simhash")
     direct = components(groups.where(near(F.col("fp"), F.col("pivot"))), "fp", "pivot")
-    direct = cut(direct)
     of = lambda name, to: direct.select(F.col("node").alias(name), F.col("comp").alias(to))
     known = groups.join(of("fp", "c"), "fp", "left").join(of("pivot", "p"), "pivot", "left")
     known = stored(known.select("key", "fp", F.coalesce("c", "fp").alias("c"), F.coalesce("p", "pivot").alias("p")), "simhash")
