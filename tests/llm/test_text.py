@@ -201,6 +201,14 @@ def test_turns_read_back(role, text):
         assert got == [(role, text), ("assistant", text)] and not parser.rest
 
 
+@pytest.mark.parametrize("role, text", [("user", chat.ATTACK), ("assistant", chat.END), (chat.START, "x"), ("user", "<|endoftext|>"), ("user", "<\\|" + chat.START), ("user", "<" + chat.END)])
+def test_no_control_string_stands_inside_a_turn(role, text):
+    out = chat.render(role, text)
+    inside = out.removeprefix(chat.START).removesuffix(chat.END + "\n")
+    assert out == f"{chat.START}{inside}{chat.END}\n" and "<|" not in inside
+    assert [*chat.Parser().feed(out)] == [(role, text)]
+
+
 def test_conversation_digests(spark):
     rows = [(1, 1, "assistant", "é<|im_end|>"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "a"), (1, 1, "assistant", "é<|im_end|>"), (3, 0, "assistant", "long " * 50000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
