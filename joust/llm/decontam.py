@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, names and units become typed placeholders and punctuation goes, so a question with other figures or other
-names has the template of the original. Hashed template windows of five words meet by equality: every window of the
-benchmark, every fourth of a document, which finds each common stretch of eight words. What they propose (document,
-item, alignment) is compared word by word: enough of the item's words must agree, and its slots must be filled
-consistently, one value of the document for one of the item and the other way round.
+names has the template of the original. Hashed template windows at every word of both sides meet by equality. An
+item's windows are as wide as the longest run that is left however its share of changed words is scattered (WINDOW
+words at most), so each case of the share is proposed. What they propose (document, item, alignment) is compared word
+by word: enough of the item's words must agree, and its slots must be filled consistently, one value of the document
+for one of the item and the other way round.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-WINDOW, STRIDE = 5, 4
+WINDOW = 4
 SHARE = 0.8
 #: A stretch of so many agreeing words counts also where it is less than SHARE of the item.
 STRETCH = 13
@@ -42,18 +43,30 @@ def word_arrays(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__raw", F.split(line, " ")).withColumn("__words", F.split(template(line), " "))
 
 
-def windows(words: Column, width: int, stride: int) -> Column:
-    """(at, hash) of the windows at every stride-th word."""
+def width(n: Column, share: float) -> Column:
+    """Of the windows of an item of n words: with the most words changed that share allows, one run is as long."""
+    need = F.ceil(F.lit(share) * n)
+    return F.least(F.lit(WINDOW), F.ceil(need / (n - need + 1))).cast("int")
+
+
+def windows(words: Column, width: int) -> Column:
+    """(at, hash) of the windows at every word."""
     last = F.size(words) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("hash")))
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), *[F.get(words, i + k) for k in range(width)]).alias("hash")))
 
 
-def proposals(docs: DataFrame, items: DataFrame, width: int, stride: int) -> DataFrame:
+def proposals(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """(doc_id, item_id, shift) of equal windows."""
-    theirs = items.select("item_id", F.explode(windows(F.col("__words"), width, 1)).alias("w")).select("item_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
+    items = items.withColumn("__width", width(F.size("__words"), share))
+    widths = sorted(r[0] for r in items.select("__width").distinct().collect())  # WINDOW rows at most
+    own = F.array().cast("array<struct<at:int,hash:bigint>>")
+    for n in widths:
+        own = F.when(F.col("__width") == n, windows(F.col("__words"), n)).otherwise(own)
+    theirs = items.select("item_id", F.explode(own).alias("w")).select("item_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
     theirs = stored(theirs, "benchmark-windows")
-    ours = docs.select("doc_id", F.explode(windows(F.col("__words"), width, stride)).alias("w")).select("doc_id", F.col("w.at").alias("here"), F.col("w.hash").alias("hash"))
+    each = F.concat(*[windows(F.col("__words"), n) for n in widths or [WINDOW]])
+    ours = docs.select("doc_id", F.explode(each).alias("w")).select("doc_id", F.col("w.at").alias("here"), F.col("w.hash").alias("hash"))
     known = theirs.select("hash").distinct()
     known = F.broadcast(known) if theirs.count() <= BROADCAST_WINDOWS else known
     return ours.join(known, "hash", "left_semi").join(theirs, "hash").select("doc_id", "item_id", (F.col("here") - F.col("there")).alias("shift")).distinct()
@@ -62,21 +75,14 @@ def proposals(docs: DataFrame, items: DataFrame, width: int, stride: int) -> Dat
 def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, slots): documents that hold an item or a re-parameterised form of it.
 
-    Defined cases: items without words match nothing; items shorter than eight words are looked for at every word of
-    a document, in windows of their own length; null and empty texts hold nothing; a null doc_id or item_id is
+    Defined cases: items without words match nothing; null and empty texts hold nothing; a null doc_id or item_id is
     ignored; repeated rows give one result; other columns are not read.
     """
     slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     ours = word_arrays(slim, "text")
     items = word_arrays(benchmark.where("item_id is not null").select("item_id", F.col("text").alias("itext")).distinct(), "itext")
     items = stored(items.where("size(__words) > 1 or __words[0] <> ''").select("item_id", F.col("__raw").alias("iraw"), F.col("__words").alias("iwords")), "benchmark")
-    least = WINDOW + STRIDE - 1
-    named = items.withColumnRenamed("iwords", "__words")
-    found = proposals(ours, named.where(F.size("__words") >= least), WINDOW, STRIDE)
-    short = [r[0] for r in items.where(F.size("iwords") < least).select(F.size("iwords")).distinct().collect()]
-    for n in sorted(short):  # seven lengths at most
-        found = found.unionByName(proposals(ours, named.where(F.size("__words") == n), n, 1))
-    found = stored(found.distinct(), "proposals")
+    found = stored(proposals(ours, items.withColumnRenamed("iwords", "__words"), share), "proposals")
     few = slim.join(found.select("doc_id").distinct(), "doc_id")
     both = word_arrays(few.distinct(), "text").select("doc_id", "__raw", "__words").join(found, "doc_id").join(items, "item_id")
     theirs = lambda i: F.get("iwords", i)

@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -180,6 +181,19 @@ def test_short_items_are_found_at_any_word(spark):
     assert leaks(spark, texts, ["green ideas sleep so furiously"]) == {(k, 0) for k in range(6)}
 
 
+def test_scattered_changes_are_found_at_any_word(spark):
+    lengths, items, texts, want = (5, 6, 7, 10, 16, 24, 25, 40, 59), [], [], set()
+    for i, n in enumerate(lengths):
+        words = [f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+        items.append(" ".join(words))
+        for every in (5, 6, 8):
+            for pad in range(4):
+                if n // every <= n - math.ceil(0.8 * n):
+                    want.add((len(texts), i))
+                texts.append("pad " * pad + " ".join("changed" if k % every == every - 1 else w for k, w in enumerate(words)) + " end")
+    assert len(want) > 80 and leaks(spark, texts, items) == want
+
+
 def test_leaks_equal_whole_passages_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
