@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders and punctuation goes, so a question with other figures or other
 names has the template of the original. Hashed template windows at every word of both sides meet by equality. An
 item's windows are as wide as the longest run that is left however its share of changed words is scattered (WINDOW
-words at most), so each case of the share is proposed. What they propose (document, item, alignment) is compared word
-by word: enough of the item's words must agree, and its slots must be filled consistently, one value of the document
-for one of the item and the other way round.
+words at most), so each case of the share is proposed. What they propose (document, item, shift) is compared word by
+word: enough of the item's words must agree in order, less one for each word put in between, and the slots of the
+words that agree must be filled consistently, one value of the document for one of the item and the other way round.
+Neighbouring words of one name or number are one placeholder.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ STRETCH = 13
 #: Benchmark windows are broadcast up to so many (16 bytes each); beyond that both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 BLANK = r"[\x20\x09-\x0D]+"
+#: Punctuation around a slot's value.
+AROUND = r"""^["'(\[]+|(?:['’]s)?[.,;:!?)"'\]]*$"""
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "%")
 
 
@@ -30,17 +33,28 @@ def squeezed(text: Column) -> Column:
 
 
 def template(line: Column) -> Column:
-    """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders."""
+    """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
     x = F.regexp_replace(line, r"(?<=[^.!?:;|\s] )[\"'(]?\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
     x = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/%-]*(?:st|nd|rd|th)?", "<n>")
     x = F.regexp_replace(x, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
+    x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}<> ]+", "")
 
 
-def word_arrays(df: DataFrame, text: str) -> DataFrame:
-    """df plus __raw and __words, arrays of equal length; a text without words has one empty word."""
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """df plus __words; a text without words has one empty word."""
+    return df.withColumn("__words", F.split(F.regexp_replace(template(squeezed(F.col(text))), " <m>(?![^ ])", ""), " "))
+
+
+def with_values(df: DataFrame, text: str) -> DataFrame:
+    """df plus __words and __raw, what stands in the text at each of them without punctuation around it."""
     line = squeezed(F.col(text))
-    return df.withColumn("__raw", F.split(line, " ")).withColumn("__words", F.split(template(line), " "))
+    # stored: what the lambdas below read is not to be computed for each word again
+    df = stored(df.withColumn("__all", F.split(template(line), " ")).withColumn("__line", F.split(line, " ")), "words")
+    df = stored(df.withColumn("__at", F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != "<m>"))), "words")
+    value = lambda i, k: F.array_join(F.slice("__line", i + 1, F.coalesce(F.get("__at", k + 1), F.size("__all")) - i), " ")
+    raw = F.transform("__at", lambda i, k: F.regexp_replace(value(i, k), AROUND, ""))
+    return df.withColumn("__raw", raw).withColumn("__words", F.transform("__at", lambda i: F.get("__all", i))).drop("__all", "__line", "__at")
 
 
 def width(n: Column, share: float) -> Column:
@@ -72,6 +86,39 @@ def proposals(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     return ours.join(known, "hash", "left_semi").join(theirs, "hash").select("doc_id", "item_id", (F.col("here") - F.col("there")).alias("shift")).distinct()
 
 
+def slot(i: Column) -> Column:
+    return F.get("iwords", i).isin("<n>", "<c>", "<u>")
+
+
+def consistent(filled: Column) -> Column:
+    """One b for each a and one a for each b."""
+    kinds = F.size(F.array_distinct(filled))
+    return (kinds == F.size(F.array_distinct(F.transform(filled, lambda s: s["a"])))) & (kinds == F.size(F.array_distinct(F.transform(filled, lambda s: s["b"]))))
+
+
+def aligned() -> Column:
+    """(n, at): the words that agree in order, less one for each word put in between, and their slots, of the best
+    alignment that stays within off words of the shift. A state holds the best for each distance from the shift."""
+    bands = F.sequence(F.lit(0), 2 * F.col("off"))
+    mine = lambda i, b: i + F.col("shift") + b - F.col("off")
+    cell = lambda n, at: F.struct(n.cast("int").alias("n"), at.cast("array<struct<i:int,j:int>>").alias("at"))
+
+    def next_word(state: Column, i: Column) -> Column:
+        def one(b: Column) -> Column:
+            old, after = F.get(state, b), F.get(state, b + 1)
+            hit = F.coalesce(F.get("iwords", i) == F.get("words", mine(i, b)), F.lit(False))
+            met = F.when(hit & slot(i), F.concat(old["at"], F.array(F.struct(i.alias("i"), mine(i, b).alias("j"))))).otherwise(old["at"])
+            # n + b: what is moved on to a later band loses the difference
+            kept = cell(old["n"] + b + F.when(hit, 1).otherwise(0), met)
+            return F.array_max(F.array(kept, F.when(b < 2 * F.col("off"), cell(after["n"] + b, after["at"]))))
+
+        most = F.transform(F.array(F.transform(bands, one)), lambda c: F.transform(bands, lambda b: F.array_max(F.slice(c, 1, b + 1))))
+        return F.transform(F.get(most, F.lit(0)), lambda x, b: cell(x["n"] - b, x["at"]))
+
+    first = F.transform(bands, lambda b: cell(F.lit(0), F.array()))
+    return F.array_max(F.aggregate(F.sequence(F.lit(0), F.size("iwords") - 1), first, next_word))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, slots): documents that hold an item or a re-parameterised form of it.
 
@@ -79,24 +126,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
     ignored; repeated rows give one result; other columns are not read.
     """
     slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ours = word_arrays(slim, "text")
-    items = word_arrays(benchmark.where("item_id is not null").select("item_id", F.col("text").alias("itext")).distinct(), "itext")
+    ours = with_words(slim, "text")
+    items = with_values(benchmark.where("item_id is not null").select("item_id", F.col("text").alias("itext")).distinct(), "itext")
     items = stored(items.where("size(__words) > 1 or __words[0] <> ''").select("item_id", F.col("__raw").alias("iraw"), F.col("__words").alias("iwords")), "benchmark")
     found = stored(proposals(ours, items.withColumnRenamed("iwords", "__words"), share), "proposals")
     few = slim.join(found.select("doc_id").distinct(), "doc_id")
-    both = word_arrays(few.distinct(), "text").select("doc_id", "__raw", "__words").join(found, "doc_id").join(items, "item_id")
-    theirs = lambda i: F.get("iwords", i)
-    mine = lambda i: F.get("__words", i + F.col("shift"))
-    all_of = F.sequence(F.lit(0), F.size("iwords") - 1)
-    equal = F.transform(all_of, lambda i: F.when(i + F.col("shift") < 0, False).otherwise(F.coalesce(theirs(i) == mine(F.greatest(i, -F.col("shift"))), F.lit(False))))
+    both = with_values(few.distinct(), "text").select("doc_id", "__raw", "__words").join(found, "doc_id").join(items, "item_id")
+    n = F.size("iwords")
+    both = both.withColumn("need", F.ceil(F.lit(share) * n).cast("int")).withColumn("off", (n - F.col("need")).cast("int"))
+    low = F.greatest(F.col("shift") - F.col("off"), F.lit(0))
+    part = lambda c: F.slice(c, low + 1, F.greatest(F.col("shift") + n + F.col("off") - low, F.lit(0)))
+    both = stored(both.select("doc_id", "item_id", "iraw", "iwords", "need", "off", part("__raw").alias("raw"), part("__words").alias("words"), (F.col("shift") - low).alias("shift")), "candidates")
+    all_of = F.sequence(F.lit(0), n - 1)
+    equal = F.transform(all_of, lambda i: F.coalesce(F.get("iwords", i) == F.get("words", i + F.col("shift")), F.lit(False)))
     both = both.withColumn("equal", equal).withColumn("agree", F.size(F.filter("equal", lambda e: e)))
-    line = F.array_join(F.transform("equal", lambda e: F.when(e, "1").otherwise("0")), "")
-    both = both.where((F.col("agree") >= share * F.size("iwords")) | F.contains(line, F.lit("1" * STRETCH)))
-    filled = F.transform(F.filter(all_of, lambda i: F.get("equal", i) & theirs(i).isin("<n>", "<c>", "<u>")), lambda i: F.struct(F.get("iraw", i).alias("a"), F.get("__raw", i + F.col("shift")).alias("b")))
-    both = both.withColumn("filled", filled)
-    kinds = F.size(F.array_distinct("filled"))
-    consistent = (kinds == F.size(F.array_distinct(F.transform("filled", lambda s: s["a"])))) & (kinds == F.size(F.array_distinct(F.transform("filled", lambda s: s["b"]))))
-    got = both.where(consistent).select("doc_id", "item_id", (F.col("agree") / F.size("iwords")).alias("share"), F.size("filled").alias("slots"))
+    here = F.filter(all_of, lambda i: F.get("equal", i) & slot(i))
+    filled = lambda a: F.transform(a, lambda p: F.struct(F.get("iraw", p["i"]).alias("a"), F.get("raw", p["j"]).alias("b")))
+    both = both.withColumn("pairs", F.transform(here, lambda i: F.struct(i.alias("i"), (i + F.col("shift")).alias("j"))))
+    both = both.withColumn("line", F.concat(F.array_join(F.transform("equal", lambda e: F.when(e, "1").otherwise("0")), ""), F.lit("0")))
+    as_is = (F.col("agree") >= F.col("need")) & consistent(filled("pairs"))
+    both = stored(both.withColumn("as_is", as_is), "candidates")
+    # no alignment agrees in more words than stand there at all
+    there = F.size(F.filter("iwords", lambda w: F.array_contains("words", w)))
+    both = both.withColumn("best", F.when(~F.col("as_is") & (F.col("off") > 0) & (there >= F.col("need")), aligned()))
+    both = stored(both, "candidates")
+    both = both.withColumn("gaps", F.coalesce((F.col("best.n") >= F.col("need")) & consistent(filled("best.at")), F.lit(False)))
+    starts = F.filter(all_of, lambda i: F.get("equal", i) & ~F.coalesce(F.get("equal", i - 1), F.lit(False)))
+    end = lambda i: F.call_function("locate", F.lit("0"), F.col("line"), i + 1) - 1
+    run = F.exists(starts, lambda i: (end(i) - i >= STRETCH) & consistent(filled(F.filter("pairs", lambda p: (p["i"] >= i) & (p["i"] < end(i))))))
+    got = both.withColumn("run", F.contains("line", F.lit("1" * STRETCH)) & run).where("as_is or gaps or run")
+    most, slots = F.when(F.col("gaps"), F.col("best.n")).otherwise(F.col("agree")), F.when(F.col("gaps"), F.size("best.at")).otherwise(F.size("pairs"))
+    got = got.select("doc_id", "item_id", (most / n).alias("share"), slots.alias("slots"))
     return got.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("slots").alias("slots"))
 
 

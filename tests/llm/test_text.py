@@ -194,6 +194,20 @@ def test_scattered_changes_are_found_at_any_word(spark):
     assert len(want) > 80 and leaks(spark, texts, items) == want
 
 
+def test_words_put_in_or_left_out_and_longer_names_are_found(spark):
+    words = [chr(97 + k) * 3 for k in range(24)]
+    plain = " ".join(words)
+    city = "one morning in early spring the old train to Paris left on time with many people who had been waiting there since 5"
+    figures = "we counted 12 red stones and later again 12. In all there were 12 of them. Nobody took one"
+    texts = [" ".join(words[:12] + ["new"] + words[12:]), " ".join(words[:11] + words[12:]), " ".join(words[:8] + ["x", "y"] + words[8:16] + words[17:]), city.replace("Paris", "New York"), figures.replace("12.", "12"), figures.replace("12", "7").replace("7.", "7")]
+    texts += [" ".join(w for k in range(0, 24, 4) for w in [*words[k : k + 4], "x", "y"]), " ".join(words[12:] + words[:11]), figures.replace("12 of", "13 of")]
+    items = [plain, city, figures]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (5, 2)}
+    # slots count within the run only: a 3 that became a 4 after it changes nothing
+    long = "then 3 birds sat on the wall and sang to all of them for hours until we all went away and 3 left and sat and sang"
+    assert leaks(spark, [long.replace("all went away and 3", "both were off when 4")], [long]) == {(0, 0)}
+
+
 def test_leaks_equal_whole_passages_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
