@@ -269,6 +269,102 @@ def test_slots_without_an_article_leave_out_template_text(spark):
     assert pages(spark, rows)[3] == "Own text 3 more 3"
 
 
+def site(i, tail=""):
+    paragraphs = "".join(f"<p>own words {i} {k} go here</p>" for k in range(2 + i % 3))
+    return f"<body><div class=top><b>Site</b></div><article class=teaser>Read our best story {i}</article><div class='content no-sidebar'><h1>Head {i}</h1><p class=note>Read more on this site</p>{paragraphs}{tail}</div></body>"
+
+
+def test_template_decides_by_vectors_and_masses(spark):
+    got = pages(spark, [("https://d.org/x", site(i)) for i in range(8)] + [("https://one.org/x", site(1))])
+    assert got[4] == "Head 4 own words 4 0 go here own words 4 1 go here own words 4 2 go here"
+    # without a template of its host the site's line stays
+    assert got[8] == "Head 1 Read more on this site own words 1 0 go here own words 1 1 go here own words 1 2 go here"
+
+
+def test_a_page_of_its_own_follows_the_template_of_its_host(spark):
+    long = "<div class=replies-wide><p>" + "other people said much about it " * 20 + "</p></div>"
+    rows = [("https://e.org/x", site(i, long if i == 7 else "")) for i in range(9)] + [("https://f.org/x", site(7, "").replace("content", "story") + long)]
+    got = pages(spark, rows)
+    assert "other people" not in got[7] and got[7].startswith("Head 7 own words 7 0")
+
+
+def plain_templates(htmls):
+    """Occurrence vectors as explicit lists -> (container token, constants)."""
+    trees = [html.Tree(h) for h in htmls]
+    vectors, around, kinds, chars, depth = {}, {}, {}, {}, {0: 0}
+    for i, t in enumerate(trees):
+        weight = t.weights()
+        for k, token in enumerate(t.token):
+            vectors.setdefault(token, [0] * len(trees))[i] += 1
+            up = t.token[t.parent[k]] if k else 0
+            around[token], kinds[token], depth[token] = up, t.kind[k], depth[up] + bool(k)
+        for k, text in t.blocks:
+            token = (t.token[k], text)
+            vectors.setdefault(token, [0] * len(trees))[i] += 1
+            around[token], kinds[token] = t.token[k], "text"
+            if not t.link[k]:
+                chars[token] = chars.get(token, 0) + weight[k] * len(text)
+    if len(set(htmls)) < 3:
+        return None, set()
+    often = {t for t, v in vectors.items() if sum(n > 0 for n in v) >= max(3, len(trees) / 2)}
+    valid = {0}
+    for t in sorted((t for t in often if kinds[t] != "text"), key=depth.get):
+        if around[t] in valid:
+            valid.add(t)
+    fixed = {t for t in often if kinds[t] == "text" and sum(n > 0 for n in vectors[t]) >= 5 and around[t] in valid and vectors[t] in (vectors[0], vectors[around[t]])}
+    mass = dict.fromkeys(valid, 0.0)
+    for t, n in chars.items():
+        up = t[0]
+        if t not in fixed and up in valid:
+            while True:
+                mass[up] += n
+                if not up:
+                    break
+                up = around[up]
+    at, chain = 0, [0]
+    while mass[at] and not any(kinds[t] == html.HEADING and mass[t] for t in valid if t and around[t] == at):
+        inner = [t for t in valid if t and around[t] == at and kinds[t] in (html.BOX, html.MAIN)]
+        if not inner or mass[max(inner, key=mass.get)] < 0.5 * mass[at]:
+            break
+        at = max(inner, key=mass.get)
+        chain.append(at)
+    return next((t for t in reversed(chain) if kinds[t] == html.MAIN), at), fixed
+
+
+def test_templates_equal_plain_vectors(spark):
+    rng = random.Random(5)
+    made = [("https://g.org/x", site(i)) for i in range(6)] + [("https://h.org/", site(0))] * 4
+    for _ in range(30):
+        parts = [f"<div class={c}>{'<p>' + rng.choice(['same', 'x ' * rng.randint(1, 40)]) + '</p>'}</div>" for c in ("ad", "text", "more") if rng.random() < 0.9]
+        made.append(("https://k.org/", "<body>" + "".join(parts) + "<footer>all rights</footer>"))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(made)] + [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()], "page_id long, url string, html string")
+    from joust.llm.urls import parsed
+
+    split = parsed(df.selectExpr("page_id __page", "url __link", "html __html"), "__link").withColumn("h", F.xxhash64("__host"))
+    groups = {}
+    for r in split.collect():
+        groups.setdefault(r.h, []).append(r["__html"])
+    known = {r["__of"]: (r["__container"], set(r["__fixed"])) for r in html.templates(split).collect()}
+    for h, htmls in groups.items():
+        box, fixed = plain_templates(htmls)
+        assert known.get(h, (None, set())) == (box if box is None else html.signed(box), {html.signed(html.text_token(*t)) for t in fixed})
+    assert len(known) > 1
+
+
+@pytest.mark.parametrize("text", ["<a " * 200000, "<a '" * 50000 + ">", "<b>" * 20000 + "<hr>" * 20000, "<div>" * 20000 + "</x>" * 20000, "<script>" + "</script " * 100000, "<!" * 100000, "<!--" * 100000])
+def test_the_scanner_is_linear(text):
+    import time
+
+    began = time.process_time()
+    html.main_text(text, None, ())
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text, want", [("<p>1 < 2 <3 & <b>x", "1 < 2 <3 & x"), ("a<!--> b", "a b"), ("a <p title='x>y'>b", "a b"), ("a <p title='x>b", "a b"), ("a<p/>b</p>c", "a b c"), ("<P CLASS=Ad>no</P>yes", "yes"), ("<div hidden>no</div>yes", "yes")])
+def test_markup_that_does_not_end(text, want):
+    assert html.main_text(text, None, ()) == want
+
+
 def test_odd_pages(spark):
     got = pages(spark, [(None, None), ("x", ""), ("https://c.org/", "no <b>markup"), ("https://c.org/", "<p>a<p>b</i></p><!-- x"), ("https://c.org/", "<script>if (a<b) x()"), ("https://c.org/", "<p>w</p>" * 20000)])
     assert (got[0], got[1], got[2], got[3], got[4]) == ("", "", "no markup", "a b", "") and len(got[5]) == 39999
