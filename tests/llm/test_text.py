@@ -73,6 +73,57 @@ def test_components_equal_union_find(spark):
     assert dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()) == {x: find(x) for x in [*top]}
 
 
+def brute_similar(texts, width=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    alike = lambda x, y: x == y or len(x & y) >= least * len(x | y)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    comp = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(comp[i], comp[j])
+            changed |= comp[i] != low or comp[j] != low
+            comp[i] = comp[j] = low
+    return comp
+
+
+def test_similar_texts_and_what_stays(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    base = [[rng.choice(words) for _ in range(120)] for _ in range(6)]
+    near_by = lambda b, n: " ".join(w if k % (120 // n) else "other" for k, w in enumerate(b))
+    texts = ["", None, "One", "one", "a b c d e f", "a b c d e g", " ".join(base[0]), *(" ".join(b) for b in base), *(near_by(b, 2) for b in base), *(near_by(b, 20) for b in base), "A  b c d e f"]
+    want = brute_similar(texts)
+    df = frame(spark, texts).withColumn("comp", F.lit("c"))
+    kept = simhash.stage(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(want) if c == i]
+    assert simhash.stage(spark, df.limit(0), "").count() == 0
+    # rows that share an id, have none, or are equal: one row of a class, by id, none last
+    rows = [(1, "same text here"), (1, "same text here"), (None, "same text here"), (None, "same text here"), (None, "alone"), (None, "alone"), (2, "alone again"), (2, "another one")]
+    got = sorted((repr(r.doc_id), r.text) for r in simhash.stage(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    assert got == sorted([("1", "same text here"), ("None", "alone"), ("2", "alone again"), ("2", "another one")])
+
+
+def test_long_fingerprints_equal_the_definition():
+    for t in TEXTS:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ")
+        w = [x for x in w if x]
+        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        hs = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        got = simhash.long_fingerprint(t.encode() if t is not None else None, 5, 3)
+        assert got[0] % 2**64 == simhash.majority(np.array([((h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64) ^ ((h ^ h >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> 29 for h in hs], np.uint64)) % 2**64
+        assert len(got) == 3 and (not hs or len(set(got)) == 3)
+
+
+def test_components_that_are_not_done_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "a", "b", most_rounds=1)
+
+
 # repeated byte strings
 
 
@@ -106,6 +157,20 @@ def test_removal_equals_brute_force(spark):
     assert all(hashlib.sha256(kept[k]).hexdigest() == v[3] for k, v in got.items())
 
 
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(0, b), (None, "other"), (None, b[:150] + "x"), (0, c), (None, c + "tail"), (None, c), (7, d), (7, d[100:] + "end"), (7, d), (8, d[:120])]
+    got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    of = {t: i for i, t in enumerate(sorted({t for _, t in rows}))}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in of], "t string").select("t", F.xxhash64(F.col("t").cast("binary")).alias("h")).collect()}
+    # in order of the definition: rows without an id by hash, then ids, equal ids by hash; equal rows are one document
+    order = sorted({(i is not None, i or 0, hashes[t] if i is not None else hashes[t] & ((1 << 61) - 1), t) for i, t in rows})
+    cuts = brute_cuts([((o[0], o[1], o[3]), o[3]) for o in order], 100)
+    want = sorted((repr(i), *(cuts[(i is not None, i or 0, t)][k] for k in (0, 1, 3))) for i, t in rows)
+    assert got == want and sum(w[2] for w in want) > 500
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_interval_expansion_equals_brute_force(seed):
     rng = random.Random(seed)
@@ -170,12 +235,84 @@ def leaks(spark, texts, items):
 
 def test_templates_catch_other_values_and_check_slots(spark):
     pad = "we saw that " * 7
-    wrong = OTHER.replace("19", "7")
-    texts = [pad + ITEM + pad, pad + OTHER, pad, "", None, pad + wrong, ITEM, (pad * 400) + ITEM.replace(" ", "\n")]
-    assert leaks(spark, texts, [ITEM, "", None]) == {(0, 0), (1, 0), (6, 0), (7, 0)}
+    # two values may become one, one value may not become two
+    same = OTHER.replace("19", "7")
+    twice = ITEM.replace("30 kg", "12 kg")
+    texts = [pad + ITEM + pad, pad + OTHER, pad, "", None, pad + same, ITEM, (pad * 400) + ITEM.replace(" ", "\n"), pad + ITEM.replace("12 kg", "7kg"), OTHER]
+    assert leaks(spark, texts, [ITEM, "", None]) == {(0, 0), (1, 0), (5, 0), (6, 0), (7, 0), (8, 0), (9, 0)}
+    assert leaks(spark, [pad + same, pad + OTHER, twice], [twice]) == {(0, 0), (2, 0)}
     assert leaks(spark, [], [ITEM]) == set() == leaks(spark, [ITEM], [])
 
 
+def test_rows_without_an_id_are_judged_by_their_text(spark, tmp_path):
+    spark.createDataFrame([(0, ITEM), (None, "green ideas sleep so furiously every day")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, ITEM, 1), (None, "clean words only here", 2), (1, ITEM, 3), (1, "clean", 4), (2, None, 5), (3, "", 6), (None, "so green ideas sleep so furiously every day", 7)], f"{DOCS}, k int")
+    assert {r.k for r in decontam.stage(spark, docs, str(tmp_path)).collect()} == {2, 4, 5, 6}
+    assert decontam.stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = decontam.leaks(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(None, 0), (1, 0), (None, None)}
+
+
+NAMES, THINGS = ("Miller", "Smith", "Mary Ann", "Jones", "Berlin", "New York", "Oslo"), ("kg", "km", "euros", "hours", "miles")
+
+
+def brute_words(line):
+    """Template words and slot values by plain rules: numbers, units after numbers, names that begin no sentence."""
+    words, values, before = [], [], "."
+    raw = [x for w in line.split() for x in ([w[:-2], "kg"] if w[:1].isdigit() and w.endswith("kg") else [w])]
+    for w in raw:
+        bare = w.strip(".,")
+        kind = "<n>" if bare.isdigit() else "<u>" if bare in THINGS and words and words[-1] == "<n>" and before[-1].isdigit() else "<c>" if bare[0].isupper() and before[-1] != "." else bare.lower()
+        if kind == "<c>" and words and words[-1] == "<c>" and before[-1].isalpha():
+            values[-1] += " " + bare
+        else:
+            words.append(kind)
+            values.append(bare)
+        before = w
+    return words, values
+
+
+def brute_match(item, text):
+    (iw, iv), (dw, dv) = brute_words(item), brute_words(text)
+    need = math.ceil(0.8 * len(iw))
+    fine = lambda pairs: len({*pairs}) == len({a for a, _ in pairs})
+    for shift in range(-len(iw), len(dw) + 1):
+        hits = [i for i in range(len(iw)) if 0 <= i + shift < len(dw) and iw[i] == dw[i + shift]]
+        if len(hits) >= need and fine([(iv[i], dv[i + shift]) for i in hits if iw[i][0] == "<"]):
+            return True
+    return False
+
+
+def test_re_parameterised_items_equal_plain_matching(spark):
+    rng = random.Random(8)
+    common = "the of to and sold went from with for his old red big near house tree road week day".split()
+    made = lambda: [rng.choice(["{n}", "{n} {u}", "{c}", *common, *common]) for _ in range(rng.randint(16, 30))]
+
+    def filled(shape, slots):
+        out = ["then"]
+        for i, w in enumerate(shape):
+            out.append(w.format(n=slots[i][0], u=slots[i][1], c=slots[i][2]))
+        return " ".join(out) + "."
+
+    def slots(n):
+        return [(str(rng.randint(2, 900)), rng.choice(THINGS), rng.choice(NAMES)) for _ in range(n)]
+
+    items, texts, want = [], [], set()
+    for _ in range(40):
+        shape = made()
+        a = slots(len(shape))
+        items.append(filled(shape, a))
+        new = {}
+        b = [tuple(new.setdefault(v, rng.choice(NAMES) if k == 2 else str(rng.randint(2, 900)) if k == 0 else rng.choice(THINGS)) for k, v in enumerate(s)) for s in a]
+        for other in (b, slots(len(shape)), a):
+            changed = [rng.choice(common) if rng.random() < 0.08 and w in common else w for w in shape]
+            texts.append(" ".join(rng.choice(common) for _ in range(rng.randint(0, 6))) + " so " + filled(changed, other).replace("then", "then", 1) + " And so on")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if brute_match(x, t)}
+    got = leaks(spark, texts, items)
+    # alignments with words put in or left out may add to what one shift finds
+    assert want <= got and len(want) > 60 and all(i == d // 3 for d, i in got) and len(got) <= len(want) + 6
+
+
 def test_short_items_are_found_at_any_word(spark):
     texts = [("word " * k) + "green ideas sleep so furiously today" for k in range(6)] + ["green ideas sleep"]
     assert leaks(spark, texts, ["green ideas sleep so furiously"]) == {(k, 0) for k in range(6)}
@@ -237,6 +374,12 @@ def test_no_control_string_stands_inside_a_turn(role, text):
     assert [*chat.Parser().feed(out)] == [(role, text)]
 
 
+@pytest.mark.parametrize("out", ["<|im_start|>user\na<|im_end|>b<|im_end|>\n", "<|im_start|>user\n<|im_start|>a<|im_end|>\n", "<|im_start|>user a<|im_end|>\n", "x<|im_start|>user\na<|im_end|>\n", "<|im_start|>u<|im_start|>\na<|im_end|>\n"])
+def test_control_strings_out_of_their_place_are_no_output(out):
+    with pytest.raises(ValueError):
+        [*chat.Parser().feed(out)]
+
+
 def test_conversation_digests(spark):
     rows = [(1, 1, "assistant", "é<|im_end|>"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "a"), (1, 1, "assistant", "é<|im_end|>"), (3, 0, "assistant", "long " * 50000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
