@@ -5,8 +5,13 @@ names has the template of the original. Hashed template windows at every word of
 item's windows are as wide as the longest run that is left however its share of changed words is scattered (WINDOW
 words at most), so each case of the share is proposed. What they propose (document, item, shift) is compared word by
 word: enough of the item's words must agree in order, less one for each word put in between, and the slots of the
-words that agree must be filled consistently, one value of the document for one of the item and the other way round.
-Neighbouring words of one name or number are one placeholder.
+words that agree must be filled consistently: wherever the item has one value, the document has one value (two values
+of the item may become the same). Neighbouring words of one name or number are one placeholder, a unit is one of its
+own also where it is written onto its number. A name that begins a sentence is a word like any other.
+
+Texts are compared once, whatever the number of their copies: documents and items are told apart by a hash of the
+text, and ids come back at the end. A window of placeholders only, which many texts hold, is matched like any other;
+with the benchmark's windows broadcast its matches stay on the partitions of the documents.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scratch, stored, table
+from .simhash import text_key
 
 WINDOW = 4
 SHARE = 0.8
@@ -25,17 +31,20 @@ BROADCAST_WINDOWS = 1_000_000
 BLANK = r"[\x20\x09-\x0D]+"
 #: Punctuation around a slot's value.
 AROUND = r"""^["'(\[]+|(?:['’]s)?[.,;:!?)"'\]]*$"""
+#: What counts as a unit after a number; a parameter of the template, lower case.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "%")
 
 
-def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " "))
+def squeezed(text: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """White space as single spaces, and one between a number and a unit that is written onto it."""
+    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " "))
+    return F.regexp_replace(line, rf"(\d)(?=(?:{'|'.join(units)})[.,;!?]?(?: |$))", "$1 ")
 
 
 def template(line: Column) -> Column:
     """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
     x = F.regexp_replace(line, r"(?<=[^.!?:;|\s] )[\"'(]?\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
-    x = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/%-]*(?:st|nd|rd|th)?", "<n>")
+    x = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?", "<n>")
     x = F.regexp_replace(x, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
     x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}<> ]+", "")
@@ -63,27 +72,26 @@ def width(n: Column, share: float) -> Column:
     return F.least(F.lit(WINDOW), F.ceil(need / (n - need + 1))).cast("int")
 
 
-def windows(words: Column, width: int) -> Column:
-    """(at, hash) of the windows at every word."""
-    last = F.size(words) - width
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), *[F.get(words, i + k) for k in range(width)]).alias("hash")))
+def hashed(words: Column, at: Column, width: int) -> Column:
+    """Hash of the window of that width at a word; null beyond the end."""
+    return F.when(at + width <= F.size(words), F.xxhash64(F.lit(width), *[F.get(words, at + k) for k in range(width)]))
 
 
 def proposals(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """(doc_id, item_id, shift) of equal windows."""
+    """(k, i, shift) of equal windows; docs: k, __words, items: i, __words. A row a word and its windows stay inside
+    code generation up to the join with the benchmark's hashes; only equal windows are shuffled."""
     items = items.withColumn("__width", width(F.size("__words"), share))
-    widths = sorted(r[0] for r in items.select("__width").distinct().collect())  # WINDOW rows at most
-    own = F.array().cast("array<struct<at:int,hash:bigint>>")
+    widths = sorted(r[0] for r in items.select("__width").distinct().collect()) or [WINDOW]  # WINDOW rows at most
+    own = F.lit(None).cast("bigint")
     for n in widths:
-        own = F.when(F.col("__width") == n, windows(F.col("__words"), n)).otherwise(own)
-    theirs = items.select("item_id", F.explode(own).alias("w")).select("item_id", F.col("w.at").alias("there"), F.col("w.hash").alias("hash"))
+        own = F.when(F.col("__width") == n, hashed(F.col("__words"), F.col("there"), n)).otherwise(own)
+    theirs = items.select("i", "__width", "__words", F.posexplode("__words").alias("there", "__w")).select("i", "there", own.alias("hash")).where("hash is not null")
     theirs = stored(theirs, "benchmark-windows")
-    each = F.concat(*[windows(F.col("__words"), n) for n in widths or [WINDOW]])
-    ours = docs.select("doc_id", F.explode(each).alias("w")).select("doc_id", F.col("w.at").alias("here"), F.col("w.hash").alias("hash"))
+    ours = docs.select("k", "__words", F.posexplode("__words").alias("here", "__w"))
+    ours = ours.select("k", "here", F.explode(F.array(*[hashed(F.col("__words"), F.col("here"), n) for n in widths])).alias("hash")).where("hash is not null")
     known = theirs.select("hash").distinct()
     known = F.broadcast(known) if theirs.count() <= BROADCAST_WINDOWS else known
-    return ours.join(known, "hash", "left_semi").join(theirs, "hash").select("doc_id", "item_id", (F.col("here") - F.col("there")).alias("shift")).distinct()
+    return ours.join(known, "hash", "left_semi").join(theirs, "hash").select("k", "i", (F.col("here") - F.col("there")).alias("shift")).distinct()
 
 
 def slot(i: Column) -> Column:
@@ -91,9 +99,8 @@ def slot(i: Column) -> Column:
 
 
 def consistent(filled: Column) -> Column:
-    """One b for each a and one a for each b."""
-    kinds = F.size(F.array_distinct(filled))
-    return (kinds == F.size(F.array_distinct(F.transform(filled, lambda s: s["a"])))) & (kinds == F.size(F.array_distinct(F.transform(filled, lambda s: s["b"]))))
+    """One b for each a."""
+    return F.size(F.array_distinct(filled)) == F.size(F.array_distinct(F.transform(filled, lambda s: s["a"])))
 
 
 def aligned() -> Column:
@@ -122,21 +129,33 @@ def aligned() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, slots): documents that hold an item or a re-parameterised form of it.
 
-    Defined cases: items without words match nothing; null and empty texts hold nothing; a null doc_id or item_id is
-    ignored; repeated rows give one result; other columns are not read.
+    Defined cases: items without words match nothing; null and empty texts hold nothing; rows without a doc_id or an
+    item_id take part and give rows with a null id; repeated rows, and rows that share an id, give one result an id;
+    copies of a text each get theirs; empty tables give an empty result; other columns are not read.
     """
-    slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ours = with_words(slim, "text")
-    items = with_values(benchmark.where("item_id is not null").select("item_id", F.col("text").alias("itext")).distinct(), "itext")
-    items = stored(items.where("size(__words) > 1 or __words[0] <> ''").select("item_id", F.col("__raw").alias("iraw"), F.col("__words").alias("iwords")), "benchmark")
-    found = stored(proposals(ours, items.withColumnRenamed("iwords", "__words"), share), "proposals")
-    few = slim.join(found.select("doc_id").distinct(), "doc_id")
-    both = with_values(few.distinct(), "text").select("doc_id", "__raw", "__words").join(found, "doc_id").join(items, "item_id")
+    found = matched(docs.select(text_key(text).alias("k"), F.col(text).cast("string").alias("text")), benchmark.select(text_key("text").alias("i"), F.col("text").cast("string").alias("itext")), share)
+    named = benchmark.select(text_key("text").alias("i"), "item_id").distinct()
+    got = docs.select(F.col(ident).alias("doc_id"), text_key(text).alias("k")).join(found, "k").join(named, "i")
+    return got.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("slots").alias("slots"))
+
+
+def matched(slim: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    """(k, i, share, slots) of texts and items by their hashes, a stored table."""
+    with scratch(slim.sparkSession) as work:
+        return work.kept(stored(compared(slim, benchmark, share), "leaks"))
+
+
+def compared(slim: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    items = with_values(benchmark.dropDuplicates(["i"]), "itext")
+    items = stored(items.where("size(__words) > 1 or __words[0] <> ''").select("i", F.col("__raw").alias("iraw"), F.col("__words").alias("iwords")), "benchmark")
+    found = stored(proposals(with_words(slim, "text"), items.withColumnRenamed("iwords", "__words"), share), "proposals")
+    few = slim.join(found.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    both = with_values(few, "text").select("k", "__raw", "__words").join(found, "k").join(items, "i")
     n = F.size("iwords")
     both = both.withColumn("need", F.ceil(F.lit(share) * n).cast("int")).withColumn("off", (n - F.col("need")).cast("int"))
     low = F.greatest(F.col("shift") - F.col("off"), F.lit(0))
     part = lambda c: F.slice(c, low + 1, F.greatest(F.col("shift") + n + F.col("off") - low, F.lit(0)))
-    both = stored(both.select("doc_id", "item_id", "iraw", "iwords", "need", "off", part("__raw").alias("raw"), part("__words").alias("words"), (F.col("shift") - low).alias("shift")), "candidates")
+    both = stored(both.select("k", "i", "iraw", "iwords", "need", "off", part("__raw").alias("raw"), part("__words").alias("words"), (F.col("shift") - low).alias("shift")), "candidates")
     all_of = F.sequence(F.lit(0), n - 1)
     equal = F.transform(all_of, lambda i: F.coalesce(F.get("iwords", i) == F.get("words", i + F.col("shift")), F.lit(False)))
     both = both.withColumn("equal", equal).withColumn("agree", F.size(F.filter("equal", lambda e: e)))
@@ -156,8 +175,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
     run = F.exists(starts, lambda i: (end(i) - i >= STRETCH) & consistent(filled(F.filter("pairs", lambda p: (p["i"] >= i) & (p["i"] < end(i))))))
     got = both.withColumn("run", F.contains("line", F.lit("1" * STRETCH)) & run).where("as_is or gaps or run")
     most, slots = F.when(F.col("gaps"), F.col("best.n")).otherwise(F.col("agree")), F.when(F.col("gaps"), F.size("best.at")).otherwise(F.size("pairs"))
-    got = got.select("doc_id", "item_id", (most / n).alias("share"), slots.alias("slots"))
-    return got.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("slots").alias("slots"))
+    got = got.select("k", "i", (most / n).alias("share"), slots.alias("slots"))
+    return got.groupBy("k", "i").agg(F.max("share").alias("share"), F.max("slots").alias("slots"))
 
 
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +184,11 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that hold a benchmark item go.
+
+    Defined cases: texts decide, so rows without an id and rows that share one are judged by themselves; null and empty
+    texts stay; copies of a contaminated text go; without items all stay; the columns of docs pass through.
+    """
+    slim = docs.select(text_key("text").alias("k"), F.col("text").cast("string").alias("text"))
+    bad = matched(slim, table(spark, sf_dir, "benchmark").select(text_key("text").alias("i"), F.col("text").cast("string").alias("itext")), SHARE)
+    return docs.withColumn("__key", text_key("text")).join(bad.select(F.col("k").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
