@@ -51,7 +51,8 @@ def role_back(line: str) -> str:
 
 class Parser:
     """Deterministic and incremental: feed() takes the next piece of output and yields (role, text) of each turn
-    that ended in it. It keeps no more than the turn that is open."""
+    that ended in it. It keeps no more than the turn that is open. A control string anywhere but in its own place is
+    an error, as a consumer would obey it."""
 
     def __init__(self) -> None:
         self.rest = ""
@@ -60,12 +61,12 @@ class Parser:
         self.rest += piece
         at = 0
         while self.rest.startswith(START, at):
-            stop = self.rest.find(END + "\n", at)
-            if stop < 0:
+            stop = self.rest.find(END, at)
+            if stop < 0 or len(self.rest) == stop + len(END):
                 break
             head, sep, body = self.rest[at + len(START) : stop].partition("\n")
-            if not sep:
-                raise ValueError("a turn without a role line")
+            if not sep or START in head or START in body or self.rest[stop + len(END)] != "\n":
+                raise ValueError("a control string out of its place")
             yield role_back(unescape(head)), unescape(body)
             at = stop + len(END) + 1
         self.rest = self.rest[at:]
@@ -149,3 +150,15 @@ def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", ATTACK), (-1, 1, TRAINED, ATTACK)], "conv_id long, turn long, role string, text string")
     return digests(formatted(rows.unionByName(probe)))
+
+
+#: Turns that hold no `<`, backslashes and `|` in a row are their own escaped form, so all are escaped alike here.
+ORACLE = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-1, 0, 'user', '{ATTACK}'), (-1, 1, '{TRAINED}', '{ATTACK}'))),
+s as (select *, '{START}' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '{END}' || chr(10) as segment from t)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, segment)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = '{TRAINED}'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, segment) filter (where role = '{TRAINED}'), '')) as loss_sha256, sum(length(segment))::bigint as formatted_chars
+from s group by conv_id
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_systematic_mixing": mixing.ORACLE,
+    "op8_chat_round_trip": chat.ORACLE,
 }
