@@ -6,9 +6,10 @@ hold the transform of a corpus, so the strings that may be equal are brought tog
 1. Every 100-byte window is keyed by the least hash of its 32-byte substrings. Equal windows have equal keys, and
    neighbouring windows mostly share one, so a run of windows is one row (about one in 35 bytes): its key, a hash
    of its bytes, its place.
-2. Runs meet by key. A run whose bytes an earlier run holds too is wholly repeated. Of keys with different runs the
-   first of each kind go on, with their bytes, and so do runs of a short period, which may repeat a window
-   themselves; other keys that occur once end here.
+2. Runs meet by key. A run whose bytes an earlier run holds too is wholly repeated; that is decided here, by the
+   57 bits of the key and a 64-bit hash of the run's bytes together, and most repeated runs take this way. Of keys
+   with different runs the first of each kind go on, with their bytes, and so do runs of a short period, which may
+   repeat a window themselves; other keys that occur once end here.
 3. Those runs are packed into blocks of whole keys. In each block the transform is built and intervals are extended
    backwards breadth first, which sets common prefix lengths by increasing value; it stops at 100. What is still
    unset there separates suffixes that share 100 bytes, so stretches of unset places are classes of equal windows.
@@ -35,7 +36,9 @@ GRAM = 32
 BLOCK = 1 << 20
 SLICE = 8 << 20
 
-RUNS = "key long, same long, doc_id long, start int, windows int, twin boolean"
+#: start: the place in the text, below the number of the text among those of its id.
+RUNS = "key long, same long, doc_id long, start long, windows int, twin boolean"
+LOW = (1 << 32) - 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 with np.errstate(over="ignore"):
     BYTE = (np.arange(1, 257, dtype=np.uint64) * MIX[0]) ^ ((np.arange(1, 257, dtype=np.uint64) * MIX[1]) >> np.uint64(29))
@@ -89,12 +92,12 @@ def all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             held = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, sub, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not text:
                     continue
                 key, start, n, twin = runs(text, length, gram)
                 same = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), (start + n + length - 1).tolist())]
-                parts = (key, np.array(same, np.uint64).view(np.int64), None, start.astype(np.int32), n.astype(np.int32), twin)
+                parts = (key, np.array(same, np.uint64).view(np.int64), None, start.astype(np.int64) + (sub << 32), n.astype(np.int32), twin)
                 for to, x in zip(out, parts):
                     to.append(x if x is not None else pa.repeat(pa.scalar(doc, pa.int64()), len(key)))
                 held += len(key)
@@ -223,15 +226,34 @@ def repeats(strings: list[bytes], places: list[tuple], length: int) -> list[tupl
     return [(int(owner[hit[i]]), int(offset[hit[i]]), int(offset[hit[j]]) + length) for i, j in zip(cutting, ends)]
 
 
-def packed(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(doc_id, text), the text compressed for the shuffle."""
+def placed(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(doc_id, sub, text, own): own is the row's id. Rows are documents by id and text: doc_id orders them, and sub
+    numbers the different texts of one id by their hash. Rows without an id come first, in order of their text's hash,
+    each text a document of its own, so they are no group. Only ids with several texts, if there are any, are joined."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit(b"")))
+    docs = df.select(F.col(ident).cast("long").alias("own"), F.col(text).cast("binary").alias("text"))
+    first = F.lit(-(2**63)).cast("long") + hashed.bitwiseAND(F.lit((1 << 61) - 1))
+    docs = docs.select(F.coalesce("own", first).alias("doc_id"), "text", "own")
+    seen = docs.select("doc_id", hashed.alias("h"))
+    several = seen.groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("doc_id")
+    several = stored(several, "several")
+    if several.isEmpty():
+        return docs.select("doc_id", F.lit(0).alias("sub"), "text", "own")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1
+    subs = stored(seen.join(several, "doc_id", "left_semi").distinct().withColumn("n", number).select(F.col("doc_id").alias("__of"), "h", "n"), "several")
+    both = docs.join(subs, (F.col("doc_id") == F.col("__of")) & (hashed == F.col("h")), "left")
+    return both.select("doc_id", F.coalesce("n", F.lit(0)).alias("sub"), "text", "own")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """placed() with the text compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], ["doc_id", "sub", "text", "own"])
 
-    return df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, text binary")
+    return docs.mapInArrow(run, "doc_id long, sub int, text binary, own long")
 
 
 def merged(spans: list[int], n: int) -> list[tuple[int, int]]:
@@ -249,18 +271,19 @@ def merged(spans: list[int], n: int) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """One row a row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with keep_text also kept (binary).
 
-    Defined cases: null and empty texts have no bytes; texts shorter than the length lose nothing; rows repeated
-    under one id are one document and each gets its result (their texts should be equal); a null id comes before
-    all others; an empty table gives an empty result; other columns are not read.
+    Defined cases: null and empty texts have no bytes; texts shorter than the length lose nothing; equal rows are one
+    document and each gets its result; different texts under one id are documents of their own, one after another in
+    order of a hash of the text; rows without an id are too, before all ids (which have to be over -2**62); an empty
+    table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
     n = partitions(spark)
-    docs = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    docs = placed(df, ident, text)
     place = Window.partitionBy("key", "same").orderBy("doc_id", "start")
     of_key = Window.partitionBy("key")
     # dealt by key once: finer windows sort within it
     found = all_runs(docs, length, gram).repartition(n, "key").withColumn("r", F.rank().over(place))
-    found = found.withColumn("lo", F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "start")).over(of_key)).withColumn("hi", F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "start")).over(of_key))
+    found = found.withColumn("lo", F.min(F.struct("doc_id", "start")).over(of_key)).withColumn("hi", F.max(F.struct("doc_id", "start")).over(of_key))
     found = found.withColumn("mixed", F.min("same").over(of_key) != F.max("same").over(of_key))
     found = found.where("r > 1 or twin or (lo <> hi and mixed)")
     found = stored(found.select("doc_id", "start", "windows", F.when(F.col("r") == 1, F.col("key")).alias("key")), "runs")
@@ -270,12 +293,13 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
         for b in batches:
             for doc, text, todo in zip(*(b.column(i).to_pylist() for i in range(3))):
                 whole = plain.decompress(text)
-                rows = [(x["key"], x["start"], whole[x["start"] : x["start"] + x["windows"] + length - 1]) for x in {(y["key"], y["start"]): y for y in todo}.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([doc] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["key", "doc_id", "start", "bytes"])
+                rows = [(x["key"], x["start"], whole[x["start"] & LOW : (x["start"] & LOW) + x["windows"] + length - 1]) for x in {(y["key"], y["start"]): y for y in todo}.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([doc] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["key", "doc_id", "start", "bytes"])
 
-    wanted = found.where("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "windows")).alias("todo")).withColumnRenamed("doc_id", "__of")
-    whole = packed(df, ident, text)
-    pieces = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("__of"))).select("doc_id", "text", "todo").mapInArrow(slices, "key long, doc_id long, start int, bytes binary")
+    sub = F.shiftright("start", 32).cast("int")
+    wanted = found.where("key is not null").groupBy(F.col("doc_id").alias("__of"), sub.alias("__sub")).agg(F.collect_list(F.struct("key", "start", "windows")).alias("todo"))
+    mine = (F.col("doc_id") == F.col("__of")) & (F.col("sub") == F.col("__sub"))
+    pieces = packed(docs).join(wanted, mine).select("doc_id", "text", "todo").mapInArrow(slices, "key long, doc_id long, start long, bytes binary")
     pieces = pieces.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +308,9 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
 
         def solve() -> pa.RecordBatch:
             got = repeats([r[2] for r in rows], [(r[0], r[1]) for r in rows], length)
-            doc = [rows[i][0] for i, _, _ in got]
-            span = [((rows[i][1] + a) << 32) | (rows[i][1] + z) for i, a, z in got]
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64())], ["doc_id", "span"])
+            doc, sub = [rows[i][0] for i, _, _ in got], [rows[i][1] >> 32 for i, _, _ in got]
+            span = [(((rows[i][1] & LOW) + a) << 32) | ((rows[i][1] & LOW) + z) for i, a, z in got]
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sub, pa.int32()), pa.array(span, pa.int64())], ["doc_id", "sub", "span"])
 
         for b in batches:
             for key, doc, start, piece in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -301,9 +325,10 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
         if rows:
             yield solve()
 
-    spans = found.where("key is null").select("doc_id", ((F.col("start").cast("long") * (1 << 32)) + F.col("start") + F.col("windows") + (length - 1)).alias("span"))
-    spans = spans.unionAll(pieces.mapInArrow(expand, "doc_id long, span long"))
-    spans = spans.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("span").alias("spans"))
+    at = F.col("start").bitwiseAND(F.lit(LOW))
+    spans = found.where("key is null").select("doc_id", sub.alias("sub"), (F.shiftleft(at, 32) + at + F.col("windows") + (length - 1)).alias("span"))
+    spans = spans.unionAll(pieces.mapInArrow(expand, "doc_id long, sub int, span long"))
+    spans = spans.groupBy(F.col("doc_id").alias("__of"), F.col("sub").alias("__sub")).agg(F.collect_set("span").alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
@@ -319,7 +344,7 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text", len
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     names = [x.split()[0] for x in schema.split(", ")]
-    return packed(df, ident, text).join(spans, F.col("doc_id").eqNullSafe(F.col("__of")), "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
+    return packed(docs).join(spans, mine, "left").select("own", "text", "spans").mapInArrow(finish, schema)
 
 
 def op5_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
