@@ -87,10 +87,11 @@ def fit(sample: np.ndarray, codes: int = CODES, goal: float = GOAL, k: int = K)
 
 
 def usable(df: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(vec_id, v double array): vectors that take part. Of several lengths the most frequent one does."""
+    """(row, vec_id, v double array): vectors that take part, a table in which row tells them apart, also those that
+    share an id. Of several lengths the most frequent one takes part."""
     x = df.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    x = x.where(F.coalesce(fine, F.lit(False))).dropDuplicates(["vec_id"])
+    x = stored(x.where(F.coalesce(fine, F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return x.where(F.size("v") == (sizes["n"] if sizes else 0))
 
@@ -102,16 +103,18 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", each: int = 20, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for every id divisible by `each` the k best found, ties to the smaller id.
+    """query_id, rank, vec_id, score, query_row: for every row whose id is divisible by `each` the k best found, ties
+    to the smaller id.
 
     Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-    with a null id or of another length than most; rows repeated under one id count once; fewer than k candidates
-    are all returned; an empty table gives an empty result; other columns are not read.
+    with a null id or of another length than most; rows that share an id are vectors of their own, each a candidate
+    and, if the id says so, a query of its own list (query_row tells the lists apart); fewer than k candidates are all
+    returned; an empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    x = stored(usable(df, ident, vector), "vectors")
-    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
+    x = usable(df, ident, vector)
+    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).collect()
+    schema = "query_id long, rank int, vec_id long, score double, query_row long"
     if not rows:
         return spark.createDataFrame([], schema)
     index = fit(np.array([r["v"] for r in rows], np.float64), k=k)
@@ -119,11 +122,11 @@ def search(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", each
 
     def place(batches):
         for b in batches:
-            v = matrix(b.column(1))
+            v = matrix(b.column(2))
             cell = nearest(v[:, :half], books[0]) * len(books[1]) + nearest(v[:, half:], books[1]) if len(v) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], ["vec_id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["row", "vec_id", "v", "cell"])
 
-    x = stored(x.mapInArrow(place, "vec_id long, v array<double>, cell int"), "cells")
+    x = stored(x.select("row", "vec_id", "v").mapInArrow(place, "row long, vec_id long, v array<double>, cell int"), "cells")
     counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for r in x.groupBy("cell").count().collect():  # one row a cell
         counts[r["cell"]] = r["count"]
@@ -131,41 +134,41 @@ def search(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", each
 
     def probe(batches):
         for b in batches:
-            v = matrix(b.column(1))
+            v = matrix(b.column(2))
             cells = [walk(books[0] @ q[:half], books[1] @ q[half:], counts, want) for q in v]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "cells"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], ["query_row", "query_id", "q", "cells"])
 
-    asked = x.where(F.col("vec_id") % each == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = stored(asked.mapInArrow(probe, "query_id long, q array<double>, cells array<int>"), "probes")
+    asked = x.where(F.col("vec_id") % each == 0).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = stored(asked.mapInArrow(probe, "query_row long, query_id long, q array<double>, cells array<int>"), "probes")
     askers = np.zeros_like(counts)
     for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # one row a cell
         askers[r["cell"]] = r["count"]
     blocks = lambda n: F.element_at(F.array(*[F.lit(int(-(-c // BLOCK)) or 1) for c in n]), F.col("cell") + 1)
     some = lambda n, key: F.pmod(F.xxhash64(key), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    left = asked.select("query_id", "q", F.explode("cells").alias("cell")).withColumn("qb", some(askers, "query_id")).withColumn("vb", every(counts))
-    right = x.withColumn("vb", some(counts, "vec_id")).withColumn("qb", every(askers))
+    left = asked.select("query_row", "query_id", "q", F.explode("cells").alias("cell")).withColumn("qb", some(askers, "query_row")).withColumn("vb", every(counts))
+    right = x.withColumn("vb", some(counts, "row")).withColumn("qb", every(askers))
 
     def rerank(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = ([], [], [], [])
         if queries.num_rows and vectors.num_rows:
             qs, vs = matrix(queries["q"]), matrix(vectors["v"])
-            ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-            for q, query in zip(qs, own):
+            ids, rows = vectors["vec_id"].to_numpy(), vectors["row"].to_numpy()
+            for q, query, own in zip(qs, queries["query_id"].to_numpy(), queries["query_row"].to_numpy()):
                 score = (vs * q).sum(axis=1)  # in the order of the components, so that equal vectors tie
-                at = np.flatnonzero(ids != query)
+                at = np.flatnonzero(rows != own)
                 if len(at) > k:
                     at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
                 at = at[np.lexsort((ids[at], -score[at]))][:k]
-                for to, part in zip(found, (np.full(len(at), query), ids[at], score[at])):
+                for to, part in zip(found, (np.full(len(at), own), np.full(len(at), query), ids[at], score[at])):
                     to.append(part)
-        cols = [np.concatenate(f) if f else np.empty(0, t) for f, t in zip(found, (np.int64, np.int64, np.float64))]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
+        cols = [np.concatenate(f) if f else np.empty(0, t) for f, t in zip(found, (np.int64, np.int64, np.int64, np.float64))]
+        return pa.table(cols, names=["query_row", "query_id", "vec_id", "score"])
 
     keys = ("cell", "qb", "vb")
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rerank, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
