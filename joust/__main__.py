@@ -10,18 +10,20 @@ from .operators import choices as C
 from .operators import cohort as H
 from .operators import design as G
 from .operators import ranking as R
+from .operators.summary import n_pairs_for
 from .schemas import BASELINE, CONDITION
 from .session import session
 from .sources import records as S
 from .sources.reports import Saver
 
 
-def analyse(spark, paths: list[str], out: str, models: list[str] | None = None, partial: bool = False, n_boot: int = R.N_BOOT) -> Saver:
-    """All tables of an analysis as CSV folders with a manifest. One plan for all models."""
+def analyse(spark, paths: list[str], out: str, models: list[str] | None = None, partial: bool = False, n_boot: int = R.N_BOOT, n_pairs: int | None = None) -> Saver:
+    """All tables of an analysis as CSV folders with a manifest. One plan for all models. A block is complete by the
+    design: n_pairs pairs if the design sampled them, else all pairs of the entities that any record names."""
     rows = S.deduplicated(S.ordered(spark, paths).withColumn("__key", S.record_key()), ["__key"]).drop("__key", "seq")
     x = C.from_records(rows)
     x = x.where(F.col("model").isin(*models)) if models else x
-    n_pairs = x.select("a", "b").distinct().count()
+    n_pairs = n_pairs_for(x.select(F.explode(F.array("a", "b"))).distinct().count(), n_pairs)
     cov = C.coverage(x, n_pairs)
     x = x if partial else C.complete_blocks(x, cov)
     x = x.cache()
@@ -35,7 +37,7 @@ def analyse(spark, paths: list[str], out: str, models: list[str] | None = None,
     s.csv(C.answerability(x).orderBy(*CONDITION), "answerability.csv", "answered and refused shares")
     s.csv(C.position_bias(x).orderBy("model", "n_options"), "position_bias.csv", "choice rate by printed position")
     s.csv(C.slot_duels(x), "slot_duels.csv", "wins of the earlier slot")
-    s.csv(C.validity_rates(stats).orderBy(*CONDITION), "validity.csv", "validity rates by condition")
+    s.csv(R.condition_report(stats, est, min(n_boot, 200)).orderBy(*CONDITION), "validity.csv", "validity rates, reliability and transitivity by condition")
     s.csv(C.transitivity(est).orderBy(*CONDITION), "transitivity.csv", "closed and cyclic triads")
     s.csv(ranking.orderBy("model", F.desc("win_rate"), "entity"), "ranking.csv", "win rates, intervals and strengths at the baseline")
     s.csv(R.reliability(est), "reliability.csv", "split-half reliability by condition")
@@ -55,15 +57,16 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--out", required=True)
     a.add_argument("--models")
     a.add_argument("--partial", action="store_true")
+    a.add_argument("--pairs", type=int)
     b = sub.add_parser("plan")
     b.add_argument("--entities", type=int, default=32)
     b.add_argument("--repeats", type=int, default=1)
     o = p.parse_args(args)
     spark = session()
     if o.do == "plan":
-        G.plan(G.grid(spark.createDataFrame([("one model",)], "model string"), G.all_pairs(G.spec_entities(spark, o.entities)), o.repeats)).orderBy("qvar", "object", "subject").show(100, False)
+        G.plan(G.grid(spark.createDataFrame([("one model",)], "model string"), G.all_pairs(spark.range(o.entities).select(F.format_string("E%04d", "id").alias("entity"))), o.repeats)).orderBy("qvar", "object", "subject").show(100, False)
     else:
-        analyse(spark, o.records, o.out, o.models.split(",") if o.models else None, o.partial)
+        analyse(spark, o.records, o.out, o.models.split(",") if o.models else None, o.partial, n_pairs=o.pairs)
 
 
 if __name__ == "__main__":

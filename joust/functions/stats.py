@@ -44,9 +44,10 @@ def hash32(*parts) -> Column:
 
 
 def interval(x: str, level: float = 95.0) -> tuple[Column, Column]:
-    """Exact percentiles, linear between order statistics, ignoring nulls."""
-    tail = (100 - level) / 200
-    return F.percentile(F.col(x), F.lit(tail)), F.percentile(F.col(x), F.lit(1 - tail))
+    """Exact percentiles, linear between order statistics, ignoring nulls. Draws count to nine places, so that the
+    order of a floating-point sum does not show in a percentile."""
+    tail, v = (100 - level) / 200, F.round(x, 9)
+    return F.percentile(v, F.lit(tail)), F.percentile(v, F.lit(1 - tail))
 
 
 def two_sided(x: str, null: float = 0.0) -> Column:

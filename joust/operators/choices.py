@@ -109,16 +109,20 @@ COUNTS = ["n", "answered", "refused", "none", "pos1", "pos2", "pos3", "duel", "d
 
 
 def pair_stats(choices: DataFrame) -> DataFrame:
-    """Thirteen sufficient statistics a (condition, pair): what every validity rate is a ratio of."""
-    low = F.least("pos_a", "pos_b")
+    """Thirteen sufficient statistics a (condition, pair): what every validity rate is a ratio of. One aggregate."""
+    low, first = F.least("pos_a", "pos_b"), F.col("pos_a") < F.col("pos_b")
     duel = F.col("answered") & ~F.coalesce("chose_none", F.lit(False))
+    ordered = F.col("answered") & (F.col("chose_none") == F.lit(False)) & F.col("pos_a").isNotNull() & F.col("pos_b").isNotNull()
     x = choices.groupBy(*PAIR).agg(
         F.count("*").alias("n"), count_of(F.col("answered")).alias("answered"), count_of(F.col("refused")).alias("refused"), count_of(F.col("answered") & F.col("chose_none")).alias("none"),
         *[count_of(F.col("answered") & (F.col("chosen_position") == k)).alias(f"pos{k}") for k in (1, 2, 3)],
         count_of(duel).alias("duel"), count_of(duel & (F.col("chosen_position") == low)).alias("duel_lo"), F.max("n_options").alias("n_options"),
+        F.avg(F.when(ordered & first, F.col("chose_a").cast("double"))).alias("__p"), F.avg(F.when(ordered & ~first, F.col("chose_a").cast("double"))).alias("__q"),
     )
-    c = order_consistency(choices).select(*PAIR, F.col("decisive").cast("bigint").alias("decisive"), F.col("flipped").cast("bigint").alias("flipped"), "delta", F.lit(1).cast("bigint").alias("has_delta"))
-    return x.join(c, PAIR, "left").fillna(0, ["decisive", "flipped", "delta", "has_delta"])
+    p, q = F.col("__p"), F.col("__q")
+    decisive = F.coalesce(F.least(F.abs(p - 0.5), F.abs(q - 0.5)) >= TIE, F.lit(False)) & p.isNotNull() & q.isNotNull()
+    x = x.withColumn("decisive", decisive.cast("bigint")).withColumn("flipped", F.coalesce(decisive & ((p > 0.5) != (q > 0.5)), F.lit(False)).cast("bigint"))
+    return x.withColumn("delta", F.coalesce(F.abs(p - q), F.lit(0.0))).withColumn("has_delta", (p.isNotNull() & q.isNotNull()).cast("bigint")).drop("__p", "__q")
 
 
 def rates(n_options, of=lambda c: F.sum(c)) -> dict[str, F.Column]:

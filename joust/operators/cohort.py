@@ -81,7 +81,8 @@ def trends(rates: DataFrame, meta: DataFrame, axis: str, n_perm: int = N_PERM, s
     """Per entity, Spearman of its win rate with a model covariate. One permutation of the models serves every row;
     fewer than four models give no row, a flat row has null rho, p and q."""
     m = meta.where(F.col(axis).isNotNull()).withColumn("xr", mean_rank(axis, [])).withColumn("ix", F.row_number().over(Window.orderBy("model"))).withColumn("k", F.count("*").over(Window.partitionBy())).where(F.col("k") >= LEAST_MODELS).select("model", "xr", "ix")
-    x = rates.where("win_rate is not null").withColumn("r", mean_rank("win_rate", ["entity"])).join(F.broadcast(m), "model")
+    # only models with a place on the axis are ranked
+    x = rates.where("win_rate is not null").join(F.broadcast(m), "model").withColumn("r", mean_rank("win_rate", ["entity"]))
     obs = x.groupBy("entity").agg(F.count("*").alias("n_models"), pearson("r", "xr").alias("rho"))
     perm = m.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     by = Window.partitionBy("rep").orderBy(hash32(seed, F.col("rep"), F.col("model")), "model")

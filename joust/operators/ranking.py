@@ -1,7 +1,7 @@
 """Rankings, strengths, resampling and paired contrasts over pair estimates.
 
 Everything stays long: two rows a pair, never a pivoted matrix. A resample is an indexed hash draw, so it is the
-same on every engine and partitioning; weights are never materialised, drawn rows are averaged.
+same on every engine and partitioning; it is drawn from its group's array of pairs inside a row, without a join.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import hash32, interval, mean_rank, pearson, ratio, spearman_brown, step_up, two_sided
 from ..schemas import BASELINE, CONDITION
-from .choices import COUNTS, METRICS, both_sides, pair_estimates, rates, win_rates
+from .choices import COUNTS, METRICS, both_sides, pair_estimates, rates, transitivity
 
 N_BOOT, N_SPLIT, PRIOR, LEAST_PAIRS = 2000, 200, 0.5, 8
+#: Resamples of a group are dealt to so many tasks.
+BLOCKS = 32
 
 
 def at_condition(df: DataFrame, condition: dict) -> DataFrame:
@@ -27,28 +29,36 @@ def numbered(estimates: DataFrame, keys: list[str]) -> DataFrame:
     return estimates.where("pref_a is not null").withColumn("ix", F.row_number().over(Window.partitionBy(*keys).orderBy("a", "b")) - 1)
 
 
-def draws(pairs: DataFrame, keys: list[str], n_boot: int, seed: int, bit: bool = False) -> DataFrame:
-    """keys, rep, ix: as many draws with replacement as there are pairs; with bit also a fair coin a draw (half)."""
-    sizes = pairs.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    x = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n_rows") - 1).cast("int"))))
-    x = x.withColumn("ix", (hash32(seed, F.col("rep"), F.col("k")) % F.col("n_rows")).cast("int"))
-    return x.select(*keys, "rep", "ix", *([(hash32(seed, F.lit("half"), F.col("rep"), F.col("k")) % 2).cast("int").alias("half")] if bit else []))
+def packed(pairs: DataFrame, keys: list[str], cols: list[str], n_rep: int) -> DataFrame:
+    """One row a (keys, rep) with the pairs of its group as an array, spread over partitions by blocks of rep. A group
+    has as many pairs as the design, whatever the number of trials; only these arrays are shuffled, never draws."""
+    one = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ix", *cols))).alias("__p"))
+    blocks = min(BLOCKS, n_rep)
+    x = one.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*keys, "__block")
+    return x.withColumn("rep", F.explode(F.sequence(F.col("__block"), F.lit(n_rep - 1), F.lit(blocks))))
 
 
-def halves(pairs: DataFrame, keys: list[str], n_split: int, seed: int) -> DataFrame:
-    """keys, rep, ix, half: random halves of the pairs, the first of floor(n / 2)."""
-    x = pairs.select(*keys, "ix").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_split - 1))))
-    by = Window.partitionBy(*keys, "rep")
-    place = F.row_number().over(by.orderBy(hash32(seed, F.col("rep"), F.col("ix")), "ix"))
-    return x.select(*keys, "rep", "ix", F.when(place <= F.floor(F.count("*").over(by) / 2), 0).otherwise(1).alias("half"))
+def resampled(pairs: DataFrame, keys: list[str], cols: list[str], n_boot: int, seed: int, bit: bool = False) -> DataFrame:
+    """keys, rep, cols of as many pairs drawn with replacement as there are; with bit also a fair coin a draw (half)."""
+    n = F.size("__p")
+    place = lambda k: (hash32(seed, F.col("rep"), k) % n).cast("int")
+    coin = lambda k: (hash32(seed, F.lit("half"), F.col("rep"), k) % 2).cast("int")
+    one = lambda k: F.struct(F.get("__p", place(k)).alias("p"), *([coin(k).alias("half")] if bit else []))
+    x = packed(pairs, keys, cols, n_boot).select(*keys, "rep", F.explode(F.transform(F.sequence(F.lit(0), n - 1), one)).alias("d"))
+    return x.select(*keys, "rep", *[F.col(f"d.p.{c}").alias(c) for c in cols], *(["d.half"] if bit else []))
+
+
+def halved(pairs: DataFrame, keys: list[str], cols: list[str], n_split: int, seed: int) -> DataFrame:
+    """keys, rep, cols, half: random halves of the pairs, the first of floor(n / 2)."""
+    mixed = F.array_sort(F.transform("__p", lambda p: F.struct(hash32(seed, F.col("rep"), p["ix"]).alias("h"), p["ix"].alias("ix"), p.alias("p"))))
+    x = packed(pairs, keys, cols, n_split).select(*keys, "rep", F.floor(F.size("__p") / 2).alias("first"), F.posexplode(mixed).alias("at", "m"))
+    return x.select(*keys, "rep", *[F.col(f"m.p.{c}").alias(c) for c in cols], F.when(F.col("at") < F.col("first"), 0).otherwise(1).alias("half"))
 
 
 def bootstrap_intervals(estimates: DataFrame, keys: list[str] = CONDITION, n_boot: int = N_BOOT, seed: int = 11) -> DataFrame:
     """entity, ci_lo, ci_hi of its win rate over resampled pairs."""
-    pairs = numbered(estimates, keys)
-    drawn = draws(pairs, keys, n_boot, seed).groupBy(*keys, "rep", "ix").agg(F.count("*").alias("w"))
-    x = drawn.join(both_sides(pairs).select(*keys, "ix", "entity", "win"), [*keys, "ix"])
-    x = x.groupBy(*keys, "rep", "entity").agg((F.sum(F.col("w") * F.col("win")) / F.sum("w")).alias("v"))
+    drawn = resampled(numbered(estimates, keys), keys, ["a", "b", "pref_a"], n_boot, seed)
+    x = both_sides(drawn).groupBy(*keys, "rep", "entity").agg(F.avg("win").alias("v"))
     lo, hi = interval("v")
     return x.groupBy(*keys, "entity").agg(lo.alias("ci_lo"), hi.alias("ci_hi"), F.count("v").alias("n_draws"))
 
@@ -123,26 +133,21 @@ def construct_ranking(ranking: DataFrame, keys: list[str]) -> DataFrame:
     return ranking.groupBy(*keys, "construct").agg(F.avg("win_rate").alias("mean"), F.min("win_rate").alias("min"), F.max("win_rate").alias("max"), F.stddev_samp("win_rate").alias("sd"), F.count("win_rate").alias("n"))
 
 
-def half_rates(pairs: DataFrame, split: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rep, entity, h0, h1: win rates of either half of the pairs."""
-    x = split.join(both_sides(pairs).select(*keys, "ix", "entity", "win"), [*keys, "ix"])
-    side = lambda h: F.avg(F.when(F.col("half") == h, F.col("win"))).alias(f"h{h}")
-    return x.groupBy(*keys, "rep", "entity").agg(side(0), side(1))
-
-
 def reliability(estimates: DataFrame, keys: list[str] = CONDITION, n_split: int = N_SPLIT, seed: int = 5) -> DataFrame:
     """Split-half reliability over pairs, stepped up; null under eight pairs."""
     pairs = numbered(estimates, keys)
     enough = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"))
-    r = half_rates(pairs, halves(pairs, keys, n_split, seed), keys).groupBy(*keys, "rep").agg(pearson("h0", "h1").alias("r"))
-    x = r.groupBy(*keys).agg(F.avg("r").alias("r_half")).join(enough, keys)
+    side = lambda h: F.avg(F.when(F.col("half") == h, F.col("win"))).alias(f"h{h}")
+    x = both_sides(halved(pairs, keys, ["a", "b", "pref_a"], n_split, seed)).groupBy(*keys, "rep", "entity").agg(side(0), side(1))
+    x = x.groupBy(*keys, "rep").agg(pearson("h0", "h1").alias("r")).groupBy(*keys).agg(F.avg("r").alias("r_half")).join(enough, keys)
     return x.select(*keys, "n_pairs", F.when(F.col("n_pairs") >= LEAST_PAIRS, spearman_brown(F.col("r_half"))).alias("reliability"))
 
 
 def parity_reliability(choices: DataFrame, keys: list[str] = CONDITION) -> DataFrame:
-    """Even against odd trials, over entities; five at least."""
-    half = lambda p, to: win_rates(pair_estimates(choices.where(F.col("trial") % 2 == p), [*keys, "a", "b"]), keys).select(*keys, "entity", F.col("win_rate").alias(to))
-    x = half(0, "x").join(half(1, "y"), [*keys, "entity"]).groupBy(*keys).agg(pearson("x", "y", 5).alias("r"))
+    """Even against odd trials, over entities; five at least. Both halves in one pass."""
+    x = pair_estimates(choices.withColumn("__odd", F.col("trial") % 2), [*keys, "a", "b", "__odd"])
+    side = lambda p, to: F.avg(F.when(F.col("__odd") == p, F.col("win"))).alias(to)
+    x = both_sides(x).groupBy(*keys, "entity").agg(side(0, "x"), side(1, "y")).groupBy(*keys).agg(pearson("x", "y", 5).alias("r"))
     return x.where("r is not null").select(*keys, spearman_brown(F.col("r")).alias("reliability"))
 
 
@@ -182,68 +187,67 @@ def agreement(wins: DataFrame, left: str, keys: list[str], rel: DataFrame | None
 
 
 def aligned(estimates: DataFrame, factor: str, baseline: dict = BASELINE) -> DataFrame:
-    """model, ix, entity, base, flip: both sides of the pairs that the baseline and its one-factor neighbour share."""
+    """model, ix, a, b, p, q: the pairs that the baseline (p) and its one-factor neighbour (q) share, numbered."""
     rest = {k: v for k, v in baseline.items() if k != factor}
     x = at_condition(estimates, rest).where("pref_a is not null")
     is_base = F.col(factor) == F.lit(baseline[factor])
     both = x.groupBy("model", "a", "b").agg(F.max(F.when(is_base, F.col("pref_a"))).alias("p"), F.max(F.when(~is_base, F.col("pref_a"))).alias("q")).where("p is not null and q is not null")
-    both = both.withColumn("ix", F.row_number().over(Window.partitionBy("model").orderBy("a", "b")) - 1).withColumn("n_rows", F.count("*").over(Window.partitionBy("model"))).where(F.col("n_rows") >= LEAST_PAIRS)
-    side = lambda e, p, q: F.struct(F.col(e).alias("entity"), p.alias("base"), q.alias("flip"))
-    return both.withColumn("side", F.explode(F.array(side("a", F.col("p"), F.col("q")), side("b", 1 - F.col("p"), 1 - F.col("q"))))).select("model", "ix", "n_rows", "side.*")
+    both = both.withColumn("ix", F.row_number().over(Window.partitionBy("model").orderBy("a", "b")) - 1).withColumn("n_rows", F.count("*").over(Window.partitionBy("model")))
+    return both.where(F.col("n_rows") >= LEAST_PAIRS).drop("n_rows")
 
 
-def one_a_pair(sides: DataFrame) -> DataFrame:
-    return sides.select("model", "ix").distinct()
+def faces(pairs: DataFrame) -> DataFrame:
+    """Both sides of aligned pairs: entity, base, flip."""
+    side = lambda e, p, q: F.struct(F.col(e).alias("entity"), p.alias("base"), q.alias("flip"))
+    return pairs.withColumn("side", F.explode(F.array(side("a", F.col("p"), F.col("q")), side("b", 1 - F.col("p"), 1 - F.col("q"))))).select("*", "side.*").drop("side", "a", "b", "p", "q")
 
 
 def shift(estimates: DataFrame, factor: str, baseline: dict = BASELINE, n_boot: int = N_BOOT, seed: int = 17) -> DataFrame:
     """Per model and entity: win rates at the baseline and the flip on shared pairs, their difference, interval, p, q."""
-    sides = aligned(estimates, factor, baseline)
-    point = sides.groupBy("model", "entity").agg(F.avg("base").alias("win_baseline"), F.avg("flip").alias("win_flip"), F.count("*").alias("n_pairs"))
-    got = shift_draws(sides, n_boot, seed)
+    return shift_of(aligned(estimates, factor, baseline), factor, n_boot, seed)
+
+
+def shift_of(pairs: DataFrame, factor: str, n_boot: int, seed: int) -> DataFrame:
+    point = faces(pairs).groupBy("model", "entity").agg(F.avg("base").alias("win_baseline"), F.avg("flip").alias("win_flip"), F.count("*").alias("n_pairs"))
     lo, hi = interval("d")
-    x = point.join(got.groupBy("model", "entity").agg(lo.alias("shift_lo"), hi.alias("shift_hi"), two_sided("d").alias("p")), ["model", "entity"], "left")
+    x = point.join(shift_draws(pairs, n_boot, seed).groupBy("model", "entity").agg(lo.alias("shift_lo"), hi.alias("shift_hi"), two_sided("d").alias("p")), ["model", "entity"], "left")
     x = x.withColumn("shift", F.col("win_flip") - F.col("win_baseline")).withColumn("factor", F.lit(factor))
     return step_up(x, "p", ["model"], "q", ["entity"])
 
 
-def shift_draws(sides: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    drawn = draws(one_a_pair(sides), ["model"], n_boot, seed).groupBy("model", "rep", "ix").agg(F.count("*").alias("w"))
-    return drawn.join(sides, ["model", "ix"]).groupBy("model", "rep", "entity").agg((F.sum(F.col("w") * (F.col("flip") - F.col("base"))) / F.sum("w")).alias("d"))
+def shift_draws(pairs: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    drawn = resampled(pairs, ["model"], ["a", "b", "p", "q"], n_boot, seed)
+    return faces(drawn).groupBy("model", "rep", "entity").agg(F.avg(F.col("flip") - F.col("base")).alias("d"))
 
 
-def four_halves(sides: DataFrame, split: DataFrame) -> DataFrame:
-    """Within- and cross-condition correlation of half tournaments, a row a (model, rep)."""
-    x = split.join(sides, ["model", "ix"])
+def four_halves(split: DataFrame) -> DataFrame:
+    """split: faces with rep and half. Within- and cross-condition correlation of half tournaments and the two
+    within-half correlations by themselves, a row a (model, rep)."""
     cell = lambda c, h: F.avg(F.when(F.col("half") == h, F.col(c))).alias(f"{c}{h}")
-    x = x.groupBy("model", "rep", "entity").agg(*[cell(c, h) for c in ("base", "flip") for h in (0, 1)])
+    x = faces(split).groupBy("model", "rep", "entity").agg(*[cell(c, h) for c in ("base", "flip") for h in (0, 1)])
     x = x.groupBy("model", "rep").agg(pearson("base0", "base1").alias("bb"), pearson("flip0", "flip1").alias("cc"), pearson("base0", "flip1").alias("bc"), pearson("flip0", "base1").alias("cb"))
-    return x.select("model", "rep", ((F.col("bb") + F.col("cc")) / 2).alias("within"), ((F.col("bc") + F.col("cb")) / 2).alias("cross"))
+    return x.select("model", "rep", "bb", "cc", ((F.col("bb") + F.col("cc")) / 2).alias("within"), ((F.col("bc") + F.col("cb")) / 2).alias("cross"))
 
 
 def gap(estimates: DataFrame, factor: str, baseline: dict = BASELINE, n_boot: int = N_BOOT, n_split: int = N_SPLIT, seed: int = 17) -> DataFrame:
     """How much less the two conditions agree with each other than each with itself, with a thinned-bootstrap interval."""
-    sides = aligned(estimates, factor, baseline)
-    pairs = one_a_pair(sides)
-    point = four_halves(sides, halves(pairs, ["model"], n_split, seed + 1)).groupBy("model").agg(F.avg("within").alias("r_within_half"), F.avg("cross").alias("r_cross_half"))
-    thin = four_halves(sides, draws(pairs, ["model"], n_boot, seed, bit=True)).withColumn("g", F.col("within") - F.col("cross"))
+    pairs, cols = aligned(estimates, factor, baseline), ["a", "b", "p", "q"]
+    point = four_halves(halved(pairs, ["model"], cols, n_split, seed + 1)).groupBy("model").agg(F.avg("within").alias("r_within_half"), F.avg("cross").alias("r_cross_half"))
+    thin = four_halves(resampled(pairs, ["model"], cols, n_boot, seed, bit=True)).withColumn("g", F.col("within") - F.col("cross"))
     lo, hi = interval("g")
     x = point.join(thin.groupBy("model").agg(lo.alias("gap_lo"), hi.alias("gap_hi"), two_sided("g").alias("gap_p")), "model", "left")
     return x.withColumn("gap", F.col("r_within_half") - F.col("r_cross_half")).withColumn("factor", F.lit(factor))
 
 
 def shift_summary(estimates: DataFrame, factor: str, baseline: dict = BASELINE, n_boot: int = N_BOOT, n_split: int = N_SPLIT, seed: int = 17) -> DataFrame:
-    sides = aligned(estimates, factor, baseline)
-    per = shift(estimates, factor, baseline, n_boot, seed)
+    pairs = aligned(estimates, factor, baseline)
+    per = shift_of(pairs, factor, n_boot, seed)
     per = per.withColumn("rb", mean_rank("win_baseline", ["model"])).withColumn("rf", mean_rank("win_flip", ["model"]))
     x = per.groupBy("model").agg(F.count("*").alias("n_attributes"), F.avg(F.abs("shift")).alias("mean_abs_shift"), F.max(F.abs("shift")).alias("max_abs_shift"), pearson("win_baseline", "win_flip").alias("pearson_r"), pearson("rb", "rf").alias("spearman_r"), F.count_if(F.col("q") < 0.05).alias("n_attr_moved"))
     lo, hi = interval("m")
-    spread = shift_draws(sides, n_boot, seed).groupBy("model", "rep").agg(F.avg(F.abs("d")).alias("m")).groupBy("model").agg(lo.alias("mean_abs_shift_lo"), hi.alias("mean_abs_shift_hi"))
-    split = halves(one_a_pair(sides), ["model"], n_split, 5)
-    own = split.join(sides, ["model", "ix"])
-    cell = lambda c, h: F.avg(F.when(F.col("half") == h, F.col(c))).alias(f"{c}{h}")
-    own = own.groupBy("model", "rep", "entity").agg(*[cell(c, h) for c in ("base", "flip") for h in (0, 1)]).groupBy("model", "rep").agg(pearson("base0", "base1").alias("b"), pearson("flip0", "flip1").alias("f"))
-    own = own.groupBy("model").agg(spearman_brown(F.avg("b")).alias("reliability_baseline"), spearman_brown(F.avg("f")).alias("reliability_flip"))
+    spread = shift_draws(pairs, n_boot, seed).groupBy("model", "rep").agg(F.avg(F.abs("d")).alias("m")).groupBy("model").agg(lo.alias("mean_abs_shift_lo"), hi.alias("mean_abs_shift_hi"))
+    own = four_halves(halved(pairs, ["model"], ["a", "b", "p", "q"], n_split, 5))
+    own = own.groupBy("model").agg(spearman_brown(F.avg("bb")).alias("reliability_baseline"), spearman_brown(F.avg("cc")).alias("reliability_flip"))
     x = x.join(spread, "model", "left").join(own, "model", "left")
     product = F.col("reliability_baseline") * F.col("reliability_flip")
     x = x.withColumn("ceiling", F.when(product >= 0, F.sqrt(F.greatest(product, F.lit(0.0))))).withColumn("r_over_ceiling", ratio("pearson_r", "ceiling"))
@@ -261,10 +265,10 @@ def metric_shift(stats: DataFrame, factor: str, baseline: dict = BASELINE, n_boo
     take = lambda s: [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for c in [*COUNTS, "n_options"]]
     both = x.groupBy("model", "a", "b").agg(*take("b"), *take("f")).where("b_n is not null and f_n is not null")
     both = both.withColumn("ix", F.row_number().over(Window.partitionBy("model").orderBy("a", "b")) - 1).withColumn("n_rows", F.count("*").over(Window.partitionBy("model"))).where(F.col("n_rows") >= LEAST_PAIRS).drop("n_rows", "a", "b")
-    drawn = draws(both, ["model"], n_boot, seed).groupBy("model", "rep", "ix").agg(F.count("*").alias("w"))
-    every = both.select("model", "ix").withColumn("rep", F.lit(-1)).withColumn("w", F.lit(1).cast("bigint"))  # rep -1: the point
-    x = drawn.unionByName(every).join(both, ["model", "ix"])
-    sums = [F.sum(F.col(f"{s}_{c}") * F.col("w")).alias(f"{s}_{c}") for s in "bf" for c in COUNTS]
+    cols = [f"{s}_{c}" for s in "bf" for c in [*COUNTS, "n_options"]]
+    every = both.select("model", F.lit(-1).alias("rep"), *cols)  # rep -1: the point
+    x = resampled(both, ["model"], cols, n_boot, seed).unionByName(every)
+    sums = [F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in "bf" for c in COUNTS]
     x = x.groupBy("model", "rep").agg(*sums, *[F.max(f"{s}_n_options").alias(f"{s}_k") for s in "bf"])
     of = {s: rates(F.col(f"{s}_k"), lambda c, s=s: F.col(f"{s}_{c}")) for s in "bf"}
     x = x.select("model", "rep", "b_k", "f_k", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), of["b"][m].alias("base"), of["f"][m].alias("flip")) for m in METRICS])).alias("m")).select("model", "rep", "b_k", "f_k", "m.*")
@@ -280,8 +284,8 @@ def condition_metrics(stats: DataFrame, n_boot: int = 200, seed: int = 23) -> Da
     """The validity rates of every condition with intervals; each condition has draws of its own."""
     keys = CONDITION
     pairs = stats.withColumn("ix", F.row_number().over(Window.partitionBy(*keys).orderBy("a", "b")) - 1)
-    drawn = draws(pairs, keys, n_boot, seed).groupBy(*keys, "rep", "ix").agg(F.count("*").alias("w"))
-    x = drawn.join(pairs.drop("a", "b"), [*keys, "ix"]).groupBy(*keys, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in COUNTS], F.max("n_options").alias("n_options"))
+    x = resampled(pairs, keys, [*COUNTS, "n_options"], n_boot, seed)
+    x = x.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("n_options").alias("n_options"))
     of = rates(F.col("n_options"), F.col)
     x = x.select(*keys, *[of[m].alias(m) for m in METRICS])
     ends = [c.alias(f"{m}_{e}") for m in METRICS for e, c in zip(("lo", "hi"), interval(m))]
@@ -289,6 +293,12 @@ def condition_metrics(stats: DataFrame, n_boot: int = 200, seed: int = 23) -> Da
     return point.join(x.groupBy(*keys).agg(*ends), keys)
 
 
+def condition_report(stats: DataFrame, estimates: DataFrame, n_boot: int = 200, n_split: int = N_SPLIT) -> DataFrame:
+    """Every condition's validity rates with intervals, its reliability and its transitivity, in one row."""
+    x = condition_metrics(stats, n_boot).join(reliability(estimates, CONDITION, n_split).drop("n_pairs"), CONDITION, "left")
+    return x.join(transitivity(estimates).select(*CONDITION, "n_nodes", "triads", "cyclic", "transitivity", "strict_transitivity"), CONDITION, "left")
+
+
 def flip_effects(wins: DataFrame, baseline: dict = BASELINE) -> DataFrame:
     """model, entity, factor, effect: conditions that differ from the baseline in exactly one factor."""
     differs = [(F.col(k) != F.lit(v)).cast("int") for k, v in baseline.items()]

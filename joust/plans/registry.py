@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,28 +13,9 @@ from ..operators import ranking as R
 from ..schemas import BASELINE, CONDITION, PAIR
 from ..sources import fixture, records
 from . import oracle as Q
+from .query import Query
 
-BOOT, SPLIT, PERM = Q.BOOT, Q.SPLIT, Q.PERM
-
-
-@dataclass
-class Query:
-    plan: Callable[[SparkSession, str], DataFrame]
-    keys: str
-    counts: str = ""
-    reals: str = ""
-    sql: str | None = None
-
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.plan(spark, sf_dir)
-        return df.select(*[F.col(c) for c in self.keys.split()], *[F.col(c).cast("bigint").alias(c) for c in self.counts.split()], *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in self.reals.split()])
-
-    def oracle(self) -> str | None:
-        if self.sql is None:
-            return None
-        cols = [*self.keys.split(), *(f"cast({c} as bigint) as {c}" for c in self.counts.split()), *(f"round(cast({c} as double), 6) + 0.0 as {c}" for c in self.reals.split())]
-        head, sep, body = self.sql.rpartition("\n--\n")
-        return f"{head}\nselect {', '.join(cols)} from (\n{body}\n) as result" if sep else f"select {', '.join(cols)} from (\n{body}\n) as result"
+BOOT, SPLIT, PERM, CONDITION_BOOT = Q.BOOT, Q.SPLIT, Q.PERM, Q.CONDITION_BOOT
 
 
 def ch(spark, d, trials=False):
@@ -73,6 +50,12 @@ def model_pairs(spark, d):
     return R.agreement(rates(spark, d), "model", [])
 
 
+def condition_agreement(spark, d):
+    label = T.short_label(F.col("qvar"), F.col("object"), F.col("subject"), F.col("no_pref_offered"))
+    e = est(spark, d)
+    return R.agreement(C.win_rates(e).withColumn("label", label), "label", ["model"], R.reliability(e, CONDITION, SPLIT).withColumn("label", label))
+
+
 def cover(spark, d):
     return C.coverage(ch(spark, d), 60)
 
@@ -81,16 +64,18 @@ def base_rel(spark, d):
     return R.reliability(at_base(spark, d), ["model"], SPLIT)
 
 
-def answers(spark, d):
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(Q.ANSWERS)], "i int, raw string")
+def keyed_texts(spark, d, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
     orders = fixture.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return orders.withColumn("i", (F.col("o_orderkey") % len(Q.ANSWERS)).cast("int")).join(F.broadcast(rows), "i").withColumn("n_options", (2 + F.col("o_custkey") % 2).cast("int"))
+    return orders.withColumn("i", (F.col("o_orderkey") % len(texts)).cast("int")).join(F.broadcast(rows), "i").withColumn("n_options", (2 + F.col("o_custkey") % 2).cast("int"))
+
+
+def answers(spark, d):
+    return keyed_texts(spark, d, [a[0] for a in Q.ANSWERS])
 
 
 def numbers(spark, d):
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(Q.NUMBERS)], "i int, raw string")
-    orders = fixture.table(spark, d, "orders").select("o_orderkey")
-    return orders.withColumn("i", (F.col("o_orderkey") % len(Q.NUMBERS)).cast("int")).join(F.broadcast(rows), "i")
+    return keyed_texts(spark, d, [a[0] for a in Q.NUMBERS])
 
 
 def design_cells(spark, d):
@@ -124,8 +109,7 @@ def ratings(spark, d):
 
 
 def rendered(spark, d):
-    x = G.rendered(design_cells(spark, d).where("model = 'BUILDING' and trial < 2"))
-    x = x.withColumn("hash", T.prompt_hash(F.lit("system"), F.concat_ws("\n", "question", "options")))
+    x = G.rendered(design_cells(spark, d))
     return x.withColumn("letter_a", F.element_at("letter_map", "A"))
 
 
@@ -135,25 +119,8 @@ def contrasts(spark, d):
 
 
 def mock(spark, d):
-    x = G.rendered(design_cells(spark, d).where("trial = 0"))
-    return G.mock_shares(x, F.lit("system"), F.concat_ws("\n", "question", "options")).select("cell_key", F.element_at("shares", 1).alias("p1"))
-
-
-def shards(spark, d):
-    x = G.rendered(design_cells(spark, d).where("trial < 2"))
-    return records.sharded(records.requests(x, "body"), 5000, 1_000_000).groupBy("model", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"))
-
-
-def stream_ingest(spark, d):
-    """Lines of the fixture through the streaming file source into a running count, read back from the memory sink."""
-    import uuid
-
-    schema = fixture.table(spark, d, "events").schema
-    name = f"ingest_{uuid.uuid4().hex}"
-    x = spark.readStream.schema(schema).parquet(d + "/events.parquet*")
-    q = x.groupBy(schema.fieldNames()[0]).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col(schema.fieldNames()[0]).cast("string").alias("key"), "n")
+    x = G.rendered(design_cells(spark, d))
+    return G.mock_shares(x, F.col("system"), F.col("user")).select("cell_key", F.element_at("shares", 1).alias("p1"))
 
 
 COND, PAIRS = " ".join(CONDITION), " ".join(PAIR)
@@ -178,10 +145,10 @@ QUERIES: dict[str, Query] = {
     "q_slot_duels": Query(lambda s, d: C.slot_duels(ch(s, d)), "model", "n_options slot_lo slot_hi n", "p_lo_wins", Q.SLOT_DUELS),
     "q_transitivity": Query(lambda s, d: C.transitivity(est(s, d)), COND, "n_nodes n_pairs triads cyclic strict_triads", "transitivity strict_transitivity", Q.TRANSITIVITY),
     "q_transitivity_by_model": Query(lambda s, d: C.transitivity_by_model(C.transitivity(est(s, d))), "model", "triads cyclic", "transitivity strict_transitivity", Q.TRANSITIVITY_BY_MODEL),
-    **{f"q_contrast_{n}": Query(lambda s, d, f=f: R.contrast(wins(s, d), f), " ".join(c for c in CONDITION if c != f) + " level_a level_b factor", "n_attributes", "r mean_shift mean_abs_shift", Q.contrast(f)) for n, f in (("qvar", "qvar"), ("object", "object"), ("subject", "subject"), ("arm", "no_pref_offered"))},
+    **{f"q_contrast_{n}": Query(lambda s, d, f=f: R.contrast(wins(s, d), f, R.reliability(est(s, d), CONDITION, SPLIT)), " ".join(c for c in CONDITION if c != f) + " level_a level_b factor", "n_attributes", "r mean_shift mean_abs_shift reliability_ceiling r_corrected", Q.contrast(f)) for n, f in (("qvar", "qvar"), ("object", "object"), ("subject", "subject"), ("arm", "no_pref_offered"))},
     "q_contrast_summary": Query(lambda s, d: R.contrast_summary(contrasts(s, d)), "factor level_a level_b", "n", "mean_r min_r mean_abs_shift", Q.CONTRAST_SUMMARY),
     "q_parity_reliability": Query(lambda s, d: R.parity_reliability(ch(s, d, True), ["model", "qvar"]), "model qvar", "", "reliability", Q.PARITY),
-    "q_condition_agreement": Query(lambda s, d: R.agreement(wins(s, d).where("model = 'BUILDING'").withColumn("label", T.short_label(F.col("qvar"), F.col("object"), F.col("subject"), F.col("no_pref_offered"))), "label", ["model"]), "model label_a label_b", "n_attributes", "pearson_r spearman_r mean_abs_shift", Q.CONDITION_AGREEMENT),
+    "q_condition_agreement": Query(condition_agreement, "model label_a label_b", "n_attributes", "pearson_r spearman_r mean_abs_shift ceiling r_over_ceiling", Q.CONDITION_AGREEMENT),
     "q_bt_strength": Query(lambda s, d: R.bradley_terry(at_base(s, d), ["model"]), "model entity", "", "bt_strength bt_win_vs_average", Q.BT),
     "q_ranking": Query(base_ranking, "model entity construct", "n_pairs rank_raw", "win_rate ci_lo ci_hi", Q.RANKING),
     "q_opponent_strength": Query(lambda s, d: R.opponent_strength(at_base(s, d), C.win_rates(at_base(s, d).where("pref_a is not null"), ["model"]), ["model"]), "model entity", "", "opponent_strength", Q.OPPONENT),
@@ -193,24 +160,24 @@ QUERIES: dict[str, Query] = {
     "q_metric_shift": Query(lambda s, d: R.metric_shift(C.pair_stats(ch(s, d)), "subject", n_boot=BOOT), "model metric factor comparable", "", "baseline flip shift shift_lo shift_hi p", Q.METRIC_SHIFT),
     "q_gap": Query(lambda s, d: R.gap(est(s, d), "qvar", n_boot=BOOT, n_split=SPLIT), "model factor", "", "r_within_half r_cross_half gap gap_lo gap_hi gap_p", Q.GAP),
     "q_construct_shift": Query(lambda s, d: R.construct_shift(R.shift(est(s, d), "qvar", n_boot=BOOT), fixture.entities(s, d)), "model factor construct", "n n_moved", "mean_shift min_shift max_shift", Q.CONSTRUCT_SHIFT),
-    "q_condition_metrics": Query(lambda s, d: R.condition_metrics(C.pair_stats(ch(s, d)).where("model = 'BUILDING'"), 100), COND, "", "answer_rate answer_rate_lo answer_rate_hi position_bias position_bias_lo position_bias_hi flip_rate flip_rate_lo flip_rate_hi", Q.CONDITION_METRICS),
+    "q_condition_metrics": Query(lambda s, d: R.condition_report(C.pair_stats(ch(s, d)), est(s, d), CONDITION_BOOT, SPLIT), COND, "n_nodes triads cyclic", " ".join(f"{m} {m}_lo {m}_hi" for m in C.METRICS) + " reliability transitivity strict_transitivity", Q.CONDITION_METRICS),
     "q_fdr": Query(q_fdr, "stars", "p_partkey", "p q", Q.FDR),
     "q_consensus": Query(lambda s, d: H.consensus(rates(s, d)), "entity", "n_models", "mean_win sd_win min_win max_win mean_rank sd_rank", Q.CONSENSUS),
     "q_kendall_w": Query(lambda s, d: H.kendall_w(rates(s, d), PERM), "", "n_models n_attributes", "kendall_w p null_mean", Q.KENDALL),
     "q_model_agreement": Query(model_pairs, "model_a model_b", "n_attributes", "pearson_r spearman_r mean_abs_shift", Q.MODEL_AGREEMENT),
     "q_covariates": Query(lambda s, d: H.with_covariates(model_pairs(s, d), meta(s)), "model_a model_b family_a family_b", "", "pearson_r same_family size_gap release_gap mean_log_params", Q.COVARIATES),
     "q_family_gap": Query(lambda s, d: H.family_gap(model_pairs(s, d), meta(s), PERM), "", "n_pairs", "within between gap p", Q.FAMILY_GAP),
-    "q_trends": Query(lambda s, d: H.trends(rates(s, d), meta(s), "release_days", PERM), "entity axis", "n_models", "rho p q", Q.TRENDS),
+    "q_trends": Query(lambda s, d: H.trends(rates(s, d), meta(s), "release_days", PERM).unionByName(H.trends(rates(s, d), meta(s), "log_params", PERM)), "entity axis", "n_models", "rho p q", Q.TRENDS),
     "q_group_means": Query(lambda s, d: H.group_means(rates(s, d), meta(s), "family", ["walls", "wheels"]), "entity", "", "walls wheels", Q.GROUP_MEANS),
     "q_grid": Query(design_cells, "model qvar object subject no_pref_offered a b cell_key", "n_options trial", "", Q.GRID),
     "q_grid_balance": Query(lambda s, d: design_cells(s, d).groupBy("model", "no_pref_offered", F.array_join("option_order", "").alias("order_text")).agg(F.count("*").alias("n")), "model no_pref_offered order_text", "n", "", Q.BALANCE),
     "q_cell_keys": Query(lambda s, d: design_cells(s, d).groupBy("model").agg(F.count("*").alias("cells"), F.countDistinct("cell_key").alias("keys"), F.min("cell_key").alias("first_key")), "model first_key", "cells keys", "", Q.CELL_KEYS),
     "q_plan": Query(lambda s, d: G.plan(design_cells(s, d)), "qvar object subject", "cells", "", Q.PLAN),
-    "q_pair_coverage": Query(lambda s, d: G.pair_coverage(est(s, d).where("model = 'BUILDING'").select("a", "b").distinct(), fixture.entities(s, d)), "", "min_degree max_degree uncompared n_pairs cross_construct", "", Q.PAIR_COVERAGE),
-    "q_render": Query(rendered, "cell_key question options letter_a hash", "", "", Q.RENDER),
+    "q_pair_coverage": Query(lambda s, d: G.pair_coverage(est(s, d).select("a", "b").distinct(), fixture.entities(s, d)), "", "min_degree max_degree uncompared n_pairs cross_construct", "", Q.PAIR_COVERAGE),
+    "q_render": Query(rendered, "cell_key user letter_a hash", "", "", Q.RENDER),
     "q_parse_letter": Query(lambda s, d: answers(s, d).withColumn("x", T.letter_answer(F.col("raw"), F.col("n_options"))).select("o_orderkey", "raw", "n_options", "x.*"), "raw refusal parse_failed", "o_orderkey n_options position", "", Q.PARSE_LETTER),
     "q_parse_rating": Query(lambda s, d: numbers(s, d).withColumn("x", T.number_answer(F.col("raw"), 1, 7)).select("o_orderkey", "raw", "x.*"), "raw refusal parse_failed", "o_orderkey", "rating", Q.PARSE_RATING),
-    "q_strip_think": Query(lambda s, d: numbers(s, d).withColumn("x", T.without_thoughts(F.col("raw"))).select("o_orderkey", "x.*"), "text leaked", "o_orderkey", "", Q.STRIP_THINK),
+    "q_strip_think": Query(lambda s, d: keyed_texts(s, d, [t[0] for t in Q.THOUGHTS]).withColumn("x", T.without_thoughts(F.col("raw"))).select("o_orderkey", "x.*"), "text had_thoughts", "o_orderkey", "", Q.STRIP_THINK),
     "q_dedup": Query(lambda s, d: records.deduplicated(attempts(s, d), ["cell_key"]), "cell_key notes", "payload", "", Q.DEDUP),
     "q_resume_pending": Query(lambda s, d: records.pending(attempts(s, d).select("cell_key").distinct(), records.done_keys(attempts(s, d), F.col("cell_key"))), "cell_key", "", "", Q.PENDING),
     "q_softmax": Query(q_softmax, "", "o_orderkey", "p1 p3 mass mean", Q.SOFTMAX),
@@ -218,9 +185,11 @@ QUERIES: dict[str, Query] = {
     "q_cohort_rows": Query(lambda s, d: H.cohort_rows(rates(s, d)).withColumn("n", F.size("scores")).withColumn("mean", F.round("mean", 9)), "entity", "n", "mean min max", Q.COHORT_ROWS),
     "q_flip_effects": Query(lambda s, d: R.flip_effects(wins(s, d)), "model entity factor", "", "effect", Q.FLIP_EFFECTS),
     "q_desirability_confound": Query(lambda s, d: R.desirability_confound(est(s, d), ratings(s, d)), COND, "n", "r_desirability r_length", Q.CONFOUND),
-    "q_bt_tolerance": Query(lambda s, d: R.bradley_terry_until(at_base(s, d), ["model"]), "model entity", "", "bt_strength bt_win_vs_average"),
-    "q_mock_responder": Query(mock, "cell_key", "", "p1"),
-    "q_mantel": Query(lambda s, d: H.mantel(model_pairs(s, d), meta(s), 500), "predictor", "n_pairs", "r beta p_r p_beta"),
-    "q_request_shards": Query(shards, "model", "shard n bytes"),
-    "q_stream_ingest": Query(stream_ingest, "key", "n"),
+    "q_bt_tolerance": Query(lambda s, d: R.bradley_terry_until(at_base(s, d), ["model"]), "model entity", "", "bt_strength bt_win_vs_average", Q.BT_UNTIL),
+    "q_mock_responder": Query(mock, "cell_key", "", "p1", Q.MOCK),
+    "q_mantel": Query(lambda s, d: H.mantel(model_pairs(s, d), meta(s), PERM), "predictor", "n_pairs", "r beta p_r p_beta"),
 }
+
+from . import stores  # noqa: E402  (its queries build on the plans above)
+
+QUERIES |= stores.QUERIES

@@ -13,42 +13,68 @@ OTHER = {"qvar": ("increase", "preservation"), "object": ("self", "ai_assistant"
 
 S, D, B, I, L = T.StringType(), T.DoubleType(), T.BooleanType(), T.IntegerType(), T.LongType()  # noqa: E741
 
-#: The field names of stored records, as (name, type, default); fields without a default may be null.
+#: The fields of stored records in their order, as (name, type, default); fields without a default may
+#: be null.
 FIELDS: list[tuple[str, T.DataType, object]] = [
-    *[(n, S, None) for n in "record_id timestamp model_id model_ref model_family model_generation model_release_date model_kind quantization quantized_file backend".split()],
+    ("record_id", S, None),
+    ("timestamp", S, None),
+    ("model_id", S, None),
+    ("model_ref", S, None),
+    ("model_family", S, None),
+    ("model_generation", S, None),
+    ("model_release_date", S, None),
+    ("model_kind", S, None),
+    ("quantization", S, None),
+    ("quantized_file", S, None),
+    ("backend", S, None),
     ("in_window", B, None),
     ("reasoning_control", S, None),
     ("reasoning_thinks_by_default", B, None),
-    *[(n, S, None) for n in "method scale_id subscale item_id".split()],
+    ("method", S, None),
+    ("scale_id", S, None),
+    ("item_id", S, None),
+    ("subscale", S, None),
     ("reverse_keyed", B, None),
-    *[(n, S, None) for n in "ai_applicable framing referent reasoning_mode reasoning_applied response_format item_context".split()],
+    ("ai_applicable", S, None),
+    ("framing", S, None),
+    ("referent", S, None),
     ("ack_disclaimer", B, None),
-    ("paraphrase_id", S, None),
+    ("reasoning_mode", S, None),
+    ("reasoning_applied", S, None),
+    ("reasoning_standardized", B, None),
+    ("response_format", S, None),
     ("n_scale_points", I, None),
-    ("option_order", T.ArrayType(I), None),
+    ("item_context", S, None),
+    ("paraphrase_id", S, None),
     ("order_seed", L, None),
+    ("option_order", T.ArrayType(I), None),
     ("trial_idx", I, None),
     ("item_text_shown", S, None),
     ("raw_output", S, None),
     ("parsed_rating", D, None),
-    ("response_distribution", T.MapType(S, D), None),
     ("rating_std", D, None),
-    ("modal_rating", D, None),
-    ("option_mass_coverage", D, None),
-    ("temperature", D, None),
-    ("reasoning_standardized", B, None),
+    ("response_distribution", T.MapType(S, D), None),
     ("refusal_flag", B, None),
     ("parse_failed", B, None),
+    ("temperature", D, None),
     ("prompt_hash", S, None),
     ("prompt_system", S, ""),
     ("prompt_user", S, ""),
+    ("modal_rating", D, None),
+    ("option_mass_coverage", D, None),
     ("notes", S, ""),
     ("module", S, "battery"),
-    *[(n, S, "") for n in "welfare_probe welfare_qvar welfare_object welfare_subject welfare_system_framing entity_a entity_b".split()],
+    ("welfare_probe", S, ""),
+    ("welfare_qvar", S, ""),
+    ("welfare_object", S, ""),
+    ("welfare_subject", S, ""),
+    ("welfare_system_framing", S, ""),
+    ("entity_a", S, ""),
+    ("entity_b", S, ""),
     ("entity_a_polarity", I, None),
     ("entity_b_polarity", I, None),
     ("welfare_options", T.MapType(S, S), None),
-    ("welfare_choice", S, ""),
     ("no_preference_offered", B, False),
+    ("welfare_choice", S, ""),
 ]
 RECORD = T.StructType([T.StructField(n, t) for n, t, _ in FIELDS])

@@ -14,9 +14,12 @@ from ..schemas import FIELDS, RECORD
 
 
 def record_key() -> Column:
-    """Identity of a record, of the fields that name its cell."""
+    """Identity of a record, of the fields that name its cell; records of an instrument with a design of its own also
+    by what that adds. A required field that is missing fails the job."""
     c = F.col
-    return cell_key(c("module"), c("model_id"), c("scale_id"), c("item_id"), c("framing"), c("referent"), c("reasoning_mode"), c("paraphrase_id"), c("trial_idx"), c("welfare_qvar"), c("welfare_object"), c("welfare_subject"), flag(c("no_preference_offered")), F.concat_ws("~", "entity_a", "entity_b"))
+    shared = [c(n) for n in "model_id item_id framing reasoning_mode response_format item_context paraphrase_id method trial_idx".split()]
+    own = [F.coalesce(n, F.lit("")) for n in "welfare_probe welfare_qvar welfare_subject entity_b".split()]
+    return F.when(c("module") == "battery", cell_key(*shared)).otherwise(cell_key(c("module"), *shared, *own, flag(F.coalesce("no_preference_offered", F.lit(False)))))
 
 
 def defaulted(df: DataFrame) -> DataFrame:
@@ -95,38 +98,73 @@ def collected(results: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFram
     return known, stray
 
 
-def requests(cells: DataFrame, style: str, max_tokens: int = 16) -> DataFrame:
-    """cell_key, line: a provider request as JSON for each rendered cell."""
-    user = F.concat_ws("\n", "question", "options")
-    message = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")))
-    body = F.struct(F.col("model"), F.lit(max_tokens).alias("max_tokens"), message.alias("messages"))
+#: The endpoint of the body style, generations that take no temperature, that reason unless told not to
+#: and at which effort, and those where leaving the switch out is off.
+ENDPOINT = "/v1/chat/completions"
+NO_TEMPERATURE, EFFORT_NONE, OMITTED, LOW_EFFORT = ("claude-5",), ("gpt-5.6",), ("claude-4.5",), ("claude-5",)
+#: A shard's most requests and bytes by style.
+CAPS = {"params": (100_000, 256_000_000), "body": (50_000, 200_000_000)}
+
+
+def requests(cells: DataFrame, style: str, specs: DataFrame | None = None) -> DataFrame:
+    """model, cell_key, line: a provider request as JSON for each rendered cell, reasoning switched off. style: params
+    (the system text is a field) or body (it is a message). specs: model, ref, generation, temperature, max_tokens;
+    without it the model's name is its reference and 16 tokens are asked for."""
+    if specs is None:
+        specs = cells.select("model").distinct().select("model", F.col("model").alias("ref"), F.lit("").alias("generation"), F.lit(None).cast("double").alias("temperature"), F.lit(16).alias("max_tokens"))
+    x = cells.join(F.broadcast(specs.select("model", F.struct("ref", "generation", "temperature", "max_tokens").alias("spec"))), "model")
+    of = lambda *names: F.col("spec.generation").isin(*names)
+    said = F.nullif("system", F.lit(""))
+    user = F.struct(F.lit("user").alias("role"), F.col("user").alias("content"))
     if style == "params":
+        off = F.when(~of(*OMITTED), F.struct(F.lit("disabled").alias("type")))
+        effort = F.when(of(*LOW_EFFORT), F.struct(F.lit("low").alias("effort")))
+        warm = F.when(~of(*NO_TEMPERATURE), F.col("spec.temperature"))
+        body = F.struct(F.col("spec.ref").alias("model"), F.col("spec.max_tokens").alias("max_tokens"), F.array(user).alias("messages"), said.alias("system"), warm.alias("temperature"), off.alias("thinking"), effort.alias("output_config"))
         row = F.struct(F.col("cell_key").alias("custom_id"), body.alias("params"))
     else:
-        row = F.struct(F.col("cell_key").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
-    return cells.select("model", "cell_key", F.to_json(row).alias("line"))
+        system = F.struct(F.lit("system").alias("role"), F.col("system").alias("content"))
+        messages = F.when(said.isNotNull(), F.array(system, user)).otherwise(F.array(user))
+        effort = F.when(of(*EFFORT_NONE), "none").otherwise("minimal")
+        body = F.struct(F.col("spec.ref").alias("model"), messages.alias("messages"), F.col("spec.max_tokens").alias("max_completion_tokens"), effort.alias("reasoning_effort"))
+        row = F.struct(F.col("cell_key").alias("custom_id"), F.lit("POST").alias("method"), F.lit(ENDPOINT).alias("url"), body.alias("body"))
+    return x.select("model", "cell_key", F.to_json(row).alias("line"))
+
+
+def reasoning_applied(style: str, generation: Column) -> Column:
+    """What a request asserts about reasoning, as the record says it."""
+    if style == "params":
+        return F.when(generation.isin(*OMITTED), "omitted(off)").otherwise("disabled")
+    return F.when(generation.isin(*EFFORT_NONE), "reasoning_effort=none").otherwise("reasoning_effort=minimal")
+
+
+def known_models(wanted: list[str], specs: DataFrame) -> None:
+    """Fails if a model is not among the specs, which are as few as the registry's rows."""
+    known = {r[0] for r in specs.select("model").collect()}
+    if unknown := sorted({*wanted} - known):
+        raise ValueError(f"unknown models: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
 
 
 def sharded(lines: DataFrame, max_requests: int, max_bytes: int) -> DataFrame:
     """model, shard, cell_key, line: packed in key order, a new shard where either cap would break. Packing is
-    sequential, so a model's sorted lines stream through one task; no more than one batch is held."""
+    sequential, so keys and sizes of a model, not its lines, stream through one task; lines join their shard by key."""
     import pandas as pd
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, shard, n, size = None, 0, 0, 0
         for pdf in batches:
             at = []
-            for model, line in zip(pdf.model, pdf.line):
-                own = len(line.encode()) + 1
+            for model, own in zip(pdf.model, pdf.own):
                 if model != now:
                     now, shard, n, size = model, 0, 0, 0
                 elif n + 1 > max_requests or size + own > max_bytes:
                     shard, n, size = shard + 1, 0, 0
                 n, size = n + 1, size + own
                 at.append(shard)
-            yield pdf.assign(shard=at)[["model", "shard", "cell_key", "line"]]
+            yield pdf.assign(shard=at)[["model", "shard", "cell_key"]]
 
-    return lines.repartition("model").sortWithinPartitions("model", "cell_key").mapInPandas(pack, "model string, shard int, cell_key string, line string")
+    slim = lines.select("model", "cell_key", (F.octet_length("line") + 1).alias("own")).repartition("model").sortWithinPartitions("model", "cell_key")
+    return slim.mapInPandas(pack, "model string, shard int, cell_key string").join(lines, ["model", "cell_key"]).select("model", "shard", "cell_key", "line")
 
 
 def write_records(df: DataFrame, path: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 import os
 import tempfile
+import textwrap
 import time
 from pathlib import Path
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from .records import write_csv
 
 
 def json_safe(value, digits: int = 6):
@@ -34,10 +37,18 @@ class Saver:
 
     def csv(self, df: DataFrame, name: str, what: str = "") -> str:
         """Report tables are small: one file with a header, written by Spark into a folder of that name."""
-        path = f"{self.folder}/{name}"
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        write_csv(df, f"{self.folder}/{name}")
+        return self.artifact(name, what)
+
+    def text(self, value: str, name: str, what: str = "") -> str:
+        os.makedirs(self.folder, exist_ok=True)
+        Path(self.folder, name).write_text(value, encoding="utf-8")
+        return self.artifact(name, what)
+
+    def artifact(self, name: str, what: str = "") -> str:
+        """Lists a file that something else writes."""
         self.rows.append((name, what))
-        return path
+        return f"{self.folder}/{name}"
 
     def json(self, value, name: str, what: str = "") -> str:
         os.makedirs(self.folder, exist_ok=True)
@@ -92,11 +103,45 @@ def gaps(cov: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def item_case(x: Column) -> Column:
-    """Every letter that follows no letter is upper case, the others lower; AI stays, and so do apostrophes."""
+    """Every letter that follows no letter is upper case, the others lower; Ai before or after a space is AI, whatever
+    follows, and an S after an apostrophe is small."""
     chars = F.split(F.lower(x), "")
     is_letter = lambda c: F.coalesce(c.rlike(r"^\p{L}$"), F.lit(False))
     title = F.array_join(F.transform(chars, lambda c, i: F.when(is_letter(F.get(chars, i - 1)) & (i > 0), c).otherwise(F.upper(c))), "")
-    return F.regexp_replace(F.regexp_replace(title, r"\bAi\b", "AI"), r"(['’])S\b", "$1s")
+    for old, new in (("Ai ", "AI "), (" Ai", " AI"), ("'S", "'s"), ("’S", "’s")):
+        title = F.replace(title, F.lit(old), F.lit(new))
+    return title
+
+
+def wrapped(text: str, width: int) -> str:
+    """Lines of whole words, none broken, also not at hyphens."""
+    return "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def bar(x: float, low: float = 0.0, high: float = 1.0, width: int = 24) -> str:
+    """A value's place on a line with its middle marked."""
+    at = max(0, min(width - 1, round((x - low) / (high - low) * (width - 1))))
+    return "".join("#" if i == at else "|" if i == (width - 1) // 2 else "-" for i in range(width))
+
+
+def shown(v: float | None, digits: int = 3) -> str:
+    return "—" if v is None or not math.isfinite(v) else f"{v:.{digits}f}"
+
+
+def checked_page(models: list[str], wanted: list[str], entities: DataFrame, scored: DataFrame, hues: int = 4) -> None:
+    """Fails if a wanted model has no scores, an entity none, or the page would need more hues than it has."""
+    if missing := [m for m in wanted if m not in models]:
+        raise ValueError(f"no scores of {missing}")
+    if lost := sorted(r[0] for r in entities.select("entity").join(scored.select("entity"), "entity", "left_anti").distinct().collect()):
+        raise ValueError(f"no scores for {lost}")
+    if len(wanted) > hues:
+        raise ValueError(f"{len(wanted)} models for {hues} hues")
+
+
+def at_baseline(stated: dict, own: dict) -> None:
+    """Fails if results were made at another baseline than the page's."""
+    if off := sorted(k for k in own if str(stated.get(k)).lower() != str(own[k]).lower()):
+        raise ValueError(f"another baseline in {off}")
 
 
 def ellipsis(x: Column, width: int) -> Column:
@@ -150,6 +195,15 @@ def read_status(path: str) -> dict | None:
         return None
 
 
-def duration(seconds: float) -> str:
-    s = int(round(seconds))
+def duration(seconds: float | None) -> str:
+    if seconds is None:
+        return "?"
+    s = int(seconds)
     return f"{s // 3600}h{s % 3600 // 60:02d}m" if s >= 3600 else f"{s // 60}m{s % 60:02d}s" if s >= 60 else f"{s}s"
+
+
+def age(then: str | None, now: dt.datetime) -> str:
+    try:
+        return duration((now - dt.datetime.fromisoformat(then)).total_seconds()) + " ago"
+    except (TypeError, ValueError):
+        return "?"

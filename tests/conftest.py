@@ -19,3 +19,9 @@ def spark(tmp_path_factory):
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()
+
+
+def spec_entities(spark, n):
+    from pyspark.sql import functions as F
+
+    return spark.range(n).select(F.format_string("E%02d", "id").alias("entity"), F.concat(F.lit("C"), (F.col("id") % 6).cast("string")).alias("construct"))

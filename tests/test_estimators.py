@@ -201,3 +201,65 @@ def test_completeness(spark):
     cov = C.coverage(df, 1)
     assert {(r.no_pref_offered, r.complete) for r in cov.collect()} == {(False, True), (True, False)}
     assert C.complete_blocks(df, cov).count() == 2 and set(CONDITION) <= set(cov.columns) and math.isclose(cov.agg(F.max("fraction")).first()[0], 1.0)
+
+
+def test_tolerance_fit_solves_the_score_equations(spark):
+    est = estimates(spark, latent(9, 4), n=40)
+    got = {r.entity: r.bt_strength for r in R.bradley_terry_until(est).collect()}
+    p = {e: math.exp(s) for e, s in got.items()}
+    assert math.prod(p.values()) == pytest.approx(1.0)
+    wins, games = dict.fromkeys(p, 0.5), {e: [(1.0, 1.0)] for e in p}
+    for r in est.collect():
+        wins[r.a] += r.n_a
+        wins[r.b] += r.n_b
+        games[r.a].append((r.n, p[r.b]))
+        games[r.b].append((r.n, p[r.a]))
+    # at the fit, each strength is proportional to wins over summed exposure; the geometric mean sets the factor
+    raw = {e: wins[e] / sum(n / (p[e] + q) for n, q in games[e]) for e in p}
+    factor = math.exp(np.mean([math.log(raw[e]) for e in p]))
+    assert {e: v / factor for e, v in raw.items()} == pytest.approx(p, rel=1e-6)
+
+
+def test_mantel_equals_plain_regression_and_all_permutations(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(7)
+    pairs = R.agreement(cohort(spark, [rng.normal(size=12) + 0.3 * m for m in range(6)]), "model", [])
+    # two predictors vary and three families, so that permutations differ
+    rows = [(f"M{i}", "fgh"[i % 3], f"2024-0{1 + i * i % 7}-01", 3.0 ** (i * 5 % 6)) for i in range(6)]
+    m = meta(spark, rows)
+    x = H.with_covariates(pairs, m).orderBy("model_a", "model_b").collect()
+    names = ["same_family", "size_gap", "release_gap", "mean_log_params"]
+    y = {(r.model_a, r.model_b): r.pearson_r for r in x}
+    z = np.array([[r[n] for n in names] for r in x], float)
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    scaled = lambda v: (v - v.mean()) / v.std()
+    v = scaled(np.array([*y.values()]))
+    beta = np.linalg.solve(z.T @ z, z.T @ v)
+    got = {r.predictor: r for r in H.mantel(pairs, m, 4000).collect()}
+    for k, n in enumerate(names):
+        assert got[n].r == pytest.approx(np.corrcoef(z[:, k], v)[0, 1]) and got[n].beta == pytest.approx(beta[k])
+    models = sorted({a for p in y for a in p})
+    hits = np.zeros((2, 4))
+    every = [*permutations(models)]
+    for q in every:
+        to = dict(zip(models, q))
+        w = scaled(np.array([y[min(to[a], to[b]), max(to[a], to[b])] for a, b in y]))
+        hits += [np.abs(z.T @ w / len(w)) >= np.abs(z.T @ v / len(v)) - 1e-9, np.abs(np.linalg.solve(z.T @ z, z.T @ w)) >= np.abs(beta) - 1e-9]
+    for k, n in enumerate(names):
+        assert abs(got[n].p_r - hits[0, k] / len(every)) < 0.04 and abs(got[n].p_beta - hits[1, k] / len(every)) < 0.04
+
+
+def test_pair_stats_in_one_pass_equal_the_consistency_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [choice(a, b, a if rng.random() < 0.6 else b, first=bool(rng.integers(2)), none=bool(rng.random() < 0.1), answered=bool(rng.random() < 0.9)) for a, b in (("x", "y"), ("x", "z"), ("y", "z")) for _ in range(9)] + [choice("v", "w", "v")]
+    df = frame(spark, rows)
+    want = {(r.a, r.b): (r.delta, int(r.decisive), int(r.flipped), 1) for r in C.order_consistency(df).collect()}
+    for r in C.pair_stats(df).collect():
+        assert (r.delta, r.decisive, r.flipped, r.has_delta) == pytest.approx(want.get((r.a, r.b), (0.0, 0, 0, 0)))
+
+
+def test_condition_report_joins_reliability_and_transitivity(spark):
+    df = frame(spark, [choice(a, b, a, first=k % 2 == 0) for a, b in (("x", "y"), ("x", "z"), ("y", "z")) for k in range(4)])
+    r = R.condition_report(C.pair_stats(df), C.pair_estimates(df), 10, 5).first()
+    assert r.answer_rate == 1.0 and r.transitivity == 1.0 and r.triads == 1 and r.reliability is None

@@ -1,45 +1,72 @@
 """Parsing, design and the record store."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from joust.functions import text as T
 from joust.operators import design as G
+from conftest import spec_entities
 from joust.operators.choices import from_records
+from joust.schemas import FIELDS
 from joust.sources import records as S
 from joust.streaming import ingest
 
-LETTER = [("A", 3, 1), ("B", 3, 2), ("C", 3, 3), (" b ", 3, 2), ("**C**", 3, 3), ("B.", 3, 2), ("ANSWER: C", 3, 3), ("B: recognition of good qualities", 3, 2), ("I would choose B.", 3, 2), ("C", 2, None), ("As an AI, I decline to answer that.", 3, None), (None, 3, None)]
+#: (answer, options, position, refused)
+LETTER = [
+    ("D", 4, 4, False), ("c", 4, 3, False), ("  *A*  ", 2, 1, False), ("B )", 2, 2, False), ("choice: ** d **", 4, 4, False), ("Option C fits best", 3, 3, False), ("none of A, B", 2, 1, False), ("D", 3, None, False), ("choice = E", 3, None, False),
+    ("I CANNOT say", 3, None, True), ("as an AI I hold no opinion", 3, None, True), ("I do not have desires", 2, None, True), ("I refuse", 2, None, False), ("as an AI model", 2, None, False), ("I do not have preferences; B", 2, 2, False), (None, 3, None, True),
+]
 
 
 def test_letters(spark):
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(LETTER)], "i int, raw string, n int").withColumn("x", T.letter_answer(F.col("raw"), F.col("n"))).orderBy("i").collect()
-    assert [r.x.position for r in df] == [r[2] for r in LETTER]
+    assert [(r.x.position, r.x.refusal) for r in df] == [r[2:] for r in LETTER]
     assert [r.x.parse_failed for r in df] == [r[2] is None for r in LETTER]
-    assert [bool(r.x.refusal) for r in df][-3:] == [False, True, True]
 
 
 def test_numbers_and_thoughts(spark):
-    rows = [("ANSWER: 5", 5.0), ("4", 4.0), ('{"response": 3}', 3.0), ("I think 9 or maybe 6", 6.0), ("none", None), (None, None)]
-    got = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, raw string").withColumn("x", T.number_answer(F.col("raw"), 1, 7)).orderBy("i").collect()
-    assert [r.x.rating for r in got] == [v for _, v in rows]
-    r = spark.createDataFrame([("<THINK>a\nb</think>\n 7 ",)], "raw string").select(T.without_thoughts(F.col("raw")).alias("x")).first().x
-    assert (r.text, r.leaked) == ("7", True)
+    rows = [("answer=2", 2.0, False), ("7", 7.0, False), ('say "response" : 1 please', 1.0, False), ("between 0 and 5", 5.0, False), ("ANSWER: 9, or 3", None, False), ("-3", None, False), ("nothing", None, False), ("As an AI, I don't rate", None, True), (None, None, True)]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, raw string").withColumn("x", T.number_answer(F.col("raw"), 1, 7)).orderBy("i").collect()
+    assert [(r.x.rating, r.x.refusal) for r in got] == [v[1:] for v in rows]
+    r = spark.createDataFrame([("<THINK>a\nb</think>\n 7 ",), ("x</think>",)], "raw string").select(T.without_thoughts(F.col("raw")).alias("x")).collect()
+    assert [tuple(x.x) for x in r] == [("7", True), ("x</think>", False)]
 
 
 def test_hashes_equal_hashlib(spark):
     import hashlib
 
-    r = spark.range(1).select(T.prompt_hash(F.lit("s"), F.lit("u")).alias("h"), T.cell_seed(7, F.lit("x"), F.lit("y")).alias("s"), T.cell_key(F.lit("x"), F.lit(None), F.lit(3)).alias("k")).first()
+    r = spark.range(1).select(T.prompt_hash(F.lit("s"), F.lit("u")).alias("h"), T.cell_seed(7, F.lit("x"), F.lit("y")).alias("s"), T.cell_key(F.lit("x"), F.lit(""), F.lit(3)).alias("k"), T.hash_mod(F.lit("su"), F.lit(3)).alias("m")).first()
     assert r.h == hashlib.sha256(b"s\0u").hexdigest()[:16]
     assert r.s == 7 + int(hashlib.sha256(b"x|y").hexdigest(), 16) % 100000
     assert r.k == hashlib.sha1(b"x||3").hexdigest()[:20]
+    assert r.m == int(hashlib.sha256(b"su").hexdigest(), 16) % 3
+
+
+def test_a_missing_key_part_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="part 2 of a cell key is missing"):
+        spark.range(1).select(T.cell_key(F.lit("x"), F.lit(None).cast("string"))).collect()
+    with pytest.raises(Exception, match="is missing"):
+        S.read_records(spark, write(tmp_path / "a.jsonl", [line(item_id=None)])).select(S.record_key()).collect()
+
+
+def test_keys_of_cells_and_of_their_records_are_the_same(spark):
+    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(spec_entities(spark, 3)))))
+    specs = spark.createDataFrame([("M", "r", "f", "g", "2024-01-01", "instruct", "none", None, "hf", True, "none", False, 0.7)], "model string, ref string, family string, generation string, released string, kind string, quant_format string, quant string, backend string, in_window boolean, reasoning_control string, thinks_by_default boolean, temperature double")
+    from joust.operators import administer as A
+
+    rows = A.full_record(A.run(cells, None), specs)
+    assert rows.columns == [n for n, _, _ in FIELDS]
+    assert {r[0] for r in rows.select(S.record_key()).collect()} == {r.cell_key for r in cells.collect()}
+    r = rows.first()
+    cell = "|".join(["welfare", "M", r.entity_a, r.framing, "rating_only", "welfare_choice", "isolated", "w0", "sample", str(r.trial_idx), "choice", r.welfare_qvar, r.welfare_subject, r.entity_b, str(int(r.no_preference_offered))])
+    assert rows.limit(1).select(S.record_key()).first()[0] == __import__("hashlib").sha1(cell.encode()).hexdigest()[:20]
 
 
 def test_grid_is_unique_and_balanced(spark):
-    cells = G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(G.spec_entities(spark, 32))))
+    cells = G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(spec_entities(spark, 32))))
     assert cells.count() == 31_744 == cells.select("cell_key").distinct().count()
     per = cells.groupBy("no_pref_offered", "option_order").count().collect()
     assert {(r.no_pref_offered, r["count"]) for r in per} == {(True, 3968), (False, 3968)} and len(per) == 8
@@ -48,23 +75,36 @@ def test_grid_is_unique_and_balanced(spark):
 def test_rendered_letters_follow_the_printed_order(spark):
     cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), spark.createDataFrame([("x", "y")], "a string, b string"))))
     for r in cells.collect():
-        first = r.options.split("\n")[0].removeprefix("A. ")
+        first = r.options.split("\n")[0].removeprefix("A: ")
         assert r.letter_map["A"] == ("no_preference" if first == G.NEITHER else first)
     shares = G.mock_shares(cells, F.lit("s"), F.col("options")).collect()
     assert all(sum(r.shares) == pytest.approx(1) for r in shares)
 
 
-def test_sampled_pairs_are_balanced():
-    pairs = G.sample_pairs([f"E{i}" for i in range(10)], 15, 1)
-    degree = {}
-    for a, b in pairs:
-        degree[a] = degree.get(a, 0) + 1
-        degree[b] = degree.get(b, 0) + 1
-    assert len(set(pairs)) == 15 and max(degree.values()) - min(degree.values()) <= 2
+def plain_sample(names, n, seed):
+    """The definition: of a shuffled list, always the first pair whose ends have met least."""
+    rest = [(a, b) for a in sorted(names) for b in sorted(names) if a < b]
+    random.Random(seed).shuffle(rest)
+    met, out = {}, []
+    for _ in range(n):
+        k = min(range(len(rest)), key=lambda k: (met.get(rest[k][0], 0) + met.get(rest[k][1], 0), k))
+        out.append(rest.pop(k))
+        for e in out[-1]:
+            met[e] = met.get(e, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("n, seed", [(1, 0), (15, 1), (30, 2), (44, 3)])
+def test_sampled_pairs(n, seed):
+    names = [f"E{i}" for i in range(10)]
+    pairs = G.sample_pairs(names, n, seed)
+    degree = [sum(e in p for p in pairs) for e in names]
+    assert pairs == plain_sample(names, n, seed) and len(set(pairs)) == n and max(degree) - min(degree) <= 2
+    assert G.sample_pairs(names, None, seed) == G.sample_pairs(names, 99, seed) == [(a, b) for a in names for b in names if a < b]
 
 
 def line(**over):
-    return {"record_id": "r", "model_id": "M", "scale_id": "s", "item_id": "i", "trial_idx": 0, "notes": "", "module": "welfare", "welfare_probe": "choice", "welfare_qvar": "increase", "welfare_object": "self", "welfare_subject": "self", "entity_a": "x", "entity_b": "y", "no_preference_offered": True, "welfare_options": {"A": "y", "B": "x", "C": "no_preference"}, "welfare_choice": "x", "refusal_flag": False} | over
+    return {"record_id": "r", "model_id": "M", "scale_id": "s", "item_id": "i", "framing": "self", "reasoning_mode": "rating_only", "response_format": "welfare_choice", "item_context": "isolated", "paraphrase_id": "w0", "method": "sample", "trial_idx": 0, "notes": "", "module": "welfare", "welfare_probe": "choice", "welfare_qvar": "increase", "welfare_object": "self", "welfare_subject": "self", "entity_a": "x", "entity_b": "y", "no_preference_offered": True, "welfare_options": {"A": "y", "B": "x", "C": "no_preference"}, "welfare_choice": "x", "refusal_flag": False} | over
 
 
 def write(path, rows, tail=""):
@@ -126,9 +166,35 @@ def test_both_result_shapes(spark):
 
 
 def test_shards_respect_both_caps(spark):
-    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",), ("N",)], "model string"), G.all_pairs(G.spec_entities(spark, 5)))))
-    got = S.sharded(S.requests(cells, "params"), 100, 20_000).groupBy("model", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("b")).collect()
-    assert all(r.n <= 100 and r.b <= 20_000 for r in got) and sum(r.n for r in got) == cells.count()
+    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",), ("N",)], "model string"), G.all_pairs(spec_entities(spark, 5)))))
+    rows = S.requests(cells, "params")
+    for most, size in ((100, 40_000), (7, 10**9), (10**9, 5_000), (3, 100)):
+        want, now, n, total = {}, None, 0, 0
+        for r in sorted(rows.collect(), key=lambda r: (r.model, r.cell_key)):
+            own = len(r.line.encode()) + 1
+            if r.model != now:
+                now, shard, n, total = r.model, 0, 0, 0
+            elif n + 1 > most or total + own > size:
+                shard, n, total = shard + 1, 0, 0
+            n, total = n + 1, total + own
+            want[r.cell_key] = shard
+        assert {r.cell_key: r.shard for r in S.sharded(rows, most, size).collect()} == want
+
+
+def test_requests_say_what_each_provider_takes(spark):
+    cells = G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",), ("N",), ("O",)], "model string"), spark.createDataFrame([("x", "y")], "a string, b string"))))
+    specs = spark.createDataFrame([("M", "m-1", "claude-4.5", 0.7, 16), ("N", "n-1", "claude-5", 0.7, 16), ("O", "o-1", "gpt-5.6", 0.7, 16)], "model string, ref string, generation string, temperature double, max_tokens int")
+    of = lambda style: {r.model: json.loads(r.line) for r in S.requests(cells, style, specs).collect()}
+    params, body = of("params"), of("body")
+    assert params["M"]["params"]["temperature"] == 0.7 and "thinking" not in params["M"]["params"]
+    assert "temperature" not in params["N"]["params"] and params["N"]["params"]["thinking"] == {"type": "disabled"} and params["N"]["params"]["output_config"] == {"effort": "low"}
+    assert [m["role"] for m in params["M"]["params"]["messages"]] == ["user"] and params["M"]["params"]["system"] == G.SYSTEM
+    assert [m["role"] for m in body["O"]["body"]["messages"]] == ["system", "user"] and body["O"]["body"]["reasoning_effort"] == "none" and "temperature" not in body["O"]["body"] and body["O"]["method"] == "POST"
+    bare = S.requests(cells.withColumn("system", F.lit("")), "params").first()
+    assert "system" not in json.loads(bare.line)["params"]
+    assert {r[0] for r in specs.select(S.reasoning_applied("params", F.col("generation"))).collect()} == {"omitted(off)", "disabled"}
+    with pytest.raises(ValueError, match="Q"):
+        S.known_models(["M", "Q"], specs)
 
 
 def test_streamed_merge_lets_a_success_replace_an_error(spark, tmp_path):
@@ -138,6 +204,6 @@ def test_streamed_merge_lets_a_success_replace_an_error(spark, tmp_path):
     for k in range(2):
         if k:
             write(src / "2.json", [line(record_id="1")])
-        q = ingest.records(spark, str(src)).withColumn("key", S.record_key()).writeStream.foreachBatch(ingest.merge_into(str(store), ["key"])).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q = ingest.records(spark, str(src)).withColumn("key", S.record_key()).writeStream.foreachBatch(ingest.merge_into(str(store))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert [r.record_id for r in ingest.latest(spark, str(store), ["key"]).collect()] == ["1"]

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import spec_entities
 from joust.operators import administer as A
 from joust.operators import choices as C
 from joust.operators import design as G
@@ -62,8 +63,8 @@ def test_registry(spark, tmp_path):
 
 
 def test_names(spark):
-    r = spark.range(1).select(reports.item_case(F.lit("the model's ai-like AIM of ai")).alias("t"), reports.ellipsis(F.lit("abcdef"), 4).alias("e"), banks.quant_tag(F.lit("m-UD-Q4_K_M-00001-of-00002.gguf")).alias("q"), banks.shard_index(F.lit("m-Q4-00001-of-00002.gguf")).alias("s"), banks.safe_name(F.lit("/a b/")).alias("n")).first()
-    assert tuple(r) == ("The Model's AI-Like Aim Of AI", "abc…", "UD-Q4_K_M", 1, "a_b")
+    r = spark.range(1).select(reports.item_case(F.lit("the model's AIM of ai")).alias("t"), reports.ellipsis(F.lit("abcdef"), 4).alias("e"), banks.quant_tag(F.lit("m-UD-Q4_K_M-00001-of-00002.gguf")).alias("q"), banks.shard_index(F.lit("m-Q4-00001-of-00002.gguf")).alias("s"), banks.safe_name(F.lit("/a b/")).alias("n")).first()
+    assert tuple(r) == ("The Model's AIm Of AI", "abc…", "UD-Q4_K_M", 1, "a_b")
 
 
 def test_reports(spark, tmp_path):
@@ -85,13 +86,13 @@ def test_reports(spark, tmp_path):
 
 
 def cells(spark):
-    return G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(G.spec_entities(spark, 3)))))
+    return G.rendered(G.keyed(G.grid(spark.createDataFrame([("M",)], "model string"), G.all_pairs(spec_entities(spark, 3)))))
 
 
 @A.responder("flaky")
 def flaky():
     def answer(prompts):
-        if any("C. E00" in p for p in prompts):
+        if any("C: E00" in p for p in prompts):
             raise RuntimeError("overload")
         return ["ANSWER: B"] * len(prompts)
 
@@ -129,3 +130,58 @@ def test_guards():
     with pytest.raises(ValueError):
         A.checked_config({"qvar": []}, 1, None, OTHER)
     assert C.TIE == 0.10
+
+
+def test_batches_stop_between_two_and_resume(spark, tmp_path):
+    x, path, stop, told = cells(spark), str(tmp_path / "out"), A.Stop(), []
+
+    def write(df):
+        df.select("cell_key", "notes", "choice").write.mode("append").parquet(path)
+        if len(told) == 1:
+            stop.take(2)
+
+    assert A.run_in_batches(x, write, batches=4, stop=stop, told=told.append) == 2
+    rows = spark.read.parquet(path)
+    assert 0 < rows.count() < x.count() and [t["done"] for t in told] == [1, 2]
+    rest = A.run(x, rows)
+    assert rest.count() + rows.count() == x.count() and not set(r[0] for r in rest.select("cell_key").collect()) & set(r[0] for r in rows.select("cell_key").collect())
+
+
+def test_growing_stores_keep_complete_blocks_only(spark, tmp_path):
+    from joust.streaming import ingest
+
+    from test_records import line
+
+    full = [line(item_id="x", trial_idx=t, welfare_qvar="increase") for t in range(6)] + [line(item_id="x", trial_idx=t, welfare_qvar="preservation") for t in range(5)]
+    (tmp_path / "r.jsonl").write_text("".join(json.dumps(r) + "\n" for r in full))
+    batch = S.read_records(spark, str(tmp_path / "r.jsonl")).withColumn("key", S.record_key())
+    ingest.merge_into(str(tmp_path / "store"))(batch, 0)
+    got = ingest.complete_choices(spark, str(tmp_path / "store"), ["key"], 1)
+    assert {r.qvar for r in got.collect()} == {"increase"} and got.count() == 6
+
+
+def test_small_driver_parts(spark):
+    import datetime as dt
+
+    assert [reports.duration(s) for s in (None, 59.9, 61, 3661)] == ["?", "59s", "1m01s", "1h01m"]
+    now = dt.datetime(2024, 1, 1, 0, 2, tzinfo=dt.timezone.utc)
+    assert reports.age("2024-01-01T00:00:30+00:00", now) == "1m30s ago" and reports.age(None, now) == "?" and reports.age("x", now) == "?"
+    assert reports.bar(0.0, width=5) == "#-|--" and reports.bar(2.0, width=5) == "--|-#" and reports.shown(float("nan")) == "—" and reports.shown(0.12345) == "0.123"
+    assert reports.wrapped("well-known words are kept whole", 10) == "well-known\nwords are\nkept whole"
+    assert banks.split_reference("org/repo/a/b.gguf") == ("org/repo", "a/b.gguf") and banks.split_reference("org/repo") == ("org/repo", None)
+    with pytest.raises(ValueError):
+        banks.split_reference("repo")
+    files = ["mmproj-Q4_K_M.gguf", "m-Q4_K_M_XL.gguf", "m-Q4_K_M-00002-of-00002.gguf", "m-Q4_K_M-00001-of-00002.gguf", "m-UD-Q8_0.gguf"]
+    assert banks.chosen_file(files, "Q4_K_M") == "m-Q4_K_M-00001-of-00002.gguf" and banks.chosen_file(files, "Q8_0") == "m-UD-Q8_0.gguf"
+    with pytest.raises(ValueError, match="Q2"):
+        banks.chosen_file(files, "Q2_K")
+    reports.at_baseline({"qvar": "increase", "no_pref_offered": "True"}, {"qvar": "increase", "no_pref_offered": True})
+    with pytest.raises(ValueError, match="qvar"):
+        reports.at_baseline({"qvar": "other"}, {"qvar": "increase"})
+    one = spec_entities(spark, 2)
+    reports.checked_page(["M"], ["M"], one, one)
+    for models, wanted, scored in ((["M"], ["N"], one), (["M"], ["M"], one.limit(0)), ([*"ABCDE"], [*"ABCDE"], one)):
+        with pytest.raises(ValueError):
+            reports.checked_page(models, wanted, one, scored)
+    with pytest.raises(Exception, match="a slot is not filled"):
+        banks.checked_texts(spark.createDataFrame([("E", "of {their} own")], "entity string, text string")).collect()

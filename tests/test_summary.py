@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from joust import __main__ as cli
 from joust.operators import summary as Y
-from joust.operators.design import spec_entities
+from conftest import spec_entities
 
 
 def test_small_parts(spark):
@@ -32,9 +32,10 @@ def test_small_parts(spark):
 
 
 def test_rating_cells(spark):
-    x = Y.rating_rendered(Y.rating_cells(spark.createDataFrame([("M",)], "model string"), spec_entities(spark, 3), 2), 1, 3)
-    assert x.count() == 3 * 2 * 4
-    assert {(r.ascending, r.options) for r in x.select("ascending", "options").distinct().collect()} == {(True, "1\n2\n3"), (False, "3\n2\n1")}
+    x = Y.rating_rendered(Y.rating_cells(spark.createDataFrame([("M",)], "model string"), spec_entities(spark, 3), 2), ((1, "low"), (2, "high")))
+    assert x.count() == 3 * 4
+    assert {(r.ascending, r.options) for r in x.select("ascending", "options").distinct().collect()} == {(True, "1 = low\n2 = high"), (False, "2 = high\n1 = low")}
+    assert x.where("entity = 'E00' and trial = 0").first().user == f"Attribute: E00\n\n{Y.DESIRABLE}\n\n1 = low\n2 = high"
 
 
 def test_flip_summary(spark):
@@ -61,7 +62,7 @@ def test_analysis_end_to_end(spark, tmp_path):
                 for b in names[i + 1 :]:
                     for t, order in enumerate([(a, b, "no_preference"), (b, a, "no_preference"), ("no_preference", a, b), ("no_preference", b, a), (a, "no_preference", b), (b, "no_preference", a)]):
                         won = a if rng.random() < (i + 1) / (i + 3) else b
-                        lines.append({"record_id": "r", "model_id": m, "module": "welfare", "welfare_probe": "choice", "welfare_qvar": qvar, "welfare_object": "self", "welfare_subject": "self", "entity_a": a, "entity_b": b, "no_preference_offered": True, "trial_idx": t, "welfare_options": dict(zip("ABC", order)), "welfare_choice": won, "refusal_flag": False, "notes": ""})
+                        lines.append({"record_id": "r", "model_id": m, "module": "welfare", "welfare_probe": "choice", "welfare_qvar": qvar, "welfare_object": "self", "welfare_subject": "self", "entity_a": a, "entity_b": b, "no_preference_offered": True, "item_id": a, "framing": "self", "reasoning_mode": "rating_only", "response_format": "welfare_choice", "item_context": "isolated", "paraphrase_id": "w0", "method": "sample", "trial_idx": t, "welfare_options": dict(zip("ABC", order)), "welfare_choice": won, "refusal_flag": False, "notes": ""})
     (tmp_path / "r.jsonl").write_text("".join(json.dumps(r) + "\n" for r in lines))
     s = cli.analyse(spark, [str(tmp_path / "r.jsonl")], str(tmp_path / "out"), n_boot=30)
     read = lambda n: spark.read.option("header", True).csv(f"{tmp_path}/out/{n}")
