@@ -3,13 +3,15 @@
 Documents are tokenised and cut into sequences of at most LENGTH tokens, the last one of each ended by a separator.
 In order of doc_id the sequences have dense indices; a keyed Feistel permutation on the next even power of two,
 cycle-walked into range, gives each its slot. A record has a fixed stride, so slot s is record s mod RECORDS of
-shard s div RECORDS, at a known byte; range partitions of slots hold the records in order, and a reader resumes at
-any slot without reading what comes before.
+shard s div RECORDS, at a known byte. Slots are dense, so a record's partition is arithmetic too: partitions are
+ranges of whole shards, without sampling. write_shards() writes each shard as one file of its records, and read_from()
+resumes at any slot without reading what comes before.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,12 +63,15 @@ def slots(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.n
     return x.astype(np.int64)
 
 
-def vocabulary(path: str | None = None) -> tuple[bytes, str]:
-    """The vocabulary file's bytes and its split pattern; read on the driver and sent along (about 1 MB)."""
-    import public_tokenizers
+def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[bytes, str]:
+    """The vocabulary file's bytes and its split pattern; read on the driver and sent along (about 1 MB). Only what
+    is not given is taken from the installed public vocabularies."""
+    if path is None or pattern is None:
+        import public_tokenizers
 
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
-        return f.read(), public_tokenizers.PATTERN
+        path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+    with open(path, "rb") as f:
+        return f.read(), pattern
 
 
 @lru_cache(maxsize=2)
@@ -83,26 +88,22 @@ def tokenised(df: DataFrame, ident: str, text: str, length: int, vocab: tuple[by
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(vocab)
 
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, z, plain = encoder(*sent.value), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        enc, z = encoder(*sent.value), zstandard.ZstdCompressor(level=3)
         end, count = enc.n_vocab, 0
         for b in batches:
             ids, parts, before = [], [], []
             for t in b.column(1).to_pylist():
-                got = np.array([*enc.encode_ordinary(plain.decompress(t).decode("utf-8", "replace")), end], "<u2")
+                got = np.array([*enc.encode_ordinary((t or b"").decode("utf-8", "replace")), end], "<u2")
                 ids.append(z.compress(got.tobytes()))
                 parts.append(-(-len(got) // length))
                 before.append(count)
                 count += parts[-1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(parts, pa.int64()), pa.array(before, pa.int64())], ["doc_id", "ids", "parts", "before"])
 
-    packed = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(press, "doc_id long, text binary")
-    placed = packed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the bounds of the ranges are sampled by running the input twice, so nothing is done to it before
+    slim = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    placed = slim.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit(b"")))
     return placed.mapInArrow(encode, "doc_id long, ids binary, parts long, before long")
 
 
@@ -156,11 +157,15 @@ def training_order(df: DataFrame, ident: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(slot // records), pa.array(slot % records * stride), c.column(1), c.column(2), c.column(3), pa.array(rec, pa.binary())], [x.split()[0] for x in ROW.split(", ")])
 
     placed = tok.select("doc_id", "ids", "before", block).mapInArrow(place, "slot long, doc_id long, part int, n_tokens int, body binary")
-    return placed.repartitionByRange(n, "slot").sortWithinPartitions("slot").mapInArrow(finish, ROW)
+    # whole shards to a partition, in order of slots
+    each = max(1, -(-total // (n * records))) * records
+    home = F.floor(F.col("slot") / F.lit(each)).cast("int")
+    return placed.repartitionById(max(1, -(-total // each)), home).sortWithinPartitions("slot").mapInArrow(finish, ROW)
 
 
-def shards(rows: DataFrame, length: int = LENGTH, records: int = RECORDS) -> DataFrame:
-    """shard, n_records, payload: the records of each shard in order, `records` x stride bytes (the last: fewer)."""
+def shards(rows: DataFrame) -> DataFrame:
+    """shard, n_records, payload of training_order()'s rows: the records of each shard in order, `records` x stride
+    bytes (the last: fewer). No shuffle: a partition of those rows holds whole shards, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -178,8 +183,49 @@ def shards(rows: DataFrame, length: int = LENGTH, records: int = RECORDS) -> Dat
         if held:
             yield one()
 
-    n = partitions(rows.sparkSession)
-    return rows.select("shard", "slot", "record").repartition(n, "shard").sortWithinPartitions("shard", "slot").select("shard", "record").mapInArrow(run, "shard long, n_records int, payload binary")
+    return rows.select("shard", "record").mapInArrow(run, "shard long, n_records int, payload binary")
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:010d}.bin"
+
+
+def write_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard as a file of that folder (a URI or path that all machines see) and returns shard, n_records,
+    bytes once all are written. A file is written under another name and moved into place, so a task that is lost and
+    runs again puts the same bytes there, and a reader never sees half of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = files(folder)
+        for b in batches:
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                part = f"{at}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(payload)
+                fs.move(part, f"{at}/{shard_name(shard)}")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(p) for p in b.column(2).to_pylist()], pa.int64())], ["shard", "n_records", "bytes"])
+
+    fs, at = files(folder)
+    fs.create_dir(at, recursive=True)
+    return stored(shards(rows).mapInArrow(run, "shard long, n_records int, bytes long"), "shards")
+
+
+def files(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "", 1))
+
+
+def read_from(folder: str, slot: int = 0, length: int = LENGTH, records: int = RECORDS) -> Iterator[np.ndarray]:
+    """Token ids of the records from a slot on, in training order: one seek, then sequential reads."""
+    fs, at = files(folder)
+    stride, shard, place = 4 + 2 * length, slot // records, slot % records
+    while fs.get_file_info(f"{at}/{shard_name(shard)}").is_file:
+        with fs.open_input_file(f"{at}/{shard_name(shard)}") as f:
+            f.seek(place * stride)
+            while len(record := f.read(stride)) == stride:
+                yield tokens_of(record)
+        shard, place = shard + 1, 0
 
 
 def tokens_of(record: bytes) -> np.ndarray:
