@@ -60,6 +60,8 @@ def mix(df: DataFrame, size: Column, source: str = "source", ident: str = "doc_i
     before = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
     blocks = blocks.join(goal.withColumnRenamed("__source", "__of"), F.col("__source").eqNullSafe(F.col("__of"))).select("__source", "__source_size", "__target", "__before", F.col("__block").alias("__b"))
+    # a row a partition, and one more a source: stored, its size is known before the rows would be shuffled for it
+    blocks = stored(blocks, "mix-blocks")
     rank = (F.col("__at") + F.col("__before")).cast("double")
     rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size").cast("double")), F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__source"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
