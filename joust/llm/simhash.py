@@ -34,6 +34,9 @@ RADIUS = 4
 #: Copies by similarity: words a shingle, least share of common shingles, 64-bit words a fingerprint, and how many
 #: bits another word may differ in (at a similarity of 0.8 its differing bits are 9.7 on average, deviation 2.9).
 SHINGLE, SIMILARITY, WORDS, CHECK = 5, 0.8, 3, 22
+#: Over all words a pair may differ in so many bits a word, over four deviations more than at that similarity; rounds in
+#: which each text is compared with one pivot before all that is left is.
+ALL_BITS, FIRST_ROUNDS = 17, 2
 #: Partners that are compared with one shingle set in one task.
 PARTNERS = 1000
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -188,15 +191,34 @@ def similar_texts(docs: DataFrame, width: int, similarity: float, words: int) ->
     groups = entries.select("key", "k", "check", F.count("*").over(w).alias("size"), F.max(F.struct("n", "k", "check")).over(w).alias("pivot")).where("size > 1 and k <> pivot.k")
     groups = groups.select("key", "k", "check", "size", F.col("pivot.k").alias("pivot"), near(F.col("check"), F.col("pivot.check"), CHECK).alias("hit")).where("size > 2 or hit")
     groups = stored(groups.drop("size"), "similar-groups")
-    links = verified(docs, groups.where("hit").select("k", F.col("pivot").alias("other")).distinct(), width, similarity)
-    direct = components(links, "k", "other")
+    # of those near their pivot in one word, the ones near it over all words
+    total = lambda d: sum((F.bit_count(F.col(f"{c}").bitwiseXOR(F.col(f"{d}{c}"))) for c in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"{d}{names[0]}"))))
+    theirs = fps.select(F.col("k").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
+    pairs = groups.where("hit").select("k", F.col("pivot").alias("other")).distinct().join(fps.drop("n"), "k").join(theirs, "other")
+    pairs = stored(pairs.where(total("o") <= ALL_BITS * words).select("k", "other"), "similar-proposed")
+    # a text has up to 64 pivots a word, yet one link joins it to its class: first the most wanted pivot of each, then
+    # the next of those that are still apart, so that copies are not compared in all ways
+    wanted = pairs.groupBy(F.col("other").alias("__of")).agg(F.count("*").alias("votes"))
+    ranked = pairs.join(wanted, F.col("other") == F.col("__of")).drop("__of")
+    links, open_, direct = None, ranked, None
+    for _ in range(FIRST_ROUNDS):
+        picked = stored(open_.groupBy("k").agg(F.max(F.struct("votes", "other")).alias("m")).select("k", F.col("m.other").alias("other")), "similar-picked")
+        found = verified(docs, picked, width, similarity)
+        links = found if links is None else links.unionByName(found)
+        direct = stored(components(links, "k", "other"), "similar-direct")
+        open_ = open_.join(picked, ["k", "other"], "left_anti").drop("c", "d")
+        open_ = open_.join(direct.select(F.col("node").alias("k"), F.col("comp").alias("c")), "k", "left").join(direct.select(F.col("node").alias("other"), F.col("comp").alias("d")), "other", "left")
+        open_ = stored(open_.where(F.coalesce("c", "k") != F.coalesce("d", "other")), "similar-open")
     of = lambda name, to: direct.select(F.col("node").alias(name), F.col("comp").alias(to))
     known = groups.select("key", "k", "check", "pivot").join(of("k", "c"), "k", "left").join(of("pivot", "p"), "pivot", "left")
     known = stored(known.select("key", "k", "check", F.coalesce("c", "k").alias("c"), F.coalesce("p", "pivot").alias("p")), "similar-known")
     rest = known.where("c <> p").select("key", F.col("k").alias("x"), F.col("check").alias("seen"), F.col("c").alias("cx"))
-    pairs = rest.join(known, "key").where((F.col("cx") != F.col("c")) & ((F.col("c") == F.col("p")) | (F.col("x") < F.col("k"))) & near(F.col("seen"), F.col("check"), CHECK))
-    more = verified(docs, pairs.select(F.col("x").alias("k"), F.col("k").alias("other")).distinct(), width, similarity)
-    return stored(components(links.unionByName(more), "k", "other").select(F.col("node").alias("k"), "comp"), "similar")
+    other = rest.join(known, "key").where((F.col("cx") != F.col("c")) & ((F.col("c") == F.col("p")) | (F.col("x") < F.col("k"))) & near(F.col("seen"), F.col("check"), CHECK))
+    # what is left is compared as it is: no pair of texts that are still apart is dropped
+    other = other.select(F.col("x").alias("k"), F.col("k").alias("other")).distinct().join(fps.drop("n"), "k").join(theirs, "other")
+    left = open_.select("k", "other").unionByName(other.where(total("o") <= ALL_BITS * words).select("k", "other")).distinct()
+    links = links.unionByName(verified(docs, left, width, similarity))
+    return stored(components(links, "k", "other").select(F.col("node").alias("k"), "comp"), "similar")
 
 
 def text_key(text: str):
