@@ -43,13 +43,11 @@ def squeezed(text: Column, units: tuple[str, ...] = UNITS) -> Column:
 
 def template(line: Column) -> Column:
     """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
-    # what looks behind does so only where there is something: after a capital, in texts with a digit or a run of slots
+    # looks behind only after a capital; each step is used once, as a condition on it would compute it again
     x = F.regexp_replace(line, r"[\"'(]?\p{Lu}(?<=[^.!?:;|\s] [\"'(]?\p{Lu})\p{Ll}[\p{L}'-]*", "<c>")
-    n = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?", "<n>")
-    n = F.regexp_replace(n, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
-    x = F.when(x.rlike(r"\d"), n).otherwise(x)
-    m = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
-    x = F.when(F.contains(x, F.lit("<c> <c>")) | F.contains(x, F.lit("<n> <n>")), m).otherwise(x)
+    x = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?", "<n>")
+    x = F.regexp_replace(x, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
+    x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}<> ]+", "")
 
 
