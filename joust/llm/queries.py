@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, mixing, neighbours, order, quality, simhash, suffixes, urls
+from . import chat, codes, decontam, html, mixing, neighbours, order, quality, resample, simhash, suffixes, urls
 
 QUERIES = {
     "op1_training_order": order.op1_training_order,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_chat_round_trip": chat.op8_chat_round_trip,
     "op9_simhash_variants": simhash.op9_simhash_variants,
     "op10_template_windows": decontam.op10_template_windows,
+    "op12_sorted_counts": resample.op12_sorted_counts,
+    "op13_segment_mean_codes": codes.op13_segment_mean_codes,
 }
 
 ORACLE_SQL = {
     "op6_systematic_mixing": mixing.ORACLE,
     "op8_chat_round_trip": chat.ORACLE,
+    "op12_sorted_counts": resample.ORACLE,
+    "op13_segment_mean_codes": codes.oracle(),
 }
