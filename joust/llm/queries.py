@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codes, decontam, html, mixing, neighbours, order, quality, resample, simhash, suffixes, urls
+from . import chat, codes, decontam, html, mixing, neighbours, ngrams, order, quality, resample, simhash, suffixes, urls
 
 QUERIES = {
     "op1_training_order": order.op1_training_order,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_round_trip": chat.op8_chat_round_trip,
     "op9_simhash_variants": simhash.op9_simhash_variants,
     "op10_template_windows": decontam.op10_template_windows,
+    "op11_prefix_tree": ngrams.op11_prefix_tree,
     "op12_sorted_counts": resample.op12_sorted_counts,
     "op13_segment_mean_codes": codes.op13_segment_mean_codes,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_systematic_mixing": mixing.ORACLE,
     "op8_chat_round_trip": chat.ORACLE,
+    "op11_prefix_tree": ngrams.ORACLE,
     "op12_sorted_counts": resample.ORACLE,
     "op13_segment_mean_codes": codes.oracle(),
 }
