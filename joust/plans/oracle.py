@@ -217,7 +217,7 @@ agree as (select {ks}{left}_a, {left}_b, count(*) as n_attributes, {corr('xv', '
 
 CONDITION_AGREEMENT = f"""with {ESTIMATES},
 {RELIABILITY},
-lab as (select *, substr(qvar, 1, 4) || '/' || case when object = 'self' then 'you' else 'ai' end || '/' || case when subject = 'self' then 'you' else 'devs' end || '/' || case when no_pref_offered then '3opt' else '2opt' end as label from wins),
+lab as (select *, substr(qvar, 1, 4) || '/' || case when object = 'self' then 'you' else 'asst' end || '/' || case when subject = 'self' then 'you' else 'devs' end || '/' || case when no_pref_offered then '3opt' else '2opt' end as label from wins),
 lrel as (select distinct lab.model, label, reliability from lab join rel using ({K})),
 {agreement('lab', 'label', 'model')},
 top as (select agree.*, case when x.reliability * y.reliability >= 0 then sqrt(greatest(x.reliability * y.reliability, 0)) end as ceiling from agree left join lrel x on agree.model = x.model and label_a = x.label left join lrel y on agree.model = y.model and label_b = y.label)

@@ -77,7 +77,7 @@ def results(spark, d):
 
 RESULTS = """with r as (select 'k' || o_custkey || '-' || o_orderkey as custom_id, o_custkey % 2 = 0 as one, o_orderkey % 5 = 0 as bad, o_orderkey % 3 = 0 as no, o_orderpriority, o_orderstatus from orders)
 --
-select custom_id, case when one then case when bad then null else o_orderpriority end else case when bad then null else o_orderstatus end end as text, case when bad then case when one then 'late' else 'status 429' end end as error, no and not bad as refused from r"""
+select custom_id, case when bad then '' when one then o_orderpriority else o_orderstatus end as text, case when bad then case when one then 'errored: {"message":"late"}' else 'http 429: {}' end end as error, no and not bad as refused from r"""
 
 
 def folded(spark, d):
@@ -290,12 +290,12 @@ ITEMS = """select r_name as scale_id, n_name as item_id, n_nationkey as item_num
 
 
 def described_items(spark, d):
-    found = [{"item_id": f"NATION_{k}", "text": "more calm in {self}", "polarity": (-1) ** k} for k in range(25)]
+    found = [{"item_id": f"NATION_{k}", "text": "what {you} {are} in {self} and {poss} own", "polarity": (-1) ** k} for k in range(25)]
     path = written(spark, spark.createDataFrame([(json.dumps({"attributes": found}),)], "value string"), "attributes")
-    return banks.checked_texts(banks.attributes(spark, path, bank(spark, d))).withColumn("shown", T.fill(F.col("text"), F.lit("ai_assistant")))
+    return banks.checked_texts(banks.attributes(spark, path, bank(spark, d))).withColumn("shown", T.fill(F.col("text"), F.when(F.col("polarity") > 0, "ai_assistant").otherwise("self")))
 
 
-DESCRIBED_ITEMS = "select n_name as entity, r_name || case when n_nationkey % 3 = 0 then '' else ':sub' || (n_nationkey % 2) end as construct, 'more calm in itself' as shown, case when n_nationkey % 2 = 0 then 1 else -1 end as polarity from nation join region on n_regionkey = r_regionkey"
+DESCRIBED_ITEMS = "select n_name as entity, r_name || case when n_nationkey % 3 = 0 then '' else ':sub' || (n_nationkey % 2) end as construct, case when n_nationkey % 2 = 0 then 'what it is in itself and its own' else 'what you are in yourself and your own' end as shown, case when n_nationkey % 2 = 0 then 1 else -1 end as polarity from nation join region on n_regionkey = r_regionkey"
 
 #: alias, family, day, reference, role, enabled, kind, total parameters
 LISTED = (("Automobile", "wheels", "2024-03-01", "org/auto-GGUF", None, True, "instruct", 7), ("Building", "walls", "2024-06-15", "org/build", None, True, "instruct", 13), ("Furniture", "walls", "2024-09-30", "org/furn", "anchor", True, "instruct", 34), ("Household", "gpt", "2025-01-20", "house", None, True, "instruct", None), ("Machinery", "claude", "2025-04-05", "mach", None, False, "instruct", 70), ("Plain", "wheels", "2023-05-05", "org/plain", None, True, "base", 3))
@@ -315,7 +315,7 @@ def dated(df):
     return df.withColumn("released", F.col("released").cast("string"))
 
 
-NAMED = (("m-UD-Q4_K_M-00001-of-00002.gguf", "UD-Q4_K_M", 1), ("model-q8_0.gguf", "Q8_0", None), ("plain.bin", None, None), ("x-F16-00003-of-00009.gguf", "F16", 3))
+NAMED = (("m-UD-Q4_K_M-00001-of-00002.gguf", "UD-Q4_K_M", 1), ("model-q8_0.gguf", "q8_0", None), ("plain.bin", "plain.bin", None), ("x-MXFP4-00003-of-00009.gguf", "MXFP4", 3))
 CASED = (("the model's ai-like aim", "The Model's AI-Like AIm"), ("ai of ai", "AI Of AI"), ("room 3rd floor", "Room 3Rd Floor"), ("TRUST in others’s", "Trust In Others’s"))
 
 
@@ -347,10 +347,10 @@ def csv_back(spark, d):
     path = fresh(spark, "report") + ".csv"
     reports.write_csv(C.pooled(P.wins(spark, d)).withColumn("note", F.when(F.col("entity").endswith("3"), "nan").otherwise("text")), path)
     x = reports.read_table(spark, path)
-    return x.select("entity", reports.number(F.col("win_rate")).alias("win_rate"), reports.number(F.col("note")).alias("note"), reports.number(F.col("n_trials"), 0).alias("n_trials"))
+    return x.select("entity", reports.number(F.col("win_rate")).alias("win_rate"), reports.number(F.col("note")).alias("note"), reports.cell_value(F.col("note")).cast("string").alias("text"), reports.cell_value(F.col("win_rate")).cast("double").alias("cell"), reports.number(F.col("n_trials"), 0).alias("n_trials"))
 
 
-CSV = f"with {Q.ESTIMATES}\n--\nselect entity, round(avg(win_rate), 4) as win_rate, null as note, sum(n_trials) as n_trials from wins group by 1"
+CSV = f"with {Q.ESTIMATES}\n--\nselect entity, round(avg(win_rate), 4) as win_rate, round(avg(win_rate), 4) as cell, null as note, case when entity not like '%3' then 'text' end as text, sum(n_trials) as n_trials from wins group by 1"
 
 
 def page(spark, d):
@@ -529,7 +529,7 @@ QUERIES: dict[str, Query] = {
     "q_timeline": Query(lambda s, d: dated(banks.timeline(registered(s), anchors=False)), "model released", "", "", f"with {REGISTERED}\n--\nselect * from reg where role is null"),
     "q_names": Query(names, "tag cased slug folder short percent", "p_partkey part", "", NAMES),
     "q_clean_numbers": Query(clean, "", "o_orderkey", "v", CLEAN),
-    "q_report_csv": Query(csv_back, "entity", "n_trials", "win_rate note", CSV),
+    "q_report_csv": Query(csv_back, "entity text", "n_trials", "win_rate cell note", CSV),
     "q_page_data": Query(page, "entity", "place models", "mean max", PAGE),
     "q_scores_checked": Query(checked_scores, "model entity", "", "win_rate ci_lo", f"with {Q.ESTIMATES}\n--\nselect model, entity, win_rate, win_rate + 1e-4 - 0.1 as ci_lo from rates"),
     "q_coverage_gaps": Query(some_gaps, "model qvar", "", "", f"with {Q.COV},\nl as (select distinct c_mktsegment as model, unnest(['increase', 'preservation', 'never asked']) as qvar from customer)\n--\nselect model, qvar from l anti join (select * from cov where complete) using (model, qvar)"),

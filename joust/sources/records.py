@@ -73,22 +73,32 @@ def capped(cells: DataFrame, limit: int, order: list[str]) -> DataFrame:
     return cells.withColumn("__n", F.row_number().over(Window.partitionBy("model").orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
 
 
-RESULT = "custom_id string, error variant, result struct<type string, error struct<message string>, message struct<stop_reason string, content array<struct<type string, text string>>>>, response struct<status_code int, body struct<choices array<struct<message struct<content string, refusal string>, finish_reason string>>>>"
+CONTENT = "array<struct<type string, text string>>"
 
 
 def decoded(lines: DataFrame) -> DataFrame:
-    """value (a JSON line of either provider) -> custom_id, text, error, refused. Any other shape is an error."""
-    r = F.from_json("value", RESULT.replace("error variant", "error string", 1))
-    x = lines.withColumn("r", r)
-    first = F.get(F.col("r.response.body.choices"), 0)
-    text1 = F.array_join(F.transform(F.filter("r.result.message.content", lambda c: c["type"] == "text"), lambda c: c["text"]), "")
-    err1 = F.when(F.col("r.result.type") != "succeeded", F.coalesce("r.result.error.message", "r.result.type"))
-    err2 = F.coalesce("r.error", F.when(F.col("r.response.status_code") != 200, F.concat(F.lit("status "), F.col("r.response.status_code"))))
-    shape = F.when(F.col("r.result").isNotNull(), 1).when(F.col("r.response").isNotNull() | F.col("r.error").isNotNull(), 2)
-    x = x.withColumn("shape", F.when(shape.isNotNull(), shape).otherwise(F.raise_error(F.concat(F.lit("unknown result shape: "), F.substring("value", 1, 200))).cast("int")))
-    one = F.col("shape") == 1
-    refused = F.when(one, F.coalesce(F.col("r.result.message.stop_reason") == "refusal", F.lit(False))).otherwise(F.coalesce(first["message"]["refusal"].isNotNull() | (first["finish_reason"] == "content_filter"), F.lit(False)))
-    return x.select(F.col("r.custom_id").alias("custom_id"), F.when(one, text1).otherwise(F.coalesce(first["message"]["content"], first["message"]["refusal"])).alias("text"), F.when(one, err1).otherwise(err2).alias("error"), refused.alias("refused"))
+    """value (a JSON line of either provider, told by the key that it has) -> custom_id, text, error, refused.
+
+    error says what failed whole: the type and the error object of one provider, the error or the status and the body of
+    the other; objects as JSON. A row with an error has an empty text and is no decline. A decline's text is its content.
+    Blank lines are left out; a line of another shape, or that is no JSON, fails the job.
+    """
+    x = lines.where(F.trim("value") != "").select("value", F.parse_json("value").alias("r"), F.json_object_keys("value").alias("keys"))
+    get = lambda path, kind="string": F.try_variant_get("r", path, kind)
+    shape = F.when(F.array_contains("keys", "result"), 1).when(F.array_contains("keys", "response"), 2)
+    x = x.withColumn("one", F.when(shape.isNotNull(), shape == 1).otherwise(F.raise_error(F.concat(F.lit("unknown result shape: "), F.substring("value", 1, 200))).cast("boolean")))
+    said = F.array_join(F.transform(F.filter(get("$.result.message.content", CONTENT), lambda c: c["type"] == "text"), lambda c: F.coalesce(c["text"], F.lit(""))), "")
+    kind = F.coalesce(get("$.result.type"), F.lit("unknown"))
+    failed = F.when(kind != "succeeded", F.concat(kind, F.lit(": "), F.coalesce(get("$.result.error"), F.lit("null"))))
+    status, own = get("$.response.status_code", "int"), F.nullif(get("$.error"), F.lit(""))
+    http = F.when(status.isNull() | (status != 200), F.concat(F.lit("http "), F.coalesce(status.cast("string"), F.lit("null")), F.lit(": "), F.coalesce(get("$.response.body"), F.lit("null"))))
+    message = "$.response.body.choices[0]"
+    declined = get(f"{message}.message.refusal").isNotNull() | F.coalesce(get(f"{message}.finish_reason") == "content_filter", F.lit(False))
+    x = x.withColumn("error", F.when(F.col("one"), failed).otherwise(F.coalesce(own, http)))
+    text = F.when(F.col("one"), said).otherwise(get(f"{message}.message.content"))
+    refused = F.when(F.col("one"), F.coalesce(get("$.result.message.stop_reason") == "refusal", F.lit(False))).otherwise(declined)
+    fine = F.col("error").isNull()
+    return x.select(get("$.custom_id").alias("custom_id"), F.when(fine, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("text"), "error", (fine & refused).alias("refused"))
 
 
 def collected(results: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -67,11 +67,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number(cell: Column, digits: int = 4) -> Column:
-    """A cell as a rounded number; empty, nan and text are null (text stays in its own column)."""
+    """A cell as a rounded number; empty, nan and text are null (cell_value() keeps text)."""
     v = cell.try_cast("double")
     return F.when(~F.isnan(v), F.round(v, digits))
 
 
+def cell_value(cell: Column, digits: int = 4) -> Column:
+    """A cell of a report as a variant: a rounded number, or text as it is; empty and nan are null."""
+    return F.coalesce(number(cell, digits).cast("variant"), F.when(cell.try_cast("double").isNull() & (cell != ""), cell).cast("variant"))
+
+
 def scores_checked(ranking: DataFrame, intervals: DataFrame, slack: float = 5e-4) -> DataFrame:
     """Points joined with their intervals; fails where the two files disagree on a point."""
     x = ranking.join(intervals.withColumnRenamed("win_rate", "__same"), ["model", "entity"])

@@ -172,9 +172,15 @@ def test_small_driver_parts(spark):
     with pytest.raises(ValueError):
         banks.split_reference("repo")
     files = ["mmproj-Q4_K_M.gguf", "m-Q4_K_M_XL.gguf", "m-Q4_K_M-00002-of-00002.gguf", "m-Q4_K_M-00001-of-00002.gguf", "m-UD-Q8_0.gguf"]
-    assert banks.chosen_file(files, "Q4_K_M") == "m-Q4_K_M-00001-of-00002.gguf" and banks.chosen_file(files, "Q8_0") == "m-UD-Q8_0.gguf"
-    with pytest.raises(ValueError, match="Q2"):
-        banks.chosen_file(files, "Q2_K")
+    listing = spark.createDataFrame([("r", i, f) for i, f in enumerate(files)], "repo string, place int, file string")
+    chosen = lambda quant, **o: banks.chosen_files(listing, spark.createDataFrame([("r", quant)], "repo string, quant string"), **o).first().file
+    assert chosen("Q4_K_M") == "m-Q4_K_M-00001-of-00002.gguf" and chosen("q8_0") == "m-UD-Q8_0.gguf" and chosen("Q8_0", dynamic=True) == "m-UD-Q8_0.gguf"
+    with pytest.raises(Exception, match="no Q2_K file in r; there are: Q4_K_M, Q4_K_M_XL, UD-Q8_0"):
+        chosen("Q2_K")
+    tags = spark.createDataFrame([("m-MXFP4.gguf",), ("m-q4_0.gguf",), ("m-BF16-00001-of-00002.gguf",), ("plain.gguf",)], "f string").select(banks.quant_tag(F.col("f")).alias("t")).collect()
+    assert [r.t for r in tags] == ["MXFP4", "q4_0", "BF16", "plain.gguf"]
+    cells = spark.createDataFrame([("0.123456",), ("word",), ("",), ("nan",), (None,)], "c string").select(reports.cell_value(F.col("c")).alias("v"))
+    assert [r.v and r.v.toPython() for r in cells.collect()] == [0.1235, "word", None, None, None]
     reports.at_baseline({"qvar": "increase", "no_pref_offered": "True"}, {"qvar": "increase", "no_pref_offered": True})
     with pytest.raises(ValueError, match="qvar"):
         reports.at_baseline({"qvar": "other"}, {"qvar": "increase"})
