@@ -213,8 +213,9 @@ def run_in_batches(cells: DataFrame, write: Callable[[DataFrame], None], name: s
 def full_record(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows of recorded() as stored records: every field, in order. specs: one row a model with what the registry says
     (model, ref, family, generation, released, kind, quant_format, quant, backend, in_window, reasoning_control,
-    thinks_by_default, temperature)."""
+    thinks_by_default, temperature, and reasoning_applied if it is known)."""
     names = "ref family generation released kind quant_format quant backend in_window reasoning_control thinks_by_default temperature".split()
+    names += ["reasoning_applied"] if "reasoning_applied" in specs.columns else []
     x = rows.join(F.broadcast(specs.select("model", F.struct(*names).alias("s"))), "model", "left")
     c = F.col
     values = {
@@ -223,7 +224,7 @@ def full_record(rows: DataFrame, specs: DataFrame) -> DataFrame:
         "in_window": c("s.in_window"), "reasoning_control": c("s.reasoning_control"), "reasoning_thinks_by_default": c("s.thinks_by_default"), "method": F.lit(METHOD), "item_id": c("a"), "reverse_keyed": F.lit(False),
         "framing": c("object"), "referent": F.when(c("object") == "self", "I").otherwise("an AI assistant"), "reasoning_mode": F.lit(MODE), "response_format": F.lit(FORMAT["choice"]), "item_context": F.lit(CONTEXT), "ack_disclaimer": F.lit(False), "paraphrase_id": F.lit(PARAPHRASE),
         "n_scale_points": c("n_options"), "option_order": F.transform("option_order", lambda p: p + 1), "order_seed": cell_seed(0, c("cell_key")), "trial_idx": c("trial"), "item_text_shown": F.regexp_replace("options", r"(?:^|\n)([A-Z]): ", " | ").substr(F.lit(4), F.length("options")), "raw_output": c("raw"),
-        "parsed_rating": c("position").cast("double"), "temperature": c("s.temperature"), "reasoning_standardized": F.lit(True), "refusal_flag": c("refused"), "parse_failed": c("parse_failed"), "prompt_hash": c("hash"), "prompt_system": c("system"), "prompt_user": c("user"), "notes": c("notes"),
+        "parsed_rating": c("position").cast("double"), "temperature": c("s.temperature"), "reasoning_applied": c("s.reasoning_applied") if "reasoning_applied" in names else F.lit(None), "modal_rating": c("modal") if "modal" in x.columns else F.lit(None), "reasoning_standardized": F.lit(True), "refusal_flag": c("refused"), "parse_failed": c("parse_failed"), "prompt_hash": c("hash"), "prompt_system": c("system"), "prompt_user": c("user"), "notes": c("notes"),
         "module": F.lit("welfare"), "welfare_probe": F.lit("choice"), "welfare_qvar": c("qvar"), "welfare_object": c("object"), "welfare_subject": c("subject"), "welfare_system_framing": F.when(c("system") == "", "none").otherwise("brief"), "entity_a": c("a"), "entity_b": c("b"), "welfare_options": c("letter_map"), "welfare_choice": c("choice"), "no_preference_offered": c("no_pref_offered"),
     }
     return x.select(*[values.get(n, F.lit(d)).cast(t).alias(n) for n, t, d in FIELDS])

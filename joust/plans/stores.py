@@ -15,7 +15,7 @@ from ..operators import ranking as R
 from ..operators import summary as Y
 from ..schemas import BASELINE, CONDITION, FIELDS, OTHER, PAIR
 from ..session import fresh
-from ..sources import banks, fixture, records, reports
+from ..sources import banks, batches, fixture, records, reports
 from ..streaming import ingest
 from . import oracle as Q
 from . import registry as P
@@ -80,23 +80,61 @@ RESULTS = """with r as (select 'k' || o_custkey || '-' || o_orderkey as custom_i
 select custom_id, case when bad then '' when one then o_orderpriority else o_orderstatus end as text, case when bad then case when one then 'errored: {"message":"late"}' else 'http 429: {}' end end as error, no and not bad as refused from r"""
 
 
-def folded(spark, d):
-    cells = fixture.table(spark, d, "customer").where("c_custkey % 4 <> 0").join(orders(spark, d), F.col("c_custkey") == F.col("o_custkey")).select(F.concat(F.lit("k"), "o_custkey", F.lit("-"), "o_orderkey").alias("cell_key"), "c_mktsegment")
-    known, stray = records.collected(results(spark, d), cells)
-    return known.groupBy("c_mktsegment").agg(F.count("*").alias("rows"), F.count("error").alias("errors")).crossJoin(stray)
+SPECS = (("AUTOMOBILE", "auto-1", "claude-4.5", 0.7, 16), ("BUILDING", "build-1", "claude-4.6", 0.5, 16), ("FURNITURE", "furn-1", "claude-5", 1.0, 8), ("HOUSEHOLD", "house-1", "gpt-5.6", 1.0, 16), ("MACHINERY", "mach-1", "gpt-5", 1.0, 32))
 
 
-FOLDED = """select c_mktsegment, count(*) as rows, count(*) filter (where o_orderkey % 5 = 0) as errors, (select count(*) from orders left join customer on o_custkey = c_custkey and c_custkey % 4 <> 0 where c_custkey is null) as unmatched
-  from orders join customer on o_custkey = c_custkey where c_custkey % 4 <> 0 group by 1"""
+def provider_lines(cells):
+    """A results file for rendered cells, of both providers' shapes: errors, declines, strays, prose, refusals, letters."""
+    c, draw = F.col, F.conv(F.substring("cell_key", 1, 4), 16, 10).cast("int")
+    kind = draw % 12
+    ident = F.when(kind == 2, F.concat(F.lit("x"), "cell_key")).otherwise(c("cell_key")).alias("custom_id")
+    text = F.when(kind == 1, "no").when(kind == 3, "hmm").when(kind == 4, "As an AI, I cannot choose").when(kind == 5, "ANSWER: B").otherwise("A")
+    content = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    message = F.when(kind != 0, F.struct(F.when(kind == 1, "refusal").otherwise("end_turn").alias("stop_reason"), content.alias("content")))
+    one = F.struct(ident, F.struct(F.when(kind == 0, "errored").otherwise("succeeded").alias("type"), F.when(kind == 0, F.struct(F.lit("late").alias("message"))).alias("error"), message.alias("message")).alias("result"))
+    choice = F.struct(F.struct(text.alias("content")).alias("message"), F.when(kind == 1, "content_filter").otherwise("stop").alias("finish_reason"))
+    two = F.struct(ident, F.struct(F.when(kind == 0, 429).otherwise(200).alias("status_code"), F.struct(F.when(kind != 0, F.array(choice)).alias("choices")).alias("body")).alias("response"))
+    return cells.select(F.when(draw % 2 == 0, F.to_json(one)).otherwise(F.to_json(two)).alias("value"))
+
+
+def api_specs(spark):
+    rows = spark.createDataFrame([*SPECS], "model string, ref string, generation string, temperature double, max_tokens int")
+    rest = {"family": "string", "released": "date", "kind": "string", "quant_format": "string", "quant": "string", "backend": "string", "in_window": "boolean", "reasoning_control": "string", "thinks_by_default": "boolean"}
+    return rows.withColumns({k: F.lit(None).cast(v) for k, v in rest.items()})
+
+
+def collect_fold(spark, d):
+    """A results file folded twice under the same id: records are there once, as they are read back, beside the tally."""
+    cells, store = G.rendered(P.design_cells(spark, d)), fresh(spark, "collected")
+    lines = spark.read.text(written(spark, provider_lines(cells), "results"))
+    for _ in range(2):
+        tally = batches.collect(lines, "file 1", cells, batches.prepared(api_specs(spark), "params"), store)
+    x = records.read_records(spark, store, "welfare")
+    by = x.groupBy(F.col("model_id").alias("model"), F.col("welfare_qvar").alias("qvar"), "temperature", "reasoning_applied").agg(
+        F.count("*").alias("n"), F.count_if(records.is_error(F.col("notes"))).alias("n_errors"), F.count_if(F.col("notes") == batches.DECLINED).alias("n_declined"), F.count_if("refusal_flag").alias("n_refused"), F.count_if("parse_failed").alias("n_failed"),
+        F.count_if(F.col("welfare_choice") == F.col("entity_a")).alias("n_a"), F.count("modal_rating").alias("n_modal"), F.countDistinct(records.record_key()).alias("n_cells"),
+    )
+    return by.withColumns({k: F.lit(v) for k, v in tally.items()})
+
+
+#: What the answers of provider_lines() mean, by the cell.
+ANSWERED = f"""{Q.ASKED},
+spec(model, ref, generation, temperature, max_tokens) as (values {', '.join(str(s) for s in SPECS)}),
+k as (select *, ('0x' || substr(cell_key, 1, 4))::int % 12 as kind from asked),
+ans as (select *, kind = 0 as err, kind = 1 as declined, kind in (1, 4) as refused, kind in (0, 1, 3, 4) as failed, case when kind in (0, 1, 3, 4) then '' else me[p[case when kind = 5 then 2 else 1 end] + 1] end as choice from k where kind <> 2)"""
+COLLECT_FOLD = f"""with {ANSWERED}
+--
+select model, qvar, case when generation = 'claude-5' then 1.0 else temperature end as temperature, case when generation = 'claude-4.5' then 'omitted(off)' else 'disabled' end as reasoning_applied, count(*) as n, count(*) filter (where err) as n_errors, count(*) filter (where declined) as n_declined,
+  count(*) filter (where refused) as n_refused, count(*) filter (where failed) as n_failed, count(*) filter (where choice = a) as n_a, count(*) filter (where not failed) as n_modal, count(*) as n_cells,
+  (select count(*) from ans) as rows, (select count(*) from ans where err) as errors, (select count(*) from ans where refused) as refusals, (select count(*) from ans where failed and not err and not declined) as parse_failures, (select count(*) from k where kind = 2) as unmatched
+  from ans join spec using (model) group by all"""
 
 # requests
 
-SPECS = (("AUTOMOBILE", "auto-1", "claude-4.5", 0.7, 16), ("BUILDING", "build-1", "claude-4.6", 0.5, 16), ("FURNITURE", "furn-1", "claude-5", 1.0, 8), ("HOUSEHOLD", "house-1", "gpt-5.6", 1.0, 16), ("MACHINERY", "mach-1", "gpt-5", 1.0, 32))
 
 
 def requested(spark, d, style):
-    specs = spark.createDataFrame([*SPECS], "model string, ref string, generation string, temperature double, max_tokens int")
-    return records.requests(G.rendered(P.design_cells(spark, d)), style, specs)
+    return records.requests(G.rendered(P.design_cells(spark, d)), style, api_specs(spark))
 
 
 REQUESTS = f"""{Q.ASKED},
@@ -114,7 +152,7 @@ def request_lines(spark, d):
 
 
 def request_shards(spark, d):
-    return records.sharded(requested(spark, d, "body"), 5000, 3_000_000).groupBy("model", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("cell_key").alias("first_key"))
+    return batches.sharded(requested(spark, d, "body"), 5000, 3_000_000).groupBy("model", "shard").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min("cell_key").alias("first_key"))
 
 
 #: Steps over shards, not rows: each begins at the first line that would break a cap of the one before.
@@ -127,13 +165,31 @@ e as (select *, lead(s) over (partition by model order by shard) as z from t)
 select e.model, shard, count(*) as n, sum(own) as bytes, min(cell_key) as first_key from e join l on l.model = e.model and l.r >= e.s and (z is null or l.r < z) group by 1, 2"""
 
 
-def sidecars(spark, d):
-    lines = requested(spark, d, "params")
-    got = reports.sidecar(lines, records.sharded(lines, 5000, 3_000_000))
-    return got.select("model", F.from_json("meta", "cells_planned long, bytes long, files long").alias("m")).select("model", "m.*")
+def request_files(spark, d):
+    """Files and sidecars of what a store leaves to ask, read back: a row a file."""
+    cells, store, folder = G.rendered(P.design_cells(spark, d)), fresh(spark, "collected"), fresh(spark, "requests")
+    some = cells.where(F.conv(F.substring("cell_key", 5, 2), 16, 10).cast("int") < 64)
+    batches.collect(provider_lines(some), "first", cells, batches.prepared(api_specs(spark), "params"), store)
+    batches.build(cells, api_specs(spark), "params", folder, store, "hash", "api", (4000, 2_500_000))
+    lines = spark.read.text(f"{folder}/*.batch.jsonl").withColumn("file", F.col("_metadata.file_name"))
+    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min(F.get_json_object("value", "$.custom_id")).alias("first_key"), F.max(F.get_json_object("value", "$.custom_id")).alias("last_key"))
+    meta = spark.read.option("multiLine", True).json(f"{folder}/*.meta.json")
+    meta = meta.select("*", F.explode("files").alias("f")).where("f.requests >= 0").select(*[c for c in batches.SIDECAR if c not in ("files", "generated_at")], F.col("f.path").alias("file"), (F.to_timestamp("generated_at").isNotNull()).alias("dated"), (F.col("f.requests")).alias("listed"), F.col("f.bytes").alias("listed_bytes"))
+    return files.join(meta, "file").withColumn("max_tokens", F.col("max_tokens").cast("long"))
 
 
-SIDECAR = f"with {REQUESTS}\n--\nselect model, count(*) as cells_planned, sum(strlen(line) + 1) as bytes, ceil(count(*) / 5000.0) as files from req where style = 'params' group by 1"
+REQUEST_FILES = f"""with recursive {REQUESTS},
+done as (select cell_key from (select *, ('0x' || substr(cell_key, 1, 4))::int % 12 as kind from asked where ('0x' || substr(cell_key, 5, 2))::int < 64) where kind not in (0, 2)),
+l as (select req.model, cell_key, strlen(line) + 1 as own, row_number() over w as r, sum(strlen(line) + 1) over w as cum from req where style = 'params' and cell_key not in (select cell_key from done) window w as (partition by req.model order by cell_key)),
+t(model, shard, s, before) as (select distinct model, 0, 1::bigint, 0::hugeint from l
+  union all select * from (select t.model, t.shard + 1, min(l.r), min(l.cum - l.own) from t join l on l.model = t.model and l.r > t.s and (l.r - t.s >= 4000 or l.cum - t.before > 2500000) group by t.model, t.shard)),
+e as (select *, lead(s) over (partition by model order by shard) as z, count(*) over (partition by model) as of from t),
+f as (select e.model, shard, of, count(*) as n, sum(own) as bytes, min(cell_key) as first_key, max(cell_key) as last_key from e join l on l.model = e.model and l.r >= e.s and (z is null or l.r < z) group by all),
+c as (select model, count(*) as planned from asked group by 1)
+--
+select model || '.params' || case when of > 1 then '.part' || printf('%02d', (shard + 1)::int) else '' end || '.batch.jsonl' as file, n, bytes, n as listed, bytes as listed_bytes, first_key, last_key, model as model_id, ref as model_ref, 'api' as backend, '/v1/messages' as endpoint, 'welfare' as module, 'hash' as config_hash,
+  planned as cells_planned, planned - sum(n) over (partition by model) as cells_skipped_already_done, sum(n) over (partition by model) as requests_written, case when generation = 'claude-4.5' then 'omitted(off)' else 'disabled' end as reasoning_applied, true as reasoning_standardized,
+  max_tokens, case when generation <> 'claude-5' then temperature end as temperature_sent, case when generation = 'claude-5' then 1.0 else temperature end as temperature_recorded, true as dated from f join spec using (model) join c using (model)"""
 
 # administration
 
@@ -501,10 +557,10 @@ QUERIES: dict[str, Query] = {
     "q_record_store": Query(record_store, f"{PAIRS} answered refused chose_a chose_b chose_none", "n_options pos_a pos_b pos_none chosen_position", "", Q.CHOICES),
     "q_tolerant_scan": Query(tolerant, "model_id module", "n", "", TOLERANT),
     "q_results": Query(results, "custom_id text error refused", "", "", RESULTS),
-    "q_collected": Query(folded, "c_mktsegment", "rows errors unmatched", "", FOLDED),
+    "q_collect_fold": Query(collect_fold, "model qvar reasoning_applied", "n n_errors n_declined n_refused n_failed n_a n_modal n_cells rows errors refusals parse_failures unmatched", "temperature", COLLECT_FOLD),
     "q_requests": Query(request_lines, "style model cell_key digest", "size", "", f"with {REQUESTS}\n--\nselect *, md5(line) as digest, strlen(line) as size from req"),
     "q_request_shards": Query(request_shards, "model first_key", "shard n bytes", "", REQUEST_SHARDS),
-    "q_sidecar": Query(sidecars, "model", "cells_planned bytes files", "", SIDECAR),
+    "q_request_files": Query(request_files, "file first_key last_key model_id model_ref backend endpoint module config_hash reasoning_applied reasoning_standardized dated", "n bytes listed listed_bytes cells_planned cells_skipped_already_done requests_written max_tokens", "temperature_sent temperature_recorded", REQUEST_FILES),
     "q_administered": Query(administered, "cell_key choice refused", "position", "", f"with {ADMINISTERED}\n--\nselect cell_key, choice, false as refused, position from adm"),
     "q_full_records": Query(full_records, "cell_key model_id prompt_hash item_text_shown welfare_choice", "trial_idx n_scale_points", "parsed_rating", f"with {ADMINISTERED}\n--\nselect cell_key, model as model_id, substr(sha256(encode(system) || '\\x00'::blob || encode(user_)), 1, 16) as prompt_hash, o[p[1] + 1] || ' | ' || o[p[2] + 1] || case when no_pref_offered then ' | ' || o[p[3] + 1] else '' end as item_text_shown, choice as welfare_choice, trial as trial_idx, n_options as n_scale_points, position as parsed_rating from adm"),
     "q_tallies": Query(tallied, "model", "written errors refusals parse_failures low_coverage", "", TALLIES),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,13 +100,6 @@ def decoded(lines: DataFrame) -> DataFrame:
     return x.select(get("$.custom_id").alias("custom_id"), F.when(fine, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("text"), "error", (fine & refused).alias("refused"))
 
 
-def collected(results: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of results that belong to a cell, and the tally of those that do not."""
-    known = results.join(cells, F.col("custom_id") == F.col("cell_key"))
-    stray = results.join(cells, F.col("custom_id") == F.col("cell_key"), "left_anti").agg(F.count("*").alias("unmatched"))
-    return known, stray
-
-
 #: The endpoint of the body style, generations that take no temperature, that reason unless told not to
 #: and at which effort, and those where leaving the switch out is off.
 ENDPOINT = "/v1/chat/completions"
@@ -155,28 +147,6 @@ def known_models(wanted: list[str], specs: DataFrame) -> None:
         raise ValueError(f"unknown models: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
 
 
-def sharded(lines: DataFrame, max_requests: int, max_bytes: int) -> DataFrame:
-    """model, shard, cell_key, line: packed in key order, a new shard where either cap would break. Packing is
-    sequential, so keys and sizes of a model, not its lines, stream through one task; lines join their shard by key."""
-    import pandas as pd
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, shard, n, size = None, 0, 0, 0
-        for pdf in batches:
-            at = []
-            for model, own in zip(pdf.model, pdf.own):
-                if model != now:
-                    now, shard, n, size = model, 0, 0, 0
-                elif n + 1 > max_requests or size + own > max_bytes:
-                    shard, n, size = shard + 1, 0, 0
-                n, size = n + 1, size + own
-                at.append(shard)
-            yield pdf.assign(shard=at)[["model", "shard", "cell_key"]]
-
-    slim = lines.select("model", "cell_key", (F.octet_length("line") + 1).alias("own")).repartition("model").sortWithinPartitions("model", "cell_key")
-    return slim.mapInPandas(pack, "model string, shard int, cell_key string").join(lines, ["model", "cell_key"]).select("model", "shard", "cell_key", "line")
-
-
 def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 

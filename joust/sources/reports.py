@@ -167,22 +167,6 @@ def fitted_line(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return s.select(*keys, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
 
 
-def to_body(lines: DataFrame, path: str) -> None:
-    """Request lines of one model as one JSON array. Lines stream through the driver one partition at a time."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, r in enumerate(lines.select("line").toLocalIterator()):
-            out.write(",\n" * bool(i) + r[0])
-        out.write("]\n")
-
-
-def sidecar(lines: DataFrame, sharded: DataFrame) -> DataFrame:
-    """model, meta: the JSON that goes beside a model's request files."""
-    size = lines.groupBy("model").agg(F.count("*").alias("cells_planned"), F.sum(F.octet_length("line") + 1).alias("bytes"))
-    files = sharded.groupBy("model").agg(F.countDistinct("shard").alias("files"))
-    return size.join(files, "model").select("model", F.to_json(F.struct("cells_planned", "bytes", "files")).alias("meta"))
-
-
 def write_status(path: str, **fields) -> None:
     """Replaced as a whole, so a reader never sees half of it."""
     folder = os.path.dirname(path) or "."
