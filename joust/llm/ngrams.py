@@ -12,8 +12,8 @@ the set's own component already. What is left has to be near in the parities of
 differ in as many tokens at least as in parities), and is then decided by the whole sets.
 
 Only components are asked for, so copies are never expanded into all their pairs: equal texts and sets collapse first;
-in a first round each set of a group proposes its most promising partners only, which joins nearly all that belongs
-together; a second round proposes every pair whose ends are still apart. A group beyond BLOCK sets is cut into blocks,
+in a first round each set of a group proposes its most promising partner only, which joins nearly all that belongs
+together; a second round proposes every pair whose ends are still apart, in the groups where a set had more than one. A group beyond BLOCK sets is cut into blocks,
 and in the second round what is outside of the group's largest component meets every block.
 """
 
@@ -33,13 +33,20 @@ from .simhash import shingles, text_key
 
 WIDTH, PERCENT = 3, 90
 #: Counters of the sketch that orders tokens, in pieces of so many that are sent on their own.
-COUNTERS, PIECE = 1 << 20, 1 << 10
+COUNTERS, PIECE = 1 << 21, 1 << 11
 #: Sets of a group that are in one trie, and the tokens of each in it.
 BLOCK, DEPTH = 1024, 64
 #: Parities of a set's tokens.
 BITS = 1024
-#: Partners that are compared with one set in one task.
-PARTNERS = 500
+#: Partners that are compared with one set in one task, and texts that a task cuts into sets at once.
+PARTNERS, TEXTS = 500, 256
+
+
+def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            yield b.slice(at, TEXTS)
 
 
 def counted(docs: DataFrame, width: int) -> np.ndarray:
@@ -48,7 +55,7 @@ def counted(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in some(batches):
             for t in b.column(0).to_pylist():
                 # distinct tokens of one set may still share a counter
                 np.add.at(total, (np.unique(shingles(t, width)) % np.uint64(COUNTERS)).astype(np.int64), 1)
@@ -58,22 +65,29 @@ def counted(docs: DataFrame, width: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for piece, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[piece * PIECE : (piece + 1) * PIECE] += np.frombuffer(raw, "<i4")
+                total[piece * PIECE : (piece + 1) * PIECE] += unpacked(raw)
         yield from pieces(total)
 
     schema = "piece int, counts binary"
-    some = docs.select("text").mapInArrow(count, schema)
-    added = some.repartition(min(partitions(docs.sparkSession), COUNTERS // PIECE), "piece").mapInArrow(add, schema)
+    own = docs.select("text").mapInArrow(count, schema)
+    added = own.repartition(min(partitions(docs.sparkSession), COUNTERS // PIECE), "piece").mapInArrow(add, schema)
     out = np.zeros(COUNTERS, np.int64)
     for r in added.collect():  # one row a piece
-        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], "<i4")
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = unpacked(r["counts"])
     return out
 
 
 def pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rows = np.minimum(total, 2**31 - 1).astype("<i4").reshape(-1, PIECE)
-    used = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())], ["piece", "counts"])
+    """piece, counts: those with a count, each in as many bytes a counter as its largest takes."""
+    rows = np.minimum(total, 2**31).reshape(-1, PIECE)
+    most = rows.max(axis=1)
+    used = np.flatnonzero(most)
+    kinds = ["<u1" if m < 2**8 else "<u2" if m < 2**16 else "<u4" for m in most[used]]
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[i].astype(k).tobytes() for i, k in zip(used, kinds)], pa.binary())], ["piece", "counts"])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // PIECE}").astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -99,7 +113,7 @@ def encoded(docs: DataFrame, level: np.ndarray, width: int, percent: int) -> Dat
     of which any partner has among its own), bits (parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some(batches):
             n, s, prefix, bits = [], [], [], []
             for t in b.column(2).to_pylist():
                 own = np.unique(shingles(t, width))
@@ -212,36 +226,73 @@ def partners(sets: Sets, x: int, root: Node, order: list[int], theirs: Sets, per
         todo += [(kid, common, i, j) for kid in top.below]
 
 
-def proposed(asking: Sets, theirs: Sets, percent: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs of ids: every one, once if both sides are the same; or of each set the most promising one only."""
+def proposed(asking: Sets, theirs: Sets, percent: int, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of ids: every one, once if both sides are the same; or of each set the most promising one only, and whether
+    some set had more."""
     root, order = trie(theirs)
-    out = []
+    out, more = [], False
     place = {x: k for k, x in enumerate(order)} if every and asking is theirs else {}
     for x in range(len(asking.ids)):
-        found = partners(asking, x, root, order, theirs, percent, place.get(x, -1))
+        found = list(partners(asking, x, root, order, theirs, percent, place.get(x, -1)))
         if every:
             out += [(asking.ids[x], theirs.ids[y]) for y, _ in found]
-        elif best := min(((d / (int(asking.n[x]) + int(theirs.n[y])), theirs.ids[y]) for y, d in found), default=None):
+        elif found:
+            best = min((d / (int(asking.n[x]) + int(theirs.n[y])), theirs.ids[y]) for y, d in found)
             out.append((asking.ids[x], best[1]))
-    return out
+            more |= len(found) > 1
+    return out, more
+
 
+def shared(sets: DataFrame, percent: int) -> DataFrame:
+    """token, s, bit of the tokens that at least two sets have, by a range shuffle in which the sets of a token may fill
+    any number of partitions. What comes first or last in one stays, as it may go on in the next.
 
-def groups(sets: DataFrame) -> DataFrame:
+    bit: the set's length class, out of 64 that begin again; similar sets are of one class or of neighbouring ones."""
+    ratio = max(float(np.log(100 / percent)) * 1.0001, 0.01)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(floor(ln(n) / {ratio!r}D), 64) as int))").alias("bit")
+    members = sets.select(F.explode("prefix").alias("token"), "s", bit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous = held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token = b.column(0).to_numpy()
+            same = token[1:] == token[:-1]
+            kept = np.concatenate([[previous is None or token[0] == previous], same]) | np.concatenate([same, [False]])
+            if held is not None and token[0] == previous:
+                yield held
+            yield b.filter(pa.array(kept))
+            previous, held = token[-1], None if kept[-1] else b.slice(b.num_rows - 1)
+        if held is not None:
+            yield held
+
+    dealt = members.repartitionByRange(partitions(sets.sparkSession), "token", "s").sortWithinPartitions("token", "s")
+    return stored(dealt.mapInArrow(run, "token long, s long, bit long"), "ngram-shared")
+
+
+def groups(sets: DataFrame, percent: int) -> DataFrame:
     """token, s, size: the members of each group of two sets or more, one group for all tokens with the same members, at
-    the first of them in global order."""
-    members = sets.select(F.explode("prefix").alias("token"), "s")
+    the first of them in global order. Members without any other of a fitting length are left out; size counts them."""
+    x = shared(sets, percent)
+    next_to = lambda c, d: c.bitwiseAND(F.shiftleft(d, 1).bitwiseOR(F.shiftrightunsigned(d, 63)))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "s")).alias(f"same{i}") for i in range(2)]
-    shared = members.groupBy("token").agg(F.count("*").alias("size"), *same).where("size > 1")
-    first = shared.groupBy("size", "same0", "same1").agg(F.min("token").alias("token"))
-    return stored(members.join(stored(first.select("token", "size"), "ngram-tokens"), "token"), "ngram-groups")
+    tokens = x.groupBy("token").agg(F.count("*").alias("size"), F.bit_or("bit").alias("any"), *same)
+    crowded = F.col("size") > F.bit_count("any")  # some class has two
+    tokens = tokens.where(crowded | (next_to(F.col("any"), F.col("any")) != 0)).where("size > 1")
+    first = stored(tokens.groupBy("size", "any", "same0", "same1").agg(F.min("token").alias("token")).select("token", "size", "any"), "ngram-tokens")
+    bit = F.col("bit")
+    fits = crowded | (next_to(bit, F.col("any")) != 0) | (next_to(F.col("any"), bit) != 0)
+    return stored(x.join(first, "token").where(fits).select("token", "s", "size"), "ngram-groups")
 
 
 def walked(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(s, other), s < other: what the groups propose. rows: token, i, b (a trie for each of them), role (0: asks and is
-    asked, 1: is asked, 2: asks), s, n, at, seq, bits, comp."""
+    """(s, other), s < other: what the groups propose, and rows that only have the token of a group in which a set had
+    more to propose. rows: token, i, b (a trie for each of them), role (0: asks and is asked, 1: is asked, 2: asks), s, n,
+    at, seq, bits, comp."""
     columns = ["token", "i", "b", "role", "s", "n", "at", "seq", "bits", "comp"]
 
-    def one(b: pa.Table) -> list[tuple[int, int]]:
+    def one(b: pa.Table) -> list[tuple[int | None, int | None, int | None]]:
         role = b["role"].to_numpy()
 
         def side(at: np.ndarray) -> Sets:
@@ -251,9 +302,11 @@ def walked(rows: DataFrame, percent: int, every: bool) -> DataFrame:
 
         if (role == 0).all():
             both = side(np.arange(len(role)))
-            return proposed(both, both, percent, every)
-        asking, theirs = np.flatnonzero(role == 2), np.flatnonzero(role == 1)
-        return proposed(side(asking), side(theirs), percent, every) if len(asking) and len(theirs) else []
+            found, more = proposed(both, both, percent, every)
+        else:
+            asking, theirs = np.flatnonzero(role == 2), np.flatnonzero(role == 1)
+            found, more = proposed(side(asking), side(theirs), percent, every) if len(asking) and len(theirs) else ([], False)
+        return [(min(p), max(p), None) for p in found] + [(None, None, b["token"][0].as_py())] * more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table] = []
@@ -273,11 +326,11 @@ def walked(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         if kept:
             yield pairs(one(pa.concat_tables(kept)))
 
-    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["s", "other"])
+    def pairs(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], ["s", "other", "token"])
 
     dealt = rows.select(*columns).repartition(partitions(rows.sparkSession), "token", "i", "b").sortWithinPartitions("token", "i", "b")
-    return dealt.mapInArrow(run, "s long, other long").distinct()
+    return stored(dealt.mapInArrow(run, "s long, other long, token long").distinct(), "ngram-walked")
 
 
 def filled(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,10 +348,12 @@ def dealt(size, *key) -> F.Column:
     return F.pmod(F.xxhash64(*key), blocks(size)).cast("int")
 
 
-def apart(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, i, b, role, s, comp: the groups that still hold several components. A group of more than a block is walked
+def apart(members: DataFrame, unsettled: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, i, b, role, s, comp: the groups that still hold several components, of those that are unsettled or of more
+    than a block (in the others the first round has proposed all). A group of more than a block is walked
     by those outside of its largest component, each block of them in each block of the group."""
-    known = members.join(comps.select(F.col("node").alias("s"), "comp"), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
+    left = members.join(unsettled.withColumn("open", F.lit(True)), "token", "left").where(F.col("open") | (F.col("size") > BLOCK)).drop("open")
+    known = left.join(comps.select(F.col("node").alias("s"), "comp"), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
     known = stored(known, "ngram-members")
     mixed = known.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy(F.col("token").alias("__t"))
     mixed = mixed.agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1").select("__t", F.col("most.comp").alias("top"), F.col("most.n").alias("in_top"))
@@ -318,7 +373,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
     ends = stored(pairs.select(F.explode(F.array("s", "other")).alias("s")).distinct().join(sets.select("s", "k"), "s"), "ngram-ends")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["s", "own"])
 
     own = docs.select("k", "text").join(ends, "k").dropDuplicates(["s"]).select("s", "text").mapInArrow(whole, "s long, own binary")
@@ -341,12 +396,14 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
 
 def linked(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, comp) of the sets that have links."""
-    members = groups(sets)
+    members = groups(sets, percent)
     rows = members.select("token", F.lit(0).alias("i"), dealt(F.col("size"), "s", "token").alias("b"), F.lit(0).alias("role"), "s", F.col("s").alias("comp"))
-    links = verified(docs, sets, walked(filled(rows, sets), percent, every=False), width, percent)
+    found = walked(filled(rows, sets), percent, every=False)
+    links = verified(docs, sets, found.where("s is not null").select("s", "other"), width, percent)
     first = stored(components(links, "s", "other"), "ngram-first")
-    rows = stored(apart(members, first), "ngram-apart")
-    more = verified(docs, sets, walked(filled(rows, sets), percent, every=True), width, percent)
+    rows = stored(apart(members, found.where("token is not null").select("token"), first), "ngram-apart")
+    found = walked(filled(rows, sets), percent, every=True)
+    more = verified(docs, sets, found.select("s", "other"), width, percent)
     return stored(components(links.unionByName(more), "s", "other"), "ngram-classes")
 
 
@@ -380,7 +437,8 @@ def op11_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All pairs of sets that share a shingle: for small tables.
 ORACLE = rf"""
-with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 g as (select r, doc_id, case when len(w) = 0 then []::varchar[] when len(w) < {WIDTH} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(list_slice(w, i, i + {WIDTH - 1}), ' '))) end as g from w),
 d as materialized (select r, doc_id, len(g) as n, sha256(array_to_string(list_sort(g), chr(10))) as s, g from g),
 sets as materialized (select s, any_value(n) as n, any_value(g) as g from d where n > 0 group by s),
