@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import hash32, mean_rank, pearson, ratio, step_up
+from ..functions.stats import FLAT, hash32, mean_rank, pearson, ratio, step_up
 
 N_PERM = 5000
 LEAST_MODELS = 4
@@ -50,13 +50,28 @@ def kendall_w(rates: DataFrame, n_perm: int = N_PERM, seed: int = 41) -> DataFra
     return null.crossJoin(F.broadcast(obs)).groupBy("kendall_w", "n_models", "n_attributes").agg(((F.count_if(F.col("v") >= F.col("kendall_w") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.avg("v").alias("null_mean"))
 
 
+#: What may predict how much two models agree.
+COVARIATES = ("same_family", "same_generation", "d_log_params", "d_release_days")
+
+
+def covariates(a, b) -> dict:
+    """The covariates of two models from their family, generation, log_params, release_days (structs or prefixed
+    columns); null where either is not known."""
+    same = lambda x, y: F.coalesce((x == y).cast("double"), F.when(x.isNotNull() | y.isNotNull(), 0.0))
+    return dict(zip(COVARIATES, (same(a["family"], b["family"]), same(a["generation"], b["generation"]), F.abs(a["log_params"] - b["log_params"]), F.abs(a["release_days"] - b["release_days"]).cast("double"))))
+
+
+def with_generation(meta: DataFrame) -> DataFrame:
+    return meta if "generation" in meta.columns else meta.withColumn("generation", F.lit(None).cast("string"))
+
+
 def with_covariates(pairs: DataFrame, meta: DataFrame) -> DataFrame:
-    """pairs: model_a, model_b, ...; adds same_family, size_gap, release_gap, mean_log_params."""
-    side = lambda s: meta.select(F.col("model").alias(f"model_{s}"), F.col("family").alias(f"family_{s}"), F.col("log_params").alias(f"log_{s}"), F.col("release_days").alias(f"days_{s}"))
+    """pairs: model_a, model_b, ...; adds family_a, family_b and the covariates."""
+    known = F.struct("family", "generation", "log_params", "release_days")
+    side = lambda s: with_generation(meta).select(F.col("model").alias(f"model_{s}"), known.alias(f"__{s}"))
     x = pairs.join(F.broadcast(side("a")), "model_a", "left").join(F.broadcast(side("b")), "model_b", "left")
-    x = x.withColumn("same_family", (F.col("family_a") == F.col("family_b")).cast("double")).withColumn("size_gap", F.abs(F.col("log_a") - F.col("log_b")))
-    x = x.withColumn("release_gap", F.abs(F.col("days_a") - F.col("days_b")).cast("double")).withColumn("mean_log_params", (F.col("log_a") + F.col("log_b")) / 2)
-    return x.drop("log_a", "log_b", "days_a", "days_b")
+    x = x.withColumns({"family_a": F.col("__a.family"), "family_b": F.col("__b.family")} | covariates(F.col("__a"), F.col("__b")))
+    return x.drop("__a", "__b")
 
 
 def family_gap(pairs: DataFrame, meta: DataFrame, n_perm: int = N_PERM, seed: int = 47) -> DataFrame:
@@ -102,44 +117,72 @@ def cohort_rows(rates: DataFrame) -> DataFrame:
     return x.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "entity")))
 
 
-def mantel(pairs: DataFrame, meta: DataFrame, n_perm: int = N_PERM, seed: int = 43) -> DataFrame:
-    """Marginal correlation and joint least-squares slope of agreement on four covariates, with a permutation p of
-    the model labels. A constant predictor has null results. Pairs of models are few (models squared), so this is one
-    group in Arrow; rows with a null covariate are left out."""
-    import numpy as np
-    import pandas as pd
-
-    names = ["same_family", "size_gap", "release_gap", "mean_log_params"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["pearson_r", *names]).sort_values(["model_a", "model_b"])
-        if len(pdf) < len(names) + 2:
-            return pd.DataFrame({"predictor": names, "n_pairs": len(pdf)}).assign(r=None, beta=None, p_r=None, p_beta=None)[["predictor", "n_pairs", "r", "beta", "p_r", "p_beta"]]
-        models = sorted({*pdf.model_a, *pdf.model_b})
-        at = {m: i for i, m in enumerate(models)}
-        i, j = pdf.model_a.map(at).to_numpy(), pdf.model_b.map(at).to_numpy()
-        grid = np.full((len(models), len(models)), np.nan)
-        grid[i, j] = grid[j, i] = pdf.pearson_r
-        x = pdf[names].to_numpy(float)
-        live = x.std(axis=0) > 1e-12
-        z = (x[:, live] - x[:, live].mean(axis=0)) / x[:, live].std(axis=0)
-
-        def stat(y):
-            y = (y - y.mean()) / (y.std() or 1)
-            return z.T @ y / len(y), np.linalg.lstsq(z, y, rcond=None)[0]
-
-        obs = stat(grid[i, j])
-        rng, hits, done = np.random.default_rng(seed), np.zeros((2, live.sum())), 0
-        for _ in range(n_perm):
-            q = rng.permutation(len(models))
-            y = grid[q[i], q[j]]
-            if np.isfinite(y).all():
-                done += 1
-                hits += [np.abs(a) >= np.abs(b) - 1e-12 for a, b in zip(stat(y), obs)]
-        out = pd.DataFrame({"predictor": names, "n_pairs": len(pdf), "r": np.nan, "beta": np.nan, "p_r": np.nan, "p_beta": np.nan})
-        for col, v in (("r", obs[0]), ("beta", obs[1]), ("p_r", (hits[0] + 1) / (done + 1)), ("p_beta", (hits[1] + 1) / (done + 1))):
-            out.loc[live, col] = v
-        return out.astype(object).where(out.notna(), None)
-
-    x = with_covariates(pairs, meta).select("model_a", "model_b", F.col("pearson_r").cast("double"), *names)
-    return x.groupBy(F.lit(1).alias("one")).applyInPandas(fit, "predictor string, n_pairs long, r double, beta double, p_r double, p_beta double")
+def covariate_effects(pairs: DataFrame, meta: DataFrame, value: str = "spearman_r", n_perm: int = N_PERM, seed: int = 43) -> DataFrame:
+    """predictor, marginal_r, marginal_p, joint_beta, joint_p, n_pairs, n_models, n_perm: how each covariate goes with the
+    agreement of two models, alone (a correlation) and beside the others (a least-squares slope), with the share of
+    permutations of the models' labels that reach as much.
+
+    A permutation is a hash order of the models, the metadata dealt anew, and its pairs are rows like any others: they add
+    up to the sums of the normal equations in partial aggregates, so permutations are spread over tasks and nothing but
+    one row a permutation meets. A covariate without variance here has nulls; the others are solved without it, as a
+    Cholesky factor in columns. A permutation that leaves some varying covariate without variance, or too few pairs, is
+    not used; nor has a singular one a slope. Under LEAST_MODELS models or four pairs there is no row, and with fewer
+    pairs than what has to be fitted only nulls. Statistics that are equal but for rounding count as equal.
+    """
+    ends = pairs.select(F.explode(F.array("model_a", "model_b")).alias("model")).distinct()
+    models = ends.join(with_generation(meta).select("model", "family", "generation", "log_params", "release_days"), "model", "left")
+    # one row: the models in order of their names, a row a model
+    listed = models.agg(F.array_sort(F.collect_list(F.struct("model", "family", "generation", "log_params", "release_days"))).alias("models"))
+    reps = pairs.sparkSession.range(n_perm + 1).withColumnRenamed("id", "rep").crossJoin(F.broadcast(listed))
+    by_hash = F.array_sort(F.transform("models", lambda m: F.struct(hash32(seed, F.col("rep"), m["model"]).alias("h"), m["model"].alias("k"), m.alias("m"))))
+    dealt = F.when(F.col("rep") == 0, F.col("models")).otherwise(F.transform(by_hash, lambda x: x["m"]))
+    reps = reps.withColumn("to", F.map_from_arrays(F.transform("models", lambda m: m["model"]), dealt)).withColumn("n_models", F.size("models")).drop("models")
+    x = reps.crossJoin(pairs.select("model_a", "model_b", F.col(value).cast("double").alias("y")))
+    x = x.withColumns(covariates(F.element_at("to", F.col("model_a")), F.element_at("to", F.col("model_b"))))
+    x = x.select("rep", "n_models", "y", *[F.col(c).alias(f"x{j}") for j, c in enumerate(COVARIATES)]).where(" and ".join(f"{c} is not null" for c in ["y", "x0", "x1", "x2", "x3"]))
+    # centred sums of squares and products, y as the last one
+    names = [f"x{j}" for j in range(len(COVARIATES))] + ["y"]
+    at = [(j, k) for k in range(len(names)) for j in range(k + 1)]
+    n = F.count("*").cast("double")
+    centred = [(F.sum(F.col(names[j]) * F.col(names[k])) - F.sum(names[j]) * F.sum(names[k]) / n).alias(f"c{j}{k}") for j, k in at]
+    sums = x.groupBy("rep", "n_models").agg(F.count("*").alias("n"), *centred)
+    first = sums.where("rep = 0 and n >= 4").select(F.col("n").alias("n_pairs"), *[(F.col(f"c{j}{j}") > FLAT).alias(f"live{j}") for j in range(len(COVARIATES))])
+    sums = sums.join(F.broadcast(first)).where(F.col("n_models") >= LEAST_MODELS)
+    fitted = solved(sums)
+    obs = fitted.where("rep = 0").select(*[F.col(c).alias(f"o_{c}") for j in range(len(COVARIATES)) for c in (f"r{j}", f"b{j}")])
+    reach = lambda c: F.count_if((F.col("rep") > 0) & F.col("used") & (F.abs(c) >= F.abs(F.col(f"o_{c}")) * (1 - 1e-9) - FLAT))
+    done = F.count_if((F.col("rep") > 0) & F.col("used"))
+    out = fitted.join(F.broadcast(obs)).groupBy("n_pairs", "n_models").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("used"))).alias("used"), done.alias("done"),
+        *[F.struct(F.max(f"o_r{j}").alias("r"), reach(f"r{j}").alias("hits_r"), F.max(f"o_b{j}").alias("b"), reach(f"b{j}").alias("hits_b")).alias(f"of{j}") for j in range(len(COVARIATES))],
+    )
+    out = out.select("*", F.explode(F.array(*[F.struct(F.lit(c).alias("predictor"), F.col(f"of{j}").alias("of")) for j, c in enumerate(COVARIATES)])).alias("e"))
+    share = lambda what: F.when(F.col("used") & F.col(f"e.of.{what}").isNotNull(), (F.col(f"e.of.hits_{what}") + 1) / (F.col("done") + 1))
+    given = lambda what: F.when(F.col("used"), F.col(f"e.of.{what}"))
+    return out.select(F.col("e.predictor").alias("predictor"), given("r").alias("marginal_r"), share("r").alias("marginal_p"), given("b").alias("joint_beta"), share("b").alias("joint_p"), "n_pairs", "n_models", F.when(F.col("used"), F.col("done")).alias("n_perm"))
+
+
+def solved(sums: DataFrame) -> DataFrame:
+    """Of the sums of covariate_effects(): used, and by covariate its correlation r and slope b. Without variance it has
+    neither, and stands in the system as a row of the unit matrix."""
+    m = len(COVARIATES)
+    c = lambda j, k: F.col(f"c{min(j, k)}{max(j, k)}")
+    live = lambda *js: F.forall(F.array(*[F.col(f"live{j}") for j in js]), lambda v: v)
+    entry = lambda j, k: F.when(live(j, k), c(j, k)).otherwise(1.0 if j == k else 0.0)
+    n_live = sum((F.col(f"live{j}").cast("int") for j in range(m)), F.lit(0))
+    varies = F.forall(F.array(*[~F.col(f"live{j}") | (c(j, j) > FLAT) for j in range(m)]), lambda v: v)
+    x = sums.withColumn("used", varies & (n_live > 0) & (F.col("n") >= n_live + 2))
+    x = x.withColumns({f"r{j}": F.when(live(j) & (c(j, j) > FLAT) & (c(m, m) > FLAT), c(j, m) / F.sqrt(c(j, j) * c(m, m))) for j in range(m)})
+    # the lower factor by columns; a pivot that is all but nothing makes the system singular
+    for j in range(m):
+        rest = entry(j, j) - sum((F.col(f"l{j}{i}") * F.col(f"l{j}{i}") for i in range(j)), F.lit(0.0))
+        x = x.withColumn(f"l{j}{j}", F.when(rest > 1e-10 * entry(j, j), F.sqrt(F.greatest(rest, F.lit(0.0)))))
+        for k in range(j + 1, m):
+            x = x.withColumn(f"l{k}{j}", F.try_divide(entry(j, k) - sum((F.col(f"l{k}{i}") * F.col(f"l{j}{i}") for i in range(j)), F.lit(0.0)), F.col(f"l{j}{j}")))
+    for j in range(m):
+        right = F.when(live(j), c(j, m)).otherwise(0.0) - sum((F.col(f"l{j}{i}") * F.col(f"z{i}") for i in range(j)), F.lit(0.0))
+        x = x.withColumn(f"z{j}", F.try_divide(right, F.col(f"l{j}{j}")))
+    for j in reversed(range(m)):
+        right = F.col(f"z{j}") - sum((F.col(f"l{k}{j}") * F.col(f"s{k}") for k in range(j + 1, m)), F.lit(0.0))
+        x = x.withColumn(f"s{j}", F.try_divide(right, F.col(f"l{j}{j}")))
+    return x.withColumns({f"b{j}": F.when(live(j), F.col(f"s{j}")) for j in range(m)})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schemas import BASELINE, CONDITION
-from ..sources.fixture import MODELS
+from ..sources.fixture import GENERATIONS, MODELS
 
 BOOT, SPLIT, PERM, CONDITION_BOOT = 2000, 200, 5000, 200
 K = ", ".join(CONDITION)
@@ -348,11 +348,11 @@ s1 as (select rep, perm.entity, sum(r2.r) as s, max(perm.n) as n, max(perm.m) as
 nul as (select rep, {KW} as v from s1 group by 1)
 --
 select kendall_w, n_models, n_attributes, (count(*) filter (where v >= kendall_w - 1e-12) + 1)::double / (count(*) + 1) as p, avg(v) as null_mean from nul, obs group by 1, 2, 3"""
-META = f"""meta0(model, family, released, params_b) as (values {', '.join(f"('{m}', '{f}', date '{d}', {'null' if p is None else p}::double)" for m, f, d, p in MODELS)}),
+META = f"""meta0(model, family, released, params_b, generation) as (values {', '.join(f"('{m}', '{f}', date '{d}', {'null' if p is None else p}::double, '{GENERATIONS[m]}')" for m, f, d, p in MODELS)}),
 meta as (select *, log10(params_b) as log_params, date_diff('day', min(released) over (), released) as release_days from meta0)"""
 MODEL_PAIRS = f"{ESTIMATES},\n{META},\n{agreement('rates', 'model', '')}"
 MODEL_AGREEMENT = f"with {MODEL_PAIRS}\n--\nselect * from agree"
-COVAR = f"{MODEL_PAIRS},\ncovar as (select g.*, x.family as family_a, y.family as family_b, (x.family = y.family)::int::double as same_family, abs(x.log_params - y.log_params) as size_gap, abs(x.release_days - y.release_days)::double as release_gap, (x.log_params + y.log_params) / 2 as mean_log_params from agree g left join meta x on model_a = x.model left join meta y on model_b = y.model)"
+COVAR = f"{MODEL_PAIRS},\ncovar as (select g.*, x.family as family_a, y.family as family_b, (x.family = y.family)::int::double as same_family, (x.generation = y.generation)::int::double as same_generation, abs(x.log_params - y.log_params) as d_log_params, abs(x.release_days - y.release_days)::double as d_release_days from agree g left join meta x on model_a = x.model left join meta y on model_b = y.model)"
 COVARIATES = f"with {COVAR}\n--\nselect * from covar"
 FAMILY_GAP = f"""with {COVAR},
 obs as (select avg(pearson_r) filter (where same_family = 1) as within, avg(pearson_r) filter (where same_family = 0) as between_, avg(pearson_r) filter (where same_family = 1) - avg(pearson_r) filter (where same_family = 0) as gap, count(*) as n_pairs from covar where pearson_r is not null),
@@ -362,6 +362,38 @@ dealt as (select rep, perm.model, ord.family from perm join ord on perm.ix = ord
 nul as (select x.rep, avg(pearson_r) filter (where x.family = y.family) - avg(pearson_r) filter (where x.family <> y.family) as v from agree join dealt x on model_a = x.model join dealt y on model_b = y.model and x.rep = y.rep where pearson_r is not null group by 1)
 --
 select within, between_ as "between", gap, n_pairs, (count(*) filter (where abs(v) >= abs(gap) - 1e-12) + 1)::double / (count(*) + 1) as p from nul, obs group by 1, 2, 3, 4"""
+def mantel() -> str:
+    """Sums by permutation, then elimination by rows; a covariate without variance is a row of the unit matrix."""
+    m, pairs = range(4), [(j, k) for k in range(5) for j in range(k + 1)]
+    x = [*(f"x{j}" for j in m), "y"]
+    e = lambda j, k: f"case when live{j} and live{k} then c{min(j, k)}{max(j, k)} else {float(j == k)}::double end"
+    step = [", ".join([f"{e(j, k)} as a0_{j}{k}" for j in m for k in m] + [f"case when live{j} then c{j}4 else 0 end as a0_{j}4" for j in m])]
+    for t in m:
+        rows = [f"a{t}_{i}{k} - a{t}_{i}{t} * a{t}_{t}{k} / nullif(a{t}_{t}{t}, 0)" if i > t else f"a{t}_{i}{k}" for i in m for k in range(5)]
+        pivot = f"case when a{t}_{t}{t} > 1e-10 * ({e(t, t)}) then a{t}_{t}{t} end as d{t}"
+        step.append(", ".join([f"{v} as a{t + 1}_{i}{k}" for v, (i, k) in zip(rows, [(i, k) for i in m for k in range(5)])] + [pivot]))
+    back = [f"(a4_{j}4{''.join(f' - a4_{j}{k} * s{k}' for k in range(j + 1, 4))}) / d{j} as s{j}" for j in reversed(m)]
+    levels, last = [], "sums"
+    for t, cols in enumerate([*step, *back]):
+        levels.append(f"e{t} as (select *, {cols} from {last})")
+        last = f"e{t}"
+    hits = lambda c: f"count(*) filter (where f.rep > 0 and f.used and abs(f.{c}) >= abs(o.{c}) * (1 - 1e-9) - 1e-12)"
+    one = " union all ".join(f"select '{name}' as predictor, o.n_pairs, o.n_models, max(case when o.used then o.r{j} end) as marginal_r, case when o.used and o.r{j} is not null then ({hits(f'r{j}')} + 1)::double / (count(*) filter (where f.rep > 0 and f.used) + 1) end as marginal_p, "
+        f"max(case when o.used then o.b{j} end) as joint_beta, case when o.used and o.b{j} is not null then ({hits(f'b{j}')} + 1)::double / (count(*) filter (where f.rep > 0 and f.used) + 1) end as joint_p, case when o.used then count(*) filter (where f.rep > 0 and f.used) end as n_perm from fit f, fit o where o.rep = 0 group by o.n_pairs, o.n_models, o.used, o.r{j}, o.b{j}" for j, name in enumerate(("same_family", "same_generation", "d_log_params", "d_release_days")))
+    return f"""with {COVAR},
+md as materialized (select m.model, meta.* exclude (model), row_number() over (order by m.model) as ix from (select model_a as model from covar union select model_b from covar) m left join meta using (model)),
+perm as (select rep, model, case when rep = 0 then ix else row_number() over (partition by rep order by {h32('43', 'rep', 'model')}, model) end as place from md, range(0, {PERM} + 1) as q(rep)),
+dealt as materialized (select p.rep, s.model, d.* exclude (model, ix) from perm p join md d on p.model = d.model join md s on s.ix = p.place),
+obsv as (select a.rep, spearman_r as y, (a.family = b.family)::int::double as x0, (a.generation = b.generation)::int::double as x1, abs(a.log_params - b.log_params) as x2, abs(a.release_days - b.release_days)::double as x3 from covar join dealt a on a.model = model_a join dealt b on b.model = model_b and a.rep = b.rep),
+centred as materialized (select rep, count(*) as n, {', '.join(f'sum({x[j]} * {x[k]}) - sum({x[j]}) * sum({x[k]}) / count(*) as c{j}{k}' for j, k in pairs)} from obsv where y is not null and x0 is not null and x1 is not null and x2 is not null and x3 is not null group by 1),
+sums as materialized (select centred.*, n_pairs, (select count(*) from md) as n_models, live0, live1, live2, live3 from centred, (select n as n_pairs, {', '.join(f'c{j}{j} > 1e-12 as live{j}' for j in m)} from centred where rep = 0)),
+{(',' + chr(10)).join(levels)},
+fit as materialized (select *, {' and '.join(f'(not live{j} or c{j}{j} > 1e-12)' for j in m)} and n >= live0::int + live1::int + live2::int + live3::int + 2 and (live0 or live1 or live2 or live3) as used,
+  {', '.join(f'case when live{j} and c{j}{j} > 1e-12 and c44 > 1e-12 then c{j}4 / sqrt(c{j}{j} * c44) end as r{j}, case when live{j} then s{j} end as b{j}' for j in m)} from {last})
+--
+{one}"""
+
+
 def trend(axis: str) -> str:
     n = f"{axis[:3]}_"
     return f"""{n}m as (select model, {rank(axis, '')} as xr, row_number() over (order by model) as ix from meta where {axis} is not null),

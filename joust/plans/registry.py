@@ -165,7 +165,7 @@ QUERIES: dict[str, Query] = {
     "q_consensus": Query(lambda s, d: H.consensus(rates(s, d)), "entity", "n_models", "mean_win sd_win min_win max_win mean_rank sd_rank", Q.CONSENSUS),
     "q_kendall_w": Query(lambda s, d: H.kendall_w(rates(s, d), PERM), "", "n_models n_attributes", "kendall_w p null_mean", Q.KENDALL),
     "q_model_agreement": Query(model_pairs, "model_a model_b", "n_attributes", "pearson_r spearman_r mean_abs_shift", Q.MODEL_AGREEMENT),
-    "q_covariates": Query(lambda s, d: H.with_covariates(model_pairs(s, d), meta(s)), "model_a model_b family_a family_b", "", "pearson_r same_family size_gap release_gap mean_log_params", Q.COVARIATES),
+    "q_covariates": Query(lambda s, d: H.with_covariates(model_pairs(s, d), meta(s)), "model_a model_b family_a family_b", "", "pearson_r same_family same_generation d_log_params d_release_days", Q.COVARIATES),
     "q_family_gap": Query(lambda s, d: H.family_gap(model_pairs(s, d), meta(s), PERM), "", "n_pairs", "within between gap p", Q.FAMILY_GAP),
     "q_trends": Query(lambda s, d: H.trends(rates(s, d), meta(s), "release_days", PERM).unionByName(H.trends(rates(s, d), meta(s), "log_params", PERM)), "entity axis", "n_models", "rho p q", Q.TRENDS),
     "q_group_means": Query(lambda s, d: H.group_means(rates(s, d), meta(s), "family", ["walls", "wheels"]), "entity", "", "walls wheels", Q.GROUP_MEANS),
@@ -187,7 +187,7 @@ QUERIES: dict[str, Query] = {
     "q_desirability_confound": Query(lambda s, d: R.desirability_confound(est(s, d), ratings(s, d)), COND, "n", "r_desirability r_length", Q.CONFOUND),
     "q_bt_tolerance": Query(lambda s, d: R.bradley_terry_until(at_base(s, d), ["model"]), "model entity", "", "bt_strength bt_win_vs_average", Q.BT_UNTIL),
     "q_mock_responder": Query(mock, "cell_key", "", "p1", Q.MOCK),
-    "q_mantel": Query(lambda s, d: H.mantel(model_pairs(s, d), meta(s), PERM), "predictor", "n_pairs", "r beta p_r p_beta"),
+    "q_mantel": Query(lambda s, d: H.covariate_effects(model_pairs(s, d), meta(s), n_perm=PERM), "predictor", "n_pairs n_models n_perm", "marginal_r joint_beta marginal_p joint_p", Q.mantel()),
 }
 
 from . import stores  # noqa: E402  (its queries build on the plans above)

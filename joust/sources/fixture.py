@@ -62,7 +62,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The model dimension: alias, family, release date, parameters in billions (null: not published).
 MODELS = (("AUTOMOBILE", "wheels", "2024-03-01", 7.0), ("BUILDING", "walls", "2024-06-15", 13.0), ("FURNITURE", "walls", "2024-09-30", 34.0), ("HOUSEHOLD", "walls", "2025-01-20", None), ("MACHINERY", "wheels", "2025-04-05", 70.0))
 
+GENERATIONS = {"AUTOMOBILE": "first", "BUILDING": "first", "FURNITURE": "second", "HOUSEHOLD": "second", "MACHINERY": "second"}
+
 
 def models(spark: SparkSession) -> DataFrame:
-    x = spark.createDataFrame([*MODELS], "model string, family string, released string, params_b double")
+    x = spark.createDataFrame([(*m, GENERATIONS[m[0]]) for m in MODELS], "model string, family string, released string, params_b double, generation string")
     return x.withColumn("released", F.to_date("released"))

@@ -185,15 +185,26 @@ def test_family_gap_needs_two_families(spark):
     pairs = R.agreement(cohort(spark, [rng.normal(size=12) for _ in range(5)]), "model", [])
     assert H.family_gap(pairs, meta(spark), 30).count() == 1
     assert H.family_gap(pairs, meta(spark, [(m, "f", d, p) for m, _, d, p in META]), 30).count() == 0
-    rows = {r.predictor: r for r in H.mantel(pairs, meta(spark), 50).collect()}
-    assert rows["size_gap"].n_pairs == 10 and 0 < rows["size_gap"].p_r <= 1
+    rows = {r.predictor: r for r in H.covariate_effects(pairs, with_generations(meta(spark)), n_perm=50).collect()}
+    assert rows["d_log_params"].n_pairs == 10 and rows["d_log_params"].n_models == 5 and 0 < rows["d_log_params"].marginal_p <= 1
+
+
+def with_generations(m):
+    return m.withColumn("generation", F.when(F.substring("model", 2, 1).isin("0", "3"), "old").otherwise("new"))
 
 
 def test_constant_predictor_has_null_p(spark):
     rng = np.random.default_rng(2)
     pairs = R.agreement(cohort(spark, [rng.normal(size=12) for _ in range(5)]), "model", [])
-    rows = {r.predictor: r for r in H.mantel(pairs, meta(spark, [(m, "f", d, p) for m, _, d, p in META]), 20).collect()}
-    assert rows["same_family"].p_r is None and rows["size_gap"].p_r is not None
+    m = with_generations(meta(spark, [(m, "f", d, p) for m, _, d, p in META]))
+    rows = {r.predictor: r for r in H.covariate_effects(pairs, m, n_perm=20).collect()}
+    assert rows["same_family"].marginal_p is None and rows["same_family"].joint_beta is None and rows["d_log_params"].joint_p is not None
+    few = pairs.where("model_a in ('M0', 'M1', 'M2') and model_b in ('M0', 'M1', 'M2')")
+    assert H.covariate_effects(few, m, n_perm=20).count() == 0
+    # four models, six pairs: enough for four covariates but not with one pair less
+    four = pairs.where("model_a <> 'M4' and model_b <> 'M4'").where("not (model_a = 'M0' and model_b = 'M1')")
+    rows = H.covariate_effects(four, with_generations(meta(spark)), n_perm=20).collect()
+    assert len(rows) == 4 and all(r.marginal_r is None and r.n_perm is None and r.n_pairs == 5 for r in rows)
 
 
 def test_completeness(spark):
@@ -220,34 +231,33 @@ def test_tolerance_fit_solves_the_score_equations(spark):
     assert {e: v / factor for e, v in raw.items()} == pytest.approx(p, rel=1e-6)
 
 
-def test_mantel_equals_plain_regression_and_all_permutations(spark):
+def test_covariate_effects_equal_plain_regression_and_all_permutations(spark):
     from itertools import permutations
 
     rng = np.random.default_rng(7)
     pairs = R.agreement(cohort(spark, [rng.normal(size=12) + 0.3 * m for m in range(6)]), "model", [])
-    # two predictors vary and three families, so that permutations differ
     rows = [(f"M{i}", "fgh"[i % 3], f"2024-0{1 + i * i % 7}-01", 3.0 ** (i * 5 % 6)) for i in range(6)]
-    m = meta(spark, rows)
-    x = H.with_covariates(pairs, m).orderBy("model_a", "model_b").collect()
-    names = ["same_family", "size_gap", "release_gap", "mean_log_params"]
-    y = {(r.model_a, r.model_b): r.pearson_r for r in x}
-    z = np.array([[r[n] for n in names] for r in x], float)
-    z = (z - z.mean(axis=0)) / z.std(axis=0)
-    scaled = lambda v: (v - v.mean()) / v.std()
-    v = scaled(np.array([*y.values()]))
-    beta = np.linalg.solve(z.T @ z, z.T @ v)
-    got = {r.predictor: r for r in H.mantel(pairs, m, 4000).collect()}
-    for k, n in enumerate(names):
-        assert got[n].r == pytest.approx(np.corrcoef(z[:, k], v)[0, 1]) and got[n].beta == pytest.approx(beta[k])
-    models = sorted({a for p in y for a in p})
-    hits = np.zeros((2, 4))
-    every = [*permutations(models)]
+    m = with_generations(meta(spark, rows))
+    of = {r.model: r for r in m.collect()}
+    value = {(r.model_a, r.model_b): r.spearman_r for r in pairs.collect()}
+    ends, y = [*value], np.array([*value.values()])
+
+    def design(to):
+        side = [(of[to[a]], of[to[b]]) for a, b in ends]
+        return np.array([[a.family == b.family, a.generation == b.generation, abs(a.log_params - b.log_params), abs(a.release_days - b.release_days)] for a, b in side], float)
+
+    def fit(x):
+        return np.array([np.corrcoef(x[:, j], y)[0, 1] for j in range(4)]), np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0][1:]
+
+    models = sorted(of)
+    obs = fit(design(dict(zip(models, models))))
+    got = {r.predictor: r for r in H.covariate_effects(pairs, m, n_perm=4000).collect()}
+    hits, every = np.zeros((2, 4)), [*permutations(models)]
     for q in every:
-        to = dict(zip(models, q))
-        w = scaled(np.array([y[min(to[a], to[b]), max(to[a], to[b])] for a, b in y]))
-        hits += [np.abs(z.T @ w / len(w)) >= np.abs(z.T @ v / len(v)) - 1e-9, np.abs(np.linalg.solve(z.T @ z, z.T @ w)) >= np.abs(beta) - 1e-9]
-    for k, n in enumerate(names):
-        assert abs(got[n].p_r - hits[0, k] / len(every)) < 0.04 and abs(got[n].p_beta - hits[1, k] / len(every)) < 0.04
+        hits += [np.abs(a) >= np.abs(b) * (1 - 1e-9) for a, b in zip(fit(design(dict(zip(models, q)))), obs)]
+    for k, n in enumerate(H.COVARIATES):
+        assert got[n].marginal_r == pytest.approx(obs[0][k]) and got[n].joint_beta == pytest.approx(obs[1][k])
+        assert abs(got[n].marginal_p - hits[0, k] / len(every)) < 0.04 and abs(got[n].joint_p - hits[1, k] / len(every)) < 0.04
 
 
 def test_pair_stats_in_one_pass_equal_the_consistency_of_pairs(spark):
