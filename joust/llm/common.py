@@ -76,6 +76,26 @@ class scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: Rows of narrow keys that are broadcast (8 to 32 bytes each); beyond, both sides of a join are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored frame of narrow rows, with the hint to broadcast it if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator adds for itself: none is one of df's, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import own_names, scratch, small, stored, table
 from .simhash import text_key
 
 WINDOW = 4
@@ -150,7 +150,7 @@ def compared(slim: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
     items = with_values(benchmark.dropDuplicates(["i"]), "itext")
     items = stored(items.where("size(__words) > 1 or __words[0] <> ''").select("i", F.col("__raw").alias("iraw"), F.col("__words").alias("iwords")), "benchmark")
     found = stored(proposals(with_words(slim, "text"), items.withColumnRenamed("iwords", "__words"), share), "proposals")
-    few = slim.join(found.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    few = slim.join(small(stored(found.select("k").distinct(), "proposed")), "k", "left_semi").dropDuplicates(["k"])
     both = with_values(few, "text").select("k", "__raw", "__words").join(found, "k").join(items, "i")
     n = F.size("iwords")
     both = both.withColumn("need", F.ceil(F.lit(share) * n).cast("int")).withColumn("off", (n - F.col("need")).cast("int"))
@@ -192,4 +192,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     slim = docs.select(text_key("text").alias("k"), F.col("text").cast("string").alias("text"))
     bad = matched(slim, table(spark, sf_dir, "benchmark").select(text_key("text").alias("i"), F.col("text").cast("string").alias("itext")), SHARE)
-    return docs.withColumn("__key", text_key("text")).join(bad.select(F.col("k").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+    [key] = own_names(docs, "__key")
+    return docs.withColumn(key, text_key("text")).join(bad.select(F.col("k").alias(key)).distinct(), key, "left_anti").select(*docs.columns)

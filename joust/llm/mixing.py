@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import own_names, partitions, stored, table
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -75,9 +75,25 @@ def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document once for each copy that the mix takes of it."""
-    got = mix(docs, words(F.col("text")))
-    return got.where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Pipeline stage: every document once for each copy that the mix takes of it. The mix is made of narrow rows, and its
+    copies come back to the documents by id, source and a hash of the text; texts are not sorted.
+
+    Defined cases: those of mix(); documents of size 0 go if the mix takes no copy of them; rows that share id, source and
+    text get the copies of all of them in turn, as if in any order; the columns of docs pass through, whatever their names.
+    """
+    id_, source, k, copies, many, place = own_names(docs, "__id", "__source", "__k", "__copies", "__many", "__place")
+    narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("k"), words(F.col("text")).alias("size"))
+    taken = mix(narrow, F.col("size")).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("k").alias(k)).agg(F.sum("__copies").alias(copies), F.count("*").alias(many))
+    taken = stored(taken.where(F.col(copies) > 0), "mix-copies")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(k))
+    found = docs.join(taken, same)
+    # of m equal rows the first take one copy more where the copies of all do not divide
+    one, more = found.where(F.col(many) == 1), found.where(F.col(many) > 1)
+    if not taken.where(F.col(many) > 1).isEmpty():
+        more = more.withColumn(place, F.row_number().over(Window.partitionBy(id_, source, k).orderBy(k)))
+        share = F.floor(F.col(copies) / F.col(many)) + (F.col(place) <= F.col(copies) % F.col(many)).cast("long")
+        found = one.unionByName(more.withColumn(copies, share).drop(place)).where(F.col(copies) > 0)
+    return found.withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, scratch, stored, table
+from .common import components, partitions, scratch, small, stored, table
 from .simhash import shingles, text_key
 
 WIDTH, PERCENT = 3, 90
@@ -376,7 +376,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
         for b in some(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["s", "own"])
 
-    own = docs.select("k", "text").join(ends, "k").dropDuplicates(["s"]).select("s", "text").mapInArrow(whole, "s long, own binary")
+    own = docs.select("k", "text").join(small(ends), "k").dropDuplicates(["s"]).select("s", "text").mapInArrow(whole, "s long, own binary")
     own = stored(own, "ngram-whole")
     busy = pairs.groupBy(F.col("other").alias("__of")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     salted = pairs.join(busy, F.col("other") == F.col("__of")).select("s", "other", F.pmod(F.xxhash64("s"), F.col("salts")).cast("int").alias("salt"))

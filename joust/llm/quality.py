@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import own_names, table
 
 #: Most labelled documents that the fit reads, by hash of their id; whole texts.
 TRAIN_DOCS = 2000
@@ -203,11 +203,11 @@ def held_out(ident):
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
     """labels: doc_id, quality. Documents of the held-out remainder never take part."""
-    chosen = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", F.col("text").cast("binary").alias("t"), "__y").collect()
-    rows.sort(key=lambda r: (r["__id"], bytes(r["t"] or b""), r["__y"]))
-    return fit([bytes(r["t"] or b"") for r in rows], [r["__y"] for r in rows])
+    chosen = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"] or b""), r["quality"]))
+    return fit([bytes(r["text"] or b"") for r in rows], [r["quality"] for r in rows])
 
 
 def op2_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +220,12 @@ def op2_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go."""
+    """Pipeline stage: rejected documents go.
+
+    Defined cases: null and empty texts are one empty line and scored as such; without labels every score is 0.5 and all
+    documents go; rows without an id, and rows that share one, are judged by their texts; an empty table gives an empty
+    result; the columns of docs pass through, whatever their names.
+    """
     field = trained(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, field, out="__score").where(F.col("__score") >= KEEP).select(*docs.columns)
+    [score] = own_names(docs, "__score")
+    return scored(docs, field, out=score).where(F.col(score) >= KEEP).select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, scratch, stored, table
+from .common import components, own_names, partitions, scratch, small, stored, table
 
 WIDTH = 4
 SEED = 42
@@ -150,7 +150,7 @@ def near_duplicates(df: DataFrame, ident: str = "doc_id", text: str = "text") ->
     a class unless no other id is there (then component_id is null); an empty table gives an empty result; other
     columns are not read.
     """
-    docs = stored(fingerprints(df, ident, text), "simhash-fp")
+    docs = stored(fingerprints(df, ident, text), "simhash-fp")  # the result reads it
     distinct = docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
     comp = classes(distinct.select("fp", "n"))
     named = distinct.join(comp, "fp", "left").select("fp", "low", F.coalesce("comp", "fp").alias("comp"))
@@ -236,7 +236,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["k", "own"])
 
-    texts = docs.join(stored(ends, "similar-ends"), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(sets, "k long, own binary")
+    texts = docs.join(small(stored(ends, "similar-ends")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(sets, "k long, own binary")
     texts = stored(texts, "similar-sets")
     busy = pairs.groupBy(F.col("other").alias("__of")).agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS).cast("int"))
     salted = pairs.join(busy.select("__of", "salts"), F.col("other") == F.col("__of")).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int")).drop("__of", "salts")
@@ -263,17 +263,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Defined cases: those of similar(); an empty table gives an empty result; the columns of docs pass through.
     """
-    key = text_key("text")
-    rows = docs.select(F.col("doc_id").alias("__id"), key.alias("__k")).groupBy("__id", "__k").agg(F.count("*").alias("n"))
-    rows = stored(rows.join(similar(docs), F.col("__k") == F.col("k"), "left").select("__id", "__k", "n", F.coalesce("comp", "__k").alias("comp")), "similar-rows")
-    first = F.struct(F.col("__id").isNull(), "__id", "__k")
-    best = rows.groupBy(F.col("comp").alias("__c")).agg(F.min(first).alias("best"), F.sum("n").alias("all")).where("all > 1")
-    # what goes is mostly far less than what stays: an anti join whose right side the planner may find small
-    gone = rows.join(best, F.col("comp") == F.col("__c")).where(~(F.col("__id").eqNullSafe(F.col("best.__id")) & (F.col("__k") == F.col("best.__k"))))
-    gone = stored(gone.select("__id", "__k"), "similar-gone")
-    left = docs.withColumn("__key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_anti")
-    again = stored(rows.where("n > 1").select(F.col("__id"), F.col("__k")), "similar-again")
+    mine = docs.select(F.col("doc_id").alias("id"), text_key("text").alias("k"))
+    with scratch(spark) as work:
+        rows = mine.groupBy("id", "k").agg(F.count("*").alias("n")).join(similar(docs), "k", "left")
+        rows = stored(rows.select("id", "k", "n", F.coalesce("comp", "k").alias("c")), "similar-rows")
+        first = F.struct(F.col("id").isNull(), "id", "k")
+        best = rows.groupBy(F.col("c").alias("of")).agg(F.min(first).alias("best"), F.sum("n").alias("all")).where("all > 1")
+        # what goes is mostly far less than what stays: an anti join whose right side may be small
+        gone = rows.join(best, F.col("c") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("k") == F.col("best.k"))))
+        gone = work.kept(stored(gone.select("id", "k"), "similar-gone"))
+        again = work.kept(stored(rows.where("n > 1").select("id", "k"), "similar-again"))
+    key, id_, k = own_names(docs, "__key", "__id", "__k")
+    left, same = docs.withColumn(key, text_key("text")), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(k))
+    named = lambda x: x.select(F.col("id").alias(id_), F.col("k").alias(k))
+    left = left.join(small(named(gone)), same, "left_anti")
     if not again.isEmpty():  # equal rows: one of each
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"]))
+        left = left.join(small(named(again)), same, "left_anti").unionByName(left.join(small(named(again)), same, "left_semi").dropDuplicates(["doc_id", key]))
     return left.select(*docs.columns)

@@ -225,3 +225,36 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert rows and sorted(r.slot for r in rows) == list(range(len(rows)))
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_columns_with_names_of_their_own_alone(spark, tmp_path):
+    """Every name that a stage adds for itself, and some of its results' names, as columns of the caller."""
+    from joust.llm import decontam, quality, simhash
+
+    names = ["__id", "__k", "__key", "__score", "__size", "__source", "__copies", "__many", "__place", "k", "n", "id", "score", "size", "comp", "of", "best", "__at", "__block", "__target", "__KEY"]
+    texts = [f"the quick brown fox number {i} jumps over the lazy dog near river {i * 7}" for i in range(12)] + ["same words in one text again and again"] * 3 + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 2], 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        if n.lower() not in {c.lower() for c in docs.columns}:
+            docs = docs.withColumn(n, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "the quick brown fox number 3 jumps over the lazy dog near river 21")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for stage in (quality.stage, simhash.stage, decontam.stage, mixing.stage):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert all(r[c] == f"mine {r.doc_id}" for r in rows for c in own)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_takes_what_the_mix_takes_of_equal_rows_too(spark):
+    rows = [(i % 40, f"w{i % 40} " * (1 + i % 5), "abc"[i % 3] if i % 7 else None) for i in range(120)] + [(None, "x y", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {}
+    for r in mixing.mix(docs.withColumn("k", F.xxhash64("text")), mixing.words(F.col("text"))).collect():
+        want[(r.doc_id, r.text, r.source)] = want.get((r.doc_id, r.text, r.source), 0) + r["__copies"]
+    got = {}
+    for r in mixing.stage(spark, docs.repartition(3), "").collect():
+        got[tuple(r)] = got.get(tuple(r), 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
