@@ -7,7 +7,9 @@ words at most), so each case of the share is proposed. What they propose (docume
 word: enough of the item's words must agree in order, less one for each word put in between, and the slots of the
 words that agree must be filled consistently: wherever the item has one value, the document has one value (two values
 of the item may become the same). Neighbouring words of one name or number are one placeholder, a unit is one of its
-own also where it is written onto its number. A name that begins a sentence is a word like any other.
+own also where it is written onto its number. A capitalised word is a name also where it begins a sentence, since nothing
+in a template tells the two apart: there it costs nothing, as both sides have it, and a slot has to be filled
+consistently all the same. Spelled numbers are numbers.
 
 Texts are compared once, whatever the number of their copies: documents and items are told apart by a hash of the
 text, and ids come back at the end. A window of placeholders only, which many texts hold, is matched like any other;
@@ -35,6 +37,12 @@ AROUND = r"""^["'(\[]+|(?:['’]s)?[.,;:!?)"'\]]*$"""
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inches", "feet", "miles", "pounds", "dollars", "euros", "percent", "%")
 
 
+#: Spelled numbers, as they stand between words; a compound is one.
+ONES = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+SPELLED = rf"(?=[efhmnostEFHMNOST])(?i:(?:{'|'.join(TENS)})(?:-(?:{'|'.join(ONES[:9])}))?|{'|'.join(sorted(ONES, key=len, reverse=True))})(?![\p{{L}}\p{{N}}-])"
+
+
 def squeezed(text: Column, units: tuple[str, ...] = UNITS) -> Column:
     """White space as single spaces, and one between a number and a unit that is written onto it."""
     line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " "))
@@ -43,9 +51,9 @@ def squeezed(text: Column, units: tuple[str, ...] = UNITS) -> Column:
 
 def template(line: Column) -> Column:
     """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
-    # looks behind only after a capital; each step is used once, as a condition on it would compute it again
-    x = F.regexp_replace(line, r"[\"'(]?\p{Lu}(?<=[^.!?:;|\s] [\"'(]?\p{Lu})\p{Ll}[\p{L}'-]*", "<c>")
-    x = F.regexp_replace(x, r"(?<![^ ])[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?", "<n>")
+    # each step is used once, as a condition on it would compute it again
+    x = F.regexp_replace(line, rf"(?<![^ ])(?:[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?|{SPELLED})", "<n>")
+    x = F.regexp_replace(x, r"[\"'(]?(?<![^ ][\"'(]?)\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
     x = F.regexp_replace(x, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
     x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}<> ]+", "")

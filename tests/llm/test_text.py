@@ -512,3 +512,28 @@ def test_odd_pages(spark):
     got = pages(spark, [(None, None), ("x", ""), ("https://c.org/", "no <b>markup"), ("https://c.org/", "<p>a<p>b</i></p><!-- x"), ("https://c.org/", "<script>if (a<b) x()"), ("https://c.org/", "<p>w</p>" * 20000)])
     assert (got[0], got[1], got[2], got[3], got[4]) == ("", "", "no markup", "a b", "") and len(got[5]) == 39999
     assert pages(spark, []) == {}
+
+
+@pytest.mark.parametrize(
+    "item, text, found",
+    [
+        ("Alice had 7 apples.", "Bob had 9 apples.", True),
+        ("Alice had 7 apples.", "Some words first. Bob had 9 apples. And more.", True),
+        ("Alice had 7 apples.", "There Bob had 9 apples in all", True),
+        ("Alice gave Alice 7 apples and 7 pears to carry home", "Bob gave Tom 9 apples and 9 pears to carry home", False),
+        ("Tom had seven apples and three pears in the bag", "Ann had 12 apples and twenty-one pears in the bag", True),
+        ("Tom had seven apples and seven pears in the bag", "Ann had 12 apples and two pears in the bag", False),
+        ("he had 7 apples in his bag and ate two", "she sold nine horses at her farm before noon", False),
+    ],
+)
+def test_names_at_the_start_and_spelled_numbers_are_slots(spark, item, text, found):
+    got = decontam.leaks(spark.createDataFrame([(1, text)], DOCS), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert bool(got.collect()) == found
+
+
+def test_templates_of_capitals_and_spelled_numbers(spark):
+    cases = {"Bob had seven apples": "<c> had <n> apples", "the one-eyed often won a tenth": "the oneeyed often won a tenth", "Twenty-one men, two": "<n> men <n>", "two three men": "<n> <m> men", "O'Neil (Ann) McX ÉTÉ Été I": "oneil <c>) mcx été <c> i"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", decontam.template(decontam.squeezed(F.col("t"))).alias("x")).collect()
+    assert {r.t: r.x for r in rows}["Bob had seven apples"] == "<c> had <n> apples"
+    assert {r.t: r.x for r in rows}["the one-eyed often won a tenth"] == "the oneeyed often won a tenth"
+    assert {r.t: r.x for r in rows}["two three men"] == "<n> <m> men"
