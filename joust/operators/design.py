@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import random
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import hash32
 from ..functions.text import cell_seed, choice_key, fill, hash_mod, letters, option_block, prompt_hash
 from ..schemas import OTHER
 
@@ -27,23 +27,31 @@ def all_pairs(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("entity").alias("a")).join(entities.select(F.col("entity").alias("b")), F.col("a") < F.col("b"))
 
 
-def sample_pairs(entities: list[str], n: int | None, seed: int) -> list[tuple[str, str]]:
-    """A seeded sample in which entities occur about equally often: of a shuffled list always the pair whose ends have
-    met least together, the earlier one of equals, in the order drawn. Without a number, or with one that takes all,
-    all pairs in order. Sequential by nature, over the design's few entities, so on the driver."""
-    names = sorted(entities)
-    rest = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if n is None or n >= len(rest):
-        return rest
-    random.Random(seed).shuffle(rest)
-    met, out = dict.fromkeys(names, 0), []
-    while rest and len(out) < n:
-        pair = min(rest, key=lambda p: met[p[0]] + met[p[1]])  # the first of equals
-        rest.remove(pair)
-        for name in pair:
-            met[name] += 1
-        out.append(pair)
-    return out
+def sampled_pairs(entities: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """place, a, b (a < b in string order): n pairs in which entities occur about equally often, by the circle method.
+
+    All pairs of an even number m of entities fall into m - 1 rounds in which each entity plays once: one stands still,
+    and in round r those at r + k and r - k of the other m - 1 meet. Entities and rounds are in a seeded hash order, pairs
+    are taken round by round, so after any number of pairs two entities differ by one at most (by two if the number of
+    entities is odd, where one of each round has no partner). A pair follows from its place by arithmetic, in any task.
+    Without a number, or with one that takes all, all pairs in order.
+    """
+    spark = entities.sparkSession
+    if n is None or n >= (size := entities.count()) * (size - 1) // 2:
+        x = all_pairs(entities)
+        return x.select((F.row_number().over(Window.orderBy("a", "b")) - 1).cast("long").alias("place"), "a", "b")
+    m = size + size % 2
+    each = size // 2  # pairs a round
+    # one row: the entities in their order, and the rounds in theirs; as long as the list of entities
+    listed = entities.agg(F.transform(F.array_sort(F.collect_list(F.struct(hash32(seed, F.col("entity")).alias("h"), "entity"))), lambda e: e["entity"]).alias("names"))
+    rounds = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(m - 2)), lambda r: F.struct(hash32(seed, F.lit("round"), r).alias("h"), r.alias("r"))))
+    listed = listed.withColumn("rounds", F.transform(rounds, lambda x: x["r"]))
+    x = spark.range(n).withColumnRenamed("id", "place").crossJoin(F.broadcast(listed))
+    r = F.get("rounds", F.floor(F.col("place") / each).cast("int"))
+    k = ((F.col("place") + hash32(seed, F.lit("first"), r)) % each + size % 2).cast("int")
+    one = F.when(k == 0, m - 1).otherwise((r + k) % (m - 1))
+    names = [F.get("names", one), F.get("names", F.pmod(r - k, F.lit(m - 1)))]
+    return x.select("place", F.least(*names).alias("a"), F.greatest(*names).alias("b"))
 
 
 def pair_coverage(pairs: DataFrame, entities: DataFrame) -> DataFrame:

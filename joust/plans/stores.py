@@ -290,6 +290,20 @@ def previews(spark, d):
 PREVIEWS = f"with {Q.ASKED},\nk as (select *, row_number() over (partition by model, qvar, object, subject, no_pref_offered order by a, b, trial) as place from asked)\n--\nselect cell_key, user_ as \"user\", me[p[2] + 1] as letter_b from k where place <= 2"
 
 
+def pair_sample(spark, d):
+    names = fixture.table(spark, d, "supplier").select(F.col("s_name").alias("entity"))
+    return G.sampled_pairs(names, 3 * names.count() + 7, 5)
+
+
+PAIR_SAMPLE = f"""with size as (select count(*) as n, count(*) + count(*) % 2 as m, count(*) // 2 as each from supplier),
+e as (select s_name as entity, row_number() over (order by {Q.h32("'5'", 's_name')}, s_name) - 1 as i from supplier),
+r as (select r, row_number() over (order by {Q.h32("'5'", "'round'", 'r')}, r) - 1 as turn from (select unnest(range(0, m - 1)) as r from size)),
+p as (select t as place, r, (t + {Q.h32("'5'", "'first'", 'r')}) % each + n % 2 as k, m from size, range(0, (select 3 * n + 7 from size)) as q(t) join r on turn = t // (select each from size)),
+ij as (select place, case when k = 0 then m - 1 else (r + k) % (m - 1) end as i, (r - k + m - 1) % (m - 1) as j from p)
+--
+select place, least(x.entity, y.entity) as a, greatest(x.entity, y.entity) as b from ij join e x on x.i = ij.i join e y on y.i = ij.j"""
+
+
 def pair_members(spark, d):
     pairs = [("NATION_1", "NATION_2"), ("NATION_9", "NATION_3")]
     return P.est(spark, d).select("a", "b").distinct().withColumn("listed", G.is_pair(F.col("a"), F.col("b"), pairs)).withColumn("turned", G.is_pair(F.col("b"), F.col("a"), pairs))
@@ -558,6 +572,7 @@ QUERIES: dict[str, Query] = {
     "q_tolerant_scan": Query(tolerant, "model_id module", "n", "", TOLERANT),
     "q_results": Query(results, "custom_id text error refused", "", "", RESULTS),
     "q_collect_fold": Query(collect_fold, "model qvar reasoning_applied", "n n_errors n_declined n_refused n_failed n_a n_modal n_cells rows errors refusals parse_failures unmatched", "temperature", COLLECT_FOLD),
+    "q_pair_sample": Query(pair_sample, "a b", "place", "", PAIR_SAMPLE),
     "q_requests": Query(request_lines, "style model cell_key digest", "size", "", f"with {REQUESTS}\n--\nselect *, md5(line) as digest, strlen(line) as size from req"),
     "q_request_shards": Query(request_shards, "model first_key", "shard n bytes", "", REQUEST_SHARDS),
     "q_request_files": Query(request_files, "file first_key last_key model_id model_ref backend endpoint module config_hash reasoning_applied reasoning_standardized dated", "n bytes listed listed_bytes cells_planned cells_skipped_already_done requests_written max_tokens", "temperature_sent temperature_recorded", REQUEST_FILES),

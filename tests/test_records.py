@@ -81,26 +81,16 @@ def test_rendered_letters_follow_the_printed_order(spark):
     assert all(sum(r.shares) == pytest.approx(1) for r in shares)
 
 
-def plain_sample(names, n, seed):
-    """The definition: of a shuffled list, always the first pair whose ends have met least."""
-    rest = [(a, b) for a in sorted(names) for b in sorted(names) if a < b]
-    random.Random(seed).shuffle(rest)
-    met, out = {}, []
-    for _ in range(n):
-        k = min(range(len(rest)), key=lambda k: (met.get(rest[k][0], 0) + met.get(rest[k][1], 0), k))
-        out.append(rest.pop(k))
-        for e in out[-1]:
-            met[e] = met.get(e, 0) + 1
-    return out
-
-
-@pytest.mark.parametrize("n, seed", [(1, 0), (15, 1), (30, 2), (44, 3)])
-def test_sampled_pairs(n, seed):
-    names = [f"E{i}" for i in range(10)]
-    pairs = G.sample_pairs(names, n, seed)
+@pytest.mark.parametrize("size, n, seed", [(10, 1, 0), (10, 15, 1), (10, 30, 2), (10, 44, 3), (11, 40, 4), (11, 54, 5), (2, 1, 6), (3, 2, 7), (3, 1, 8), (7, 20, 9)])
+def test_sampled_pairs(spark, size, n, seed):
+    names = [f"E{i}" for i in range(size)]
+    entities = spark.createDataFrame([(e,) for e in names], "entity string")
+    pairs = [(r.a, r.b) for r in sorted(G.sampled_pairs(entities, n, seed).collect(), key=lambda r: r.place)]
     degree = [sum(e in p for p in pairs) for e in names]
-    assert pairs == plain_sample(names, n, seed) and len(set(pairs)) == n and max(degree) - min(degree) <= 2
-    assert G.sample_pairs(names, None, seed) == G.sample_pairs(names, 99, seed) == [(a, b) for a in names for b in names if a < b]
+    assert len(set(pairs)) == len(pairs) == n and all(a < b for a, b in pairs) and max(degree) - min(degree) <= 1 + size % 2
+    every = [(a, b) for a in sorted(names) for b in sorted(names) if a < b]
+    assert [(r.a, r.b) for r in G.sampled_pairs(entities, 99, seed).orderBy("place").collect()] == every == [(r.a, r.b) for r in G.sampled_pairs(entities).orderBy("place").collect()]
+    assert size < 7 or pairs != [(r.a, r.b) for r in sorted(G.sampled_pairs(entities, n, seed + 50).collect(), key=lambda r: r.place)]
 
 
 def line(**over):
