@@ -96,6 +96,13 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def few(batches, rows: int = 256):
+    """The same record batches in pieces, so that a task has few texts in Python at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

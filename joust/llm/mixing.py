@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own_names, partitions, stored, table
+from .common import own_names, partitions, small, stored, table
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -86,7 +86,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(narrow, F.col("size")).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("k").alias(k)).agg(F.sum("__copies").alias(copies), F.count("*").alias(many))
     taken = stored(taken.where(F.col(copies) > 0), "mix-copies")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(k))
-    found = docs.join(taken, same)
+    found = docs.join(small(taken), same)
     # of m equal rows the first take one copy more where the copies of all do not divide
     one, more = found.where(F.col(many) == 1), found.where(F.col(many) > 1)
     if not taken.where(F.col(many) > 1).isEmpty():

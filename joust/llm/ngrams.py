@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, scratch, small, stored, table
+from .common import components, few, partitions, scratch, small, stored, table
 from .simhash import shingles, text_key
 
 WIDTH, PERCENT = 3, 90
@@ -38,15 +38,8 @@ COUNTERS, PIECE = 1 << 21, 1 << 11
 BLOCK, DEPTH = 1024, 64
 #: Parities of a set's tokens.
 BITS = 1024
-#: Partners that are compared with one set in one task, and texts that a task cuts into sets at once.
-PARTNERS, TEXTS = 500, 256
-
-
-def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, few texts at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, TEXTS):
-            yield b.slice(at, TEXTS)
+#: Partners that are compared with one set in one task.
+PARTNERS = 500
 
 
 def counted(docs: DataFrame, width: int) -> np.ndarray:
@@ -55,7 +48,7 @@ def counted(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for b in some(batches):
+        for b in few(batches):
             for t in b.column(0).to_pylist():
                 # distinct tokens of one set may still share a counter
                 np.add.at(total, (np.unique(shingles(t, width)) % np.uint64(COUNTERS)).astype(np.int64), 1)
@@ -113,7 +106,7 @@ def encoded(docs: DataFrame, level: np.ndarray, width: int, percent: int) -> Dat
     of which any partner has among its own), bits (parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some(batches):
+        for b in few(batches):
             n, s, prefix, bits = [], [], [], []
             for t in b.column(2).to_pylist():
                 own = np.unique(shingles(t, width))
@@ -373,7 +366,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
     ends = stored(pairs.select(F.explode(F.array("s", "other")).alias("s")).distinct().join(sets.select("s", "k"), "s"), "ngram-ends")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some(batches):
+        for b in few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["s", "own"])
 
     own = docs.select("k", "text").join(small(ends), "k").dropDuplicates(["s"]).select("s", "text").mapInArrow(whole, "s long, own binary")
@@ -385,8 +378,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fine = []
-            for x, y in zip(*(b.column(i).to_pylist() for i in (2, 3))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3)):  # as they stand in the batch, without a copy of each
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 fine.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["s", "other"]).filter(pa.array(fine, pa.bool_()))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, own_names, partitions, scratch, small, stored, table
+from .common import components, few, own_names, partitions, scratch, small, stored, table
 
 WIDTH = 4
 SEED = 42
@@ -94,22 +94,25 @@ def fingerprints(df: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     return df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants() -> Column:
-    """The 64 one-wildcard variants as a literal: the bit that is left out, where its segment begins, and the mask."""
-    out = []
-    for lo, hi in SEGMENTS:
-        for j in range(lo, hi):
-            mask = ((1 << hi) - (1 << lo)) & ~(1 << j)
-            out.append(F.struct(F.lit(j).alias("j"), F.lit(lo).alias("lo"), F.lit(mask - ((mask >> 63) << 64)).alias("mask")))
-    return F.array(*out)
+#: Each segment in three parts: the segment's number and first bit, and the part's first bit and end within it.
+PARTS = tuple((k, lo, (hi - lo) * t // 3, (hi - lo) * (t + 1) // 3) for k, (lo, hi) in enumerate(SEGMENTS) for t in range(3))
 
 
 def spread(fps: DataFrame, words: list[tuple[str, str]], *kept: str) -> DataFrame:
-    """kept, key, check: 64 int keys for each word of the fingerprints (words: its column and that of its check). A
-    table of fingerprints is a few small files and its keys are many rows, so it is dealt to all tasks first."""
-    x = fps.repartition(partitions(fps.sparkSession)).select(*kept, F.explode(F.array(*[F.struct(F.col(f).alias("f"), F.col(c).alias("check"), F.lit(i).alias("word")) for i, (f, c) in enumerate(words)])).alias("w"))
-    x = x.select(*kept, "w.*", F.explode(variants()).alias("v"))
-    return x.select(*kept, F.expr("cast((shiftrightunsigned(f & v.mask, v.lo) * 64 + v.j) * 4 + word as int)").alias("key"), "check")
+    """kept, part, other, key, check: the 64 one-wildcard variants of each word of the fingerprints (words: its column and
+    that of its check) as int keys, dealt out so that equal keys meet.
+
+    The variants of one part of a segment, those that leave out one of its seven bits, have the segment's other bits in
+    common. A row is dealt by those, nine a word, and its variants are made where it arrives. A table of fingerprints is a
+    few small files and its keys are many rows, so it is dealt to all tasks first."""
+    n = partitions(fps.sparkSession)
+    x = fps.repartition(n).select(*kept, F.explode(F.array(*[F.struct(F.col(f).alias("f"), F.col(c).alias("check"), F.lit(i).alias("word")) for i, (f, c) in enumerate(words)])).alias("w"))
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(lo).alias("lo"), F.lit((1 << (SEGMENTS[k][1] - lo)) - 1).alias("ones"), F.lit((1 << b) - (1 << a)).alias("wild")) for i, (k, lo, a, b) in enumerate(PARTS)])
+    x = x.select(*kept, "w.*", F.explode(parts).alias("v")).withColumn("seg", F.expr("cast(shiftrightunsigned(f, v.lo) & v.ones as int)"))
+    x = x.select(*kept, "check", (F.col("word") * 16 + F.col("v.part")).alias("part"), F.expr("seg & ~v.wild").alias("other"), "seg").repartition(n, "part", "other")
+    of = lambda i: F.get(F.array(*[F.lit(p[i]) for p in PARTS]), F.col("part") % 16)
+    x = x.withColumn("bit", F.explode(F.sequence(of(2), of(3) - 1))).withColumn("lo", of(1))
+    return x.select(*kept, "part", "other", F.expr("((seg & ~shiftleft(1, bit)) * 64 + lo + bit) * 4 + cast(part / 16 as int)").alias("key"), "check")
 
 
 def near(a, b, radius: int = RADIUS):
@@ -123,7 +126,7 @@ def classes(fps: DataFrame) -> DataFrame:
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    w = Window.partitionBy("key")
+    w = Window.partitionBy("part", "other", "key")
     groups = spread(fps, [("fp", "fp")], "fp", "n").select("key", "fp", F.count("*").over(w).alias("size"), F.max(F.struct("n", "fp")).over(w)["fp"].alias("pivot")).where("size > 1 and fp <> pivot")
     # two alone are settled by the comparison with the pivot
     groups = groups.where((F.col("size") > 2) | near(F.col("fp"), F.col("pivot"))).select("key", "fp", "pivot")
@@ -179,7 +182,7 @@ def similar_texts(docs: DataFrame, width: int, similarity: float, words: int) ->
     names = [f"f{i}" for i in range(words)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             got = [long_fingerprint(t, width, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], pa.int64()) for i in range(words)]], ["k", *names])
 
@@ -187,7 +190,7 @@ def similar_texts(docs: DataFrame, width: int, similarity: float, words: int) ->
     fps = stored(fps, "similar-fp")
     # each key travels with another word of the fingerprint, which must be near too
     entries = spread(fps, [(names[i], names[(i + 1) % words]) for i in range(words)], "k", "n")
-    w = Window.partitionBy("key")
+    w = Window.partitionBy("part", "other", "key")
     groups = entries.select("key", "k", "check", F.count("*").over(w).alias("size"), F.max(F.struct("n", "k", "check")).over(w).alias("pivot")).where("size > 1 and k <> pivot.k")
     groups = groups.select("key", "k", "check", "size", F.col("pivot.k").alias("pivot"), near(F.col("check"), F.col("pivot.check"), CHECK).alias("hit")).where("size > 2 or hit")
     groups = stored(groups.drop("size"), "similar-groups")
@@ -233,7 +236,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
     ends = pairs.select(F.explode(F.array("k", "other")).alias("k")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, width)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["k", "own"])
 
     texts = docs.join(small(stored(ends, "similar-ends")), "k", "left_semi").dropDuplicates(["k"]).mapInArrow(sets, "k long, own binary")
@@ -244,11 +247,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fine, last, their = [], None, None
-            for raw, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if raw != last:
-                    last, their = raw, np.frombuffer(raw, np.uint64)
-                x = np.frombuffer(own, np.uint64)
+            fine = []
+            for raw, own in zip(b.column(2), b.column(3)):  # as they stand in the batch, without a copy of each
+                x, their = (np.frombuffer(v.as_buffer(), np.uint64) for v in (own, raw))
                 both = len(np.intersect1d(x, their, assume_unique=True))
                 fine.append(both >= similarity * (len(x) + len(their) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["k", "other"]).filter(pa.array(fine, pa.bool_()))
