@@ -16,6 +16,7 @@ from ..operators import summary as Y
 from ..schemas import BASELINE, CONDITION, FIELDS, OTHER, PAIR
 from ..session import fresh
 from ..sources import banks, batches, fixture, records, reports
+from ..sources import lines as jsonl
 from ..streaming import ingest
 from . import oracle as Q
 from . import registry as P
@@ -65,6 +66,27 @@ def tolerant(spark, d):
 TOLERANT = "select 'M' || (o_custkey % 5) as model_id, 'battery' as module, count(*) as n from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 group by 1"
 
 
+def scan_places(spark, d):
+    """Two files of lines, some cut off and some without a key field, read in ranges: records with their places."""
+    x, k = orders(spark, d), F.col("o_orderkey")
+    whole = F.concat(F.lit('{"model_id":"M'), F.col("o_custkey") % 5, F.lit('","item_id":"i","framing":"self","reasoning_mode":"r","response_format":"f","item_context":"c","paraphrase_id":"w0","method":"sample","trial_idx":1,"record_id":"'), k, F.lit('","notes":"é'), "o_orderpriority", F.lit('"}'))
+    x = x.withColumn("value", F.when(k % 7 == 0, F.substring(whole, 1, 30)).when(k % 11 == 0, F.replace(whole, F.lit('"item_id":"i",'), F.lit(""))).otherwise(whole))
+    paths = []
+    for part in (0, 1):
+        own = x.where(F.col("o_custkey") % 2 == part).repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey").select("value")
+        paths.append(written(spark, own, "places"))
+    places = jsonl.numbered(jsonl.read_lines(spark, paths, 50_000)).select(F.struct("path", "file", "offset").alias("seq"), "line")
+    got = jsonl.scan(spark, paths, strict=False, size=50_000).join(places, "seq")
+    return got.select("model_id", "record_id", "notes", "module", F.col("seq.path").alias("path"), F.col("seq.offset").alias("at_byte"), "line")
+
+
+SCAN_PLACES = """with w as (select *, '{"model_id":"M' || (o_custkey % 5) || '","item_id":"i","framing":"self","reasoning_mode":"r","response_format":"f","item_context":"c","paraphrase_id":"w0","method":"sample","trial_idx":1,"record_id":"' || o_orderkey || '","notes":"é' || o_orderpriority || '"}' as whole from orders),
+v as (select *, case when o_orderkey % 7 = 0 then substr(whole, 1, 30) when o_orderkey % 11 = 0 then replace(whole, '"item_id":"i",', '') else whole end as value, o_custkey % 2 as path from w),
+p as (select *, row_number() over o as line, coalesce(sum(strlen(value) + 1) over (partition by path order by o_orderkey rows between unbounded preceding and 1 preceding)  , 0) as at_byte from v window o as (partition by path order by o_orderkey))
+--
+select 'M' || (o_custkey % 5) as model_id, o_orderkey::varchar as record_id, 'é' || o_orderpriority as notes, 'battery' as module, path, at_byte, line from p where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0"""
+
+
 def results(spark, d):
     x, k, c = orders(spark, d), F.col("o_orderkey"), F.col
     ident = F.concat(F.lit("k"), c("o_custkey").cast("string"), F.lit("-"), k.cast("string")).alias("custom_id")
@@ -570,6 +592,7 @@ def construct_places(spark, d):
 QUERIES: dict[str, Query] = {
     "q_record_store": Query(record_store, f"{PAIRS} answered refused chose_a chose_b chose_none", "n_options pos_a pos_b pos_none chosen_position", "", Q.CHOICES),
     "q_tolerant_scan": Query(tolerant, "model_id module", "n", "", TOLERANT),
+    "q_scan_places": Query(scan_places, "model_id record_id notes module", "path line at_byte", "", SCAN_PLACES),
     "q_results": Query(results, "custom_id text error refused", "", "", RESULTS),
     "q_collect_fold": Query(collect_fold, "model qvar reasoning_applied", "n n_errors n_declined n_refused n_failed n_a n_modal n_cells rows errors refusals parse_failures unmatched", "temperature", COLLECT_FOLD),
     "q_pair_sample": Query(pair_sample, "a b", "place", "", PAIR_SAMPLE),

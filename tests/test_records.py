@@ -11,6 +11,8 @@ from joust.operators import design as G
 from conftest import spec_entities
 from joust.operators.choices import from_records
 from joust.schemas import FIELDS
+from joust.sources import batches
+from joust.sources import lines as L
 from joust.sources import records as S
 from joust.streaming import ingest
 
@@ -113,6 +115,27 @@ def test_reads_drop_unknown_fields_and_default_missing_ones(spark, tmp_path):
     assert (r.pos_a, r.pos_b, r.pos_none, r.chosen_position, r.answered) == (2, 1, 3, 2, True)
 
 
+def test_scans_know_the_place_of_a_line(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    write(tmp_path / "b" / "2.jsonl", [line(record_id=str(i), notes="é" * (i % 5)) for i in range(40)])
+    write(tmp_path / "b" / "1.jsonl", [line(record_id="first")], "\n \n" + json.dumps(line(record_id="last")))
+    a = write(tmp_path / "a.jsonl", [{k: v for k, v in line().items() if k != "item_id"}, line(record_id="x")], '{"model_id": "M", "tri')
+    want = ["first", "last", *map(str, range(40))]
+    for size in (1 << 20, 64, 7):
+        got = sorted(L.scan(spark, [str(tmp_path / "b")], size=size).collect(), key=lambda r: tuple(r.seq))
+        assert [r.record_id for r in got] == want
+    numbers = L.numbered(L.read_lines(spark, [str(tmp_path / "b")], 50)).where("value like '%\"record_id\"%'").collect()
+    assert sorted((r.file[-7:], r.line) for r in numbers) == sorted([("1.jsonl", 1), ("1.jsonl", 4), *(("2.jsonl", i + 1) for i in range(40))])
+    both = [str(tmp_path / "b"), a]
+    assert [r.record_id for r in sorted(L.scan(spark, both, strict=False).collect(), key=lambda r: tuple(r.seq))] == [*want, "x"]
+    assert {r.seq.path for r in L.scan(spark, both, strict=False).where("record_id = 'x'").collect()} == {1}
+    with pytest.raises(Exception, match="a.jsonl, line 3 from byte 0"):
+        L.scan(spark, both).collect()
+    assert L.scan(spark, [a], "battery", strict=False).count() == 0
+    (tmp_path / "none").mkdir()
+    assert L.scan(spark, [str(tmp_path / "none")]).count() == 0
+
+
 def test_a_foreign_choice_is_answered_without_position(spark, tmp_path):
     r = from_records(S.read_records(spark, write(tmp_path / "a.jsonl", [line(welfare_choice="z")]))).first()
     assert r.answered and r.chosen_position is None and not r.chose_a
@@ -152,9 +175,6 @@ def test_both_result_shapes(spark):
     lines = spark.createDataFrame([(json.dumps(r),) for r, _ in RESULTS] + [("  ",)], "value string")
     got = {r.custom_id: (r.text, r.error, r.refused) for r in S.decoded(lines).collect()}
     assert got == {r["custom_id"]: want for r, want in RESULTS}
-    cells = spark.createDataFrame([(f"k{i}",) for i in range(1, 11)], "cell_key string")
-    known, stray = S.collected(S.decoded(lines), cells)
-    assert known.count() == 10 and stray.first().unmatched == 1
     with pytest.raises(Exception, match="unknown result shape"):
         S.decoded(spark.createDataFrame([('{"custom_id": "x", "other": 1}',)], "value string")).collect()
     with pytest.raises(Exception, match="MALFORMED|[Mm]alformed"):
@@ -189,7 +209,7 @@ def test_shards_respect_both_caps(spark):
                 shard, n, total = shard + 1, 0, 0
             n, total = n + 1, total + own
             want[r.cell_key] = shard
-        assert {r.cell_key: r.shard for r in S.sharded(rows, most, size).collect()} == want
+        assert {r.cell_key: r.shard for r in batches.sharded(rows, most, size).collect()} == want
 
 
 def test_requests_say_what_each_provider_takes(spark):

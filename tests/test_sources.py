@@ -10,7 +10,7 @@ from joust.operators import administer as A
 from joust.operators import choices as C
 from joust.operators import design as G
 from joust.schemas import OTHER
-from joust.sources import banks, reports
+from joust.sources import banks, batches, reports
 from joust.sources import records as S
 
 
@@ -111,12 +111,58 @@ def test_administration_resumes_and_keeps_errors_as_rows(spark):
     assert good.where("choice <> element_at(letter_map, 'B')").count() == 0
 
 
-def test_request_files(spark, tmp_path):
-    lines = S.requests(cells(spark), "params")
-    reports.to_body(lines, str(tmp_path / "b.json"))
-    assert len(json.load(open(tmp_path / "b.json"))) == lines.count()
-    meta = json.loads(reports.sidecar(lines, S.sharded(lines, 10, 10**6)).first().meta)
-    assert meta["cells_planned"] == lines.count() and meta["files"] == -(-lines.count() // 10)
+SPEC = "model string, ref string, generation string, temperature double, max_tokens int"
+
+
+def specs(spark, *rows):
+    rest = {"family": "string", "released": "date", "kind": "string", "quant_format": "string", "quant": "string", "backend": "string", "in_window": "boolean", "reasoning_control": "string", "thinks_by_default": "boolean"}
+    return spark.createDataFrame([*rows], SPEC).withColumns({k: F.lit(None).cast(v) for k, v in rest.items()})
+
+
+def test_request_files_and_their_sidecars(spark, tmp_path):
+    x, of = cells(spark), specs(spark, ("M", "m-1", "claude-5", 0.7, 16))
+    n = x.count()
+    batches.build(x, of, "params", str(tmp_path / "p"), config_hash="h", backend="api", caps=(40, 10**6))
+    files = sorted(p.name for p in (tmp_path / "p").iterdir() if not p.name.startswith("."))
+    assert files == ["M.params.meta.json", *(f"M.params.part{i + 1:02d}.batch.jsonl" for i in range(-(-n // 40)))]
+    meta = json.load(open(tmp_path / "p" / "M.params.meta.json"))
+    assert [*meta] == batches.SIDECAR and meta["requests_written"] == meta["cells_planned"] == n and meta["cells_skipped_already_done"] == 0
+    assert (meta["temperature_sent"], meta["temperature_recorded"], meta["endpoint"], meta["reasoning_applied"]) == (None, 1.0, "/v1/messages", "disabled")
+    for f in meta["files"]:
+        raw = (tmp_path / "p" / f["path"]).read_bytes()
+        assert f["bytes"] == len(raw) and f["requests"] == raw.count(b"\n") and all(json.loads(v)["custom_id"] for v in raw.splitlines())
+    # one JSON body, and the other style
+    batches.build(x, of, "body", str(tmp_path / "b"), array=True)
+    body = json.load(open(tmp_path / "b" / "M.body.body.json"))
+    assert len({r["custom_id"] for r in body["requests"]}) == n
+    with pytest.raises(ValueError, match="same file name"):
+        batches.build(x, specs(spark, ("M/", "m", "", 0.7, 16), ("M?", "m", "", 0.7, 16)), "body", str(tmp_path / "c"))
+
+
+def test_results_fold_into_records_once(spark, tmp_path):
+    x, of, store = cells(spark), batches.prepared(specs(spark, ("M", "m-1", "claude-4.5", 0.7, 16)), "params"), str(tmp_path / "store")
+    keys = [r.cell_key for r in x.orderBy("cell_key").select("cell_key").collect()]
+
+    def result(key, text="A", stop="end_turn", kind="succeeded"):
+        return (json.dumps({"custom_id": key, "result": {"type": kind, "message": {"stop_reason": stop, "content": [{"type": "text", "text": text}]}}}),)
+
+    lines = [result(keys[0]), result(keys[1], "B"), result(keys[2], "part", "refusal"), result(keys[3], kind="errored"), result(keys[4], "hmm"), result(keys[5], "As an AI, I cannot choose"), result("stray")]
+    frame = spark.createDataFrame(lines, "value string")
+    want = {"rows": 6, "errors": 1, "refusals": 2, "parse_failures": 2, "unmatched": 1}
+    for _ in range(2):
+        assert batches.collect(frame, "batch/1", x, of, store) == want
+    got = {r.key: r for r in S.read_records(spark, store, "welfare").withColumn("key", S.record_key()).collect()}
+    assert len(got) == 6 and set(got) <= set(keys)
+    assert (got[keys[0]].welfare_choice, got[keys[0]].parsed_rating, got[keys[0]].modal_rating, got[keys[0]].reasoning_applied) == (got[keys[0]].welfare_options["A"], 1.0, 1.0, "omitted(off)")
+    assert (got[keys[2]].notes, got[keys[2]].refusal_flag, got[keys[2]].parse_failed, got[keys[2]].raw_output) == ("refusal: provider policy decline", True, True, "part")
+    assert (got[keys[3]].notes, got[keys[3]].refusal_flag, got[keys[3]].raw_output) == ("error: errored: null", False, "")
+    assert got[keys[4]].parse_failed and not got[keys[4]].refusal_flag and got[keys[5]].refusal_flag
+    # an error is asked again, everything else is done
+    batches.build(x, specs(spark, ("M", "m-1", "claude-4.5", 0.7, 16)), "params", str(tmp_path / "p"), store)
+    meta = json.load(open(tmp_path / "p" / "M.params.meta.json"))
+    assert meta["cells_skipped_already_done"] == 5 and keys[3] in (tmp_path / "p" / "M.params.batch.jsonl").read_text()
+    assert batches.collect(spark.createDataFrame([result(keys[3])], "value string"), "batch/2", x, of, store)["rows"] == 1
+    assert S.read_records(spark, store).count() == 7
 
 
 def test_guards():
