@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schemas import BASELINE, CONDITION
+from ..schemas import BASELINE, CONDITION, FACTORS
 from ..sources.fixture import GENERATIONS, MODELS
 
 BOOT, SPLIT, PERM, CONDITION_BOOT = 2000, 200, 5000, 200
@@ -197,7 +197,7 @@ c as ({contrast_body(factor)})
 select c.*, {top} as reliability_ceiling, c.r / nullif({top}, 0) as r_corrected from c {side('ra', 'level_a')} {side('rb', 'level_b')}"""
 
 
-CONTRAST_SUMMARY = f"with {ESTIMATES},\n" + ",\n".join(f"c_{f} as ({contrast_body(f)})" for f in ("qvar", "object", "subject")) + "\n--\nselect factor, level_a, level_b, count(*) as n, avg(r) as mean_r, min(r) as min_r, avg(mean_abs_shift) as mean_abs_shift from (" + " union all ".join(f"select factor, level_a, level_b, r, mean_abs_shift from c_{f}" for f in ("qvar", "object", "subject")) + ") group by 1, 2, 3"
+CONTRAST_SUMMARY = f"with {ESTIMATES},\n" + ",\n".join(f"c_{f} as ({contrast_body(f)})" for f in FACTORS) + "\n--\nselect factor, level_a, level_b, count(*) as n, avg(r) as mean_r, min(r) as min_r, avg(mean_abs_shift) as mean_abs_shift from (" + " union all ".join(f"select factor, level_a, level_b, r, mean_abs_shift from c_{f}" for f in FACTORS) + ") group by 1, 2, 3"
 PARITY = f"""with {VIEW},
 numbered as (select *, row_number() over (partition by {P} order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 as trial from choices),
 e as (select model, qvar, trial % 2 as h, a, b, count(*) filter (where chose_a)::double / nullif(count(*) filter (where chose_a or chose_b), 0) as p from numbered where answered group by 1, 2, 3, 4, 5),
@@ -266,14 +266,18 @@ ap as (select * from sp where n_rows >= 8),
 al as (select model, ix, a as entity, p as base, q as flip from ap union all select model, ix, b, 1 - p, 1 - q from ap)"""
 
 
-SHIFTS = f"""{ESTIMATES},
-{aligned('qvar')},
+def shifts(factor: str) -> str:
+    return f"""{ESTIMATES},
+{aligned(factor)},
 {draws('ap', 'model', BOOT, 17)},
 dd as (select model, rep, entity, avg(flip - base) as d from drawn join al using (model, ix) group by 1, 2, 3),
 bands as (select model, entity, {ends('d', 'shift_lo', 'shift_hi')}, {boot_p('d')} as p from dd group by 1, 2),
 point as (select model, entity, avg(base) as win_baseline, avg(flip) as win_flip, avg(flip) - avg(base) as shift, count(*) as n_pairs from al group by 1, 2),
-pre as (select point.*, shift_lo, shift_hi, p, 'qvar' as factor from point left join bands using (model, entity)),
+pre as (select point.*, shift_lo, shift_hi, p, '{factor}' as factor from point left join bands using (model, entity)),
 shifts as (select * from {fdr('pre', 'model', 'entity')})"""
+
+
+SHIFTS = shifts("qvar")
 SHIFT = f"with {SHIFTS}\n--\nselect * from shifts"
 CONSTRUCT_SHIFT = f"with {SHIFTS}\n--\nselect model, factor, construct, avg(shift) as mean_shift, min(shift) as min_shift, max(shift) as max_shift, count(shift) as n, count(*) filter (where q < 0.05) as n_moved from shifts left join ent using (entity) group by 1, 2, 3"
 
@@ -297,8 +301,9 @@ s as (select model, factor, count(*) as n_attributes, avg(abs(shift)) as mean_ab
 select *, case when reliability_baseline * reliability_flip >= 0 then sqrt(greatest(reliability_baseline * reliability_flip, 0)) end as ceiling,
   pearson_r / nullif(case when reliability_baseline * reliability_flip >= 0 then sqrt(greatest(reliability_baseline * reliability_flip, 0)) end, 0) as r_over_ceiling from s left join mb using (model) left join rel using (model)"""
 WITHIN = f"({corr('base0', 'base1')} + {corr('flip0', 'flip1')}) / 2 as within_r, ({corr('base0', 'flip1')} + {corr('flip0', 'base1')}) / 2 as cross_r"
-GAP = f"""with {ESTIMATES},
-{aligned('qvar')},
+def gap_of(factor: str) -> str:
+    return f"""with {ESTIMATES},
+{aligned(factor)},
 {halves('ap', SPLIT, 18)},
 {draws('ap', 'model', BOOT, 17, 'thin', True)},
 f1 as ({four('split')}), f2 as ({four('thin')}),
@@ -307,7 +312,10 @@ pt as (select model, avg(within_r) as r_within_half, avg(cross_r) as r_cross_hal
 gg as (select model, within_r - cross_r as g from g2),
 bd as (select model, {ends('g', 'gap_lo', 'gap_hi')}, {boot_p('g')} as gap_p from gg group by 1)
 --
-select *, r_within_half - r_cross_half as gap, 'qvar' as factor from pt left join bd using (model)"""
+select *, r_within_half - r_cross_half as gap, '{factor}' as factor from pt left join bd using (model)"""
+
+
+GAP = gap_of("qvar")
 REST = " and ".join(f"{k} = {str(v).lower() if isinstance(v, bool) else repr(v)}" for k, v in BASELINE.items() if k != "subject")
 METRIC_SHIFT = f"""with {STATS},
 mb as (select * from stats where {REST} and subject = 'self'), mf as (select * from stats where {REST} and subject <> 'self'),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +13,7 @@ from ..operators import choices as C
 from ..operators import cohort as H
 from ..operators import design as G
 from ..operators import ranking as R
-from ..schemas import BASELINE, CONDITION, PAIR
+from ..schemas import BASELINE, CONDITION, FACTORS, PAIR
 from ..sources import fixture, records
 from . import oracle as Q
 from .query import Query
@@ -115,7 +118,7 @@ def rendered(spark, d):
 
 def contrasts(spark, d):
     w = wins(spark, d)
-    return R.contrast(w, "qvar").drop("object", "subject", "no_pref_offered", "model").unionByName(R.contrast(w, "object").drop("qvar", "subject", "no_pref_offered", "model")).unionByName(R.contrast(w, "subject").drop("qvar", "object", "no_pref_offered", "model"))
+    return functools.reduce(DataFrame.unionByName, [R.contrast(w, f).drop(*[c for c in CONDITION if c != f]) for f in FACTORS])
 
 
 def mock(spark, d):
@@ -146,6 +149,8 @@ QUERIES: dict[str, Query] = {
     "q_transitivity": Query(lambda s, d: C.transitivity(est(s, d)), COND, "n_nodes n_pairs triads cyclic strict_triads", "transitivity strict_transitivity", Q.TRANSITIVITY),
     "q_transitivity_by_model": Query(lambda s, d: C.transitivity_by_model(C.transitivity(est(s, d))), "model", "triads cyclic", "transitivity strict_transitivity", Q.TRANSITIVITY_BY_MODEL),
     **{f"q_contrast_{n}": Query(lambda s, d, f=f: R.contrast(wins(s, d), f, R.reliability(est(s, d), CONDITION, SPLIT)), " ".join(c for c in CONDITION if c != f) + " level_a level_b factor", "n_attributes", "r mean_shift mean_abs_shift reliability_ceiling r_corrected", Q.contrast(f)) for n, f in (("qvar", "qvar"), ("object", "object"), ("subject", "subject"), ("arm", "no_pref_offered"))},
+    **{f"q_shift_{n}": Query(lambda s, d, f=f: R.shift(est(s, d), f, n_boot=BOOT), "model entity factor", "n_pairs", "win_baseline win_flip shift shift_lo shift_hi p q", f"with {Q.shifts(f)}\n--\nselect * from shifts") for n, f in (("object", "object"), ("subject", "subject"), ("arm", "no_pref_offered"))},
+    **{f"q_gap_{n}": Query(lambda s, d, f=f: R.gap(est(s, d), f, n_boot=BOOT, n_split=SPLIT), "model factor", "", "r_within_half r_cross_half gap gap_lo gap_hi gap_p", Q.gap_of(f)) for n, f in (("object", "object"), ("subject", "subject"), ("arm", "no_pref_offered"))},
     "q_contrast_summary": Query(lambda s, d: R.contrast_summary(contrasts(s, d)), "factor level_a level_b", "n", "mean_r min_r mean_abs_shift", Q.CONTRAST_SUMMARY),
     "q_parity_reliability": Query(lambda s, d: R.parity_reliability(ch(s, d, True), ["model", "qvar"]), "model qvar", "", "reliability", Q.PARITY),
     "q_condition_agreement": Query(condition_agreement, "model label_a label_b", "n_attributes", "pearson_r spearman_r mean_abs_shift ceiling r_over_ceiling", Q.CONDITION_AGREEMENT),
