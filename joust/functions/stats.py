@@ -59,10 +59,46 @@ def two_sided(x: str, null: float = 0.0) -> Column:
 
 
 def step_up(df: DataFrame, p: str, keys: list[str], out: str = "q", tie: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg q-values within keys; null p have null q and do not count."""
+    """Benjamini-Hochberg q-values within keys; null p have null q and do not count. For groups of a row an entity."""
     by = Window.partitionBy(*keys, F.col(p).isNull())
-    rising = by.orderBy(F.col(p), *(tie or []))
-    raw = F.col(p) * F.count("*").over(by) / F.row_number().over(rising)
-    x = df.withColumn("__raw", raw)
-    q = F.min("__raw").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    return x.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("__raw")
+    x = df.withColumn("__at", F.row_number().over(by.orderBy(F.col(p), *(tie or []))))
+    x = x.withColumn("__raw", F.col(p) * F.count("*").over(by) / F.col("__at"))
+    # from the greatest p down: a frame that ends with its group is computed anew for each row
+    q = F.min("__raw").over(by.orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("__raw", "__at")
+
+
+#: Steps of p in a doubling.
+STEPS = 64
+
+
+def step_up_rows(df: DataFrame, p: str, keys: list[str], out: str = "q") -> DataFrame:
+    """The same for groups of any number of rows, none of which is one task's. Equal p have equal q, whatever their order,
+    so distinct values are ranked, step by step of their logarithm (of uniform p a step holds a hundredth at most); what
+    lies below and above a step is carried over in a row a step."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    same = df.where(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    same = same.withColumn("__step", F.when(F.col("__p") > 0, F.floor(-STEPS * F.log2("__p"))).otherwise(2**62))
+
+    def carried(x: DataFrame, steps: DataFrame, *values: str) -> DataFrame:
+        right = steps.select(*[F.col(c).alias(f"{c}_") for c in [*names, "__step"]], *values)
+        at = F.col("__step") == F.col("__step_")
+        for n in names:
+            at = at & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        return x.join(right, at).drop(*[f"{c}_" for c in [*names, "__step"]])
+
+    every, one = Window.partitionBy(*names), Window.partitionBy(*names, "__step")
+    steps = same.groupBy(*names, "__step").agg(F.sum("__n").alias("__in"))
+    below = F.coalesce(F.sum("__in").over(every.orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = carried(same, steps.withColumn("__below", below).withColumn("__all", F.sum("__in").over(every)), "__below", "__all")
+    rank = F.col("__below") + F.sum("__n").over(one.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("__raw", F.col("__p") * F.col("__all") / rank)
+    above = F.min("__least").over(every.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1))
+    least = x.groupBy(*names, "__step").agg(F.min("__raw").alias("__least")).withColumn("__above", above)
+    x = carried(x, least, "__above")
+    own = F.min("__raw").over(one.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.select(*names, "__p", F.least(F.lit(1.0), own, F.col("__above")).alias(out))
+    at = F.col(p) == F.col("__p")
+    for k, n in zip(keys, names):
+        at = at & F.col(k).eqNullSafe(F.col(n))
+    return df.join(x, at, "left").drop(*names, "__p")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.stats import step_up
+from ..functions.stats import step_up_rows
 from ..operators import choices as C
 from ..operators import cohort as H
 from ..operators import design as G
@@ -104,7 +104,7 @@ def q_softmax(spark, d):
 def q_fdr(spark, d):
     x = fixture.table(spark, d, "part").select("p_partkey")
     x = x.withColumn("p", F.when(F.col("p_partkey") % 7 != 0, ((F.col("p_partkey") * 7919) % 10007).cast("double") / 10007)).withColumn("g", F.col("p_partkey") % 4)
-    return step_up(x, "p", ["g"], "q", ["p_partkey"]).withColumn("stars", F.when(F.col("q").isNotNull(), T.stars(F.col("q"))))
+    return step_up_rows(x, "p", ["g"], "q").withColumn("stars", F.when(F.col("q").isNotNull(), T.stars(F.col("q"))))
 
 
 def ratings(spark, d):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joust.functions.stats import interval, mean_rank, pearson, step_up, two_sided
+from joust.functions.stats import interval, mean_rank, pearson, step_up, step_up_rows, two_sided
 from joust.operators import choices as C
 from joust.operators import cohort as H
 from joust.operators import ranking as R
@@ -98,6 +98,24 @@ def test_step_up_ignores_nulls_and_is_monotone(spark):
     assert got[5] is None and got[:2] == pytest.approx([0.005, 0.025]) and got[:5] == sorted(got[:5]) and all(q >= v for q, v in zip(got, p[:5]))
 
 
+@pytest.mark.parametrize("rows", [step_up, step_up_rows])
+def test_step_up_of_many_rows_equals_the_definition_in_one_pass(spark, rows):
+    rng = np.random.default_rng(4)
+    some = [0.0, 1e-300, 1e-9, 0.5, 0.5, 1.0, 1.0, None]
+    data = [(k, float(v)) for k, v in enumerate(rng.random(300) ** 3)] + [(300 + k, v) for k, v in enumerate(some)]
+    df = spark.createDataFrame([(g, i, v) for g in (None, "a") for i, v in data] + [("b", 0, 0.03), ("c", 0, None)], "g string, i int, p double")
+    got = rows(df, "p", ["g"], "q")
+    assert got.columns == ["g", "i", "p", "q"] and "currentrow$(), unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    got = got.collect()
+    assert len(got) == df.count() and all(r.q is None for r in got if r.p is None)
+    v = np.sort([p for _, p in data if p is not None])
+    raw = v * len(v) / np.arange(1, len(v) + 1)
+    for g in (None, "a"):
+        want = {p: min(1.0, raw[k:].min()) for k, p in reversed([*enumerate(v)])}
+        assert {(r.p, r.q) for r in got if r.g == g and r.p is not None} == {*want.items()}
+    assert [r.q for r in got if r.g == "b"] == [0.03]
+
+
 def test_interval_and_p(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
     lo, hi = interval("x")
