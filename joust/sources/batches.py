@@ -22,7 +22,7 @@ from ..functions.text import letter_answer
 from ..operators.administer import full_record
 from ..session import fresh
 from .banks import safe_name
-from .records import CAPS, ENDPOINT, NO_TEMPERATURE, decoded, done_keys, pending, read_records, reasoning_applied, record_key, requests
+from .records import CAPS, ENDPOINT, NO_TEMPERATURE, STORE, decoded, done_keys, pending, read_records, reasoning_applied, record_key, requests
 
 #: The endpoint of the style whose system text is a field, the note of a decline, and the temperature that
 #: is recorded where a request sends none.
@@ -278,5 +278,5 @@ def collect(lines: DataFrame, result_id: str, cells: DataFrame, specs: DataFrame
         seen, count(F.col("matched")).alias("rows"), count(F.col("matched") & F.col("error").isNotNull()).alias("errors"), count(F.col("matched") & F.col("refused")).alias("refusals"),
         count(fine & F.col("parse_failed")).alias("parse_failures"), count(~F.col("matched")).alias("unmatched"),
     )
-    full_record(x.where("matched"), specs).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{store}/results={folder_name(result_id)}")
+    full_record(x.where("matched"), specs).write.mode("overwrite").options(**STORE).json(f"{store}/results={folder_name(result_id)}")
     return dict(seen.get)

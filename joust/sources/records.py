@@ -147,8 +147,13 @@ def known_models(wanted: list[str], specs: DataFrame) -> None:
         raise ValueError(f"unknown models: {', '.join(unknown)}; known: {', '.join(sorted(known))}")
 
 
+#: Every field of a record is written, most of them null: text that repeats itself, a fiftieth of it compressed. A
+#: compressed file is one task's to read, so it holds few records.
+STORE = {"ignoreNullFields": "false", "compression": "gzip", "maxRecordsPerFile": 200_000}
+
+
 def write_records(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    df.write.mode("append").options(**STORE).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Parsing, design and the record store."""
 
+import gzip
 import json
 import random
 
@@ -136,6 +137,20 @@ def test_scans_know_the_place_of_a_line(spark, tmp_path):
     assert L.scan(spark, [str(tmp_path / "none")]).count() == 0
 
 
+def test_a_store_is_compressed_and_read_back_whole_with_places(spark, tmp_path):
+    rows = S.read_records(spark, write(tmp_path / "a.jsonl", [line(record_id=f"{i:04}", notes="é" * (i % 5)) for i in range(3000)]))
+    store = str(tmp_path / "store")
+    S.write_records(rows.coalesce(1), store)
+    [file] = [f for f in (tmp_path / "store").iterdir() if f.name.startswith("part-")]
+    assert file.stat().st_size * 20 < 3000 * 1000
+    assert sorted(map(repr, S.read_records(spark, store).collect())) == sorted(map(repr, rows.collect()))
+    got = sorted(L.scan(spark, [store], size=64).collect(), key=lambda r: tuple(r.seq))
+    assert [r.record_id for r in got] == [f"{i:04}" for i in range(3000)]
+    text = gzip.open(file).read()
+    assert all(text[r.seq.offset :].startswith(b'{"record_id":"%s"' % r.record_id.encode()) for r in got[::500])
+    assert sorted(r.line for r in L.numbered(L.read_lines(spark, [store], 64)).collect()) == [*range(1, 3001)]
+
+
 def test_a_foreign_choice_is_answered_without_position(spark, tmp_path):
     r = from_records(S.read_records(spark, write(tmp_path / "a.jsonl", [line(welfare_choice="z")]))).first()
     assert r.answered and r.chosen_position is None and not r.chose_a
