@@ -75,8 +75,7 @@ def scan_places(spark, d):
     for part in (0, 1):
         own = x.where(F.col("o_custkey") % 2 == part).repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey").select("value")
         paths.append(written(spark, own, "places"))
-    places = jsonl.numbered(jsonl.read_lines(spark, paths, 50_000)).select(F.struct("path", "file", "offset").alias("seq"), "line")
-    got = jsonl.scan(spark, paths, strict=False, size=50_000).join(places, "seq")
+    got = jsonl.scan(spark, paths, strict=False, size=50_000, places=True)
     return got.select("model_id", "record_id", "notes", "module", F.col("seq.path").alias("path"), F.col("seq.offset").alias("at_byte"), "line")
 
 

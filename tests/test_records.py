@@ -137,6 +137,19 @@ def test_scans_know_the_place_of_a_line(spark, tmp_path):
     assert L.scan(spark, [str(tmp_path / "none")]).count() == 0
 
 
+def test_small_ranges_share_tasks_and_lines_are_not_shuffled_for_their_numbers(spark, tmp_path):
+    a = write(tmp_path / "a.jsonl", [line(record_id=str(i), notes="é" * (i % 7)) for i in range(400)])
+    b = write(tmp_path / "b.jsonl", [line(record_id=str(i)) for i in range(400, 700)])
+    assert L.read_lines(spark, [a, b], 100).rdd.getNumPartitions() <= 40
+    got = L.scan(spark, [a, b], size=100, places=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [(r.record_id, r.seq.path, r.line) for r in sorted(got.collect(), key=lambda r: tuple(r.seq))] == [(str(i), int(i >= 400), i % 400 + 1) for i in range(700)]
+    assert {(r.record_id, r.line, r.seq.offset) for r in L.scan(spark, [a, b], places=True).collect()} == {(r.record_id, r.line, r.seq.offset) for r in got.collect()}
+    counts = L.read_lines(spark, [a, b], 100, counts=True).groupBy("path").sum("n").collect()
+    assert {tuple(r) for r in counts} == {(0, 400), (1, 300)}
+
+
 def test_a_store_is_compressed_and_read_back_whole_with_places(spark, tmp_path):
     rows = S.read_records(spark, write(tmp_path / "a.jsonl", [line(record_id=f"{i:04}", notes="é" * (i % 5)) for i in range(3000)]))
     store = str(tmp_path / "store")
