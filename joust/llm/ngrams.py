@@ -341,19 +341,21 @@ def dealt(size, *key) -> F.Column:
     return F.pmod(F.xxhash64(*key), blocks(size)).cast("int")
 
 
-def apart(members: DataFrame, unsettled: DataFrame, comps: DataFrame) -> DataFrame:
+def apart(members: DataFrame, unsettled: DataFrame, comps: DataFrame, outside: bool = False) -> DataFrame:
     """token, i, b, role, s, comp: the groups that still hold several components, of those that are unsettled or of more
     than a block (in the others the first round has proposed all). A group of more than a block is walked
-    by those outside of its largest component, each block of them in each block of the group."""
+    by those outside of its largest component, each block of them in each block of the group; with outside, so is every
+    group."""
     left = members.join(unsettled.withColumn("open", F.lit(True)), "token", "left").where(F.col("open") | (F.col("size") > BLOCK)).drop("open")
     known = left.join(comps.select(F.col("node").alias("s"), "comp"), "s", "left").withColumn("comp", F.coalesce("comp", "s"))
     known = stored(known, "ngram-members")
     mixed = known.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy(F.col("token").alias("__t"))
     mixed = mixed.agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1").select("__t", F.col("most.comp").alias("top"), F.col("most.n").alias("in_top"))
     rows = known.join(stored(mixed, "ngram-mixed"), F.col("token") == F.col("__t"))
-    small = rows.where(F.col("size") <= BLOCK).select("token", F.lit(0).alias("i"), F.lit(0).alias("b"), F.lit(0).alias("role"), "s", "comp")
+    at_once = F.lit(not outside) & (F.col("size") <= BLOCK)
+    small = rows.where(at_once).select("token", F.lit(0).alias("i"), F.lit(0).alias("b"), F.lit(0).alias("role"), "s", "comp")
     rest = F.col("size") - F.col("in_top")
-    large = rows.where(F.col("size") > BLOCK)
+    large = rows.where(~at_once)
     asked = large.select("token", F.explode(F.sequence(F.lit(0), blocks(rest) - 1)).alias("i"), dealt(F.col("size"), "s").alias("b"), F.lit(1).alias("role"), "s", "comp")
     asks = large.where("comp <> top").select("token", dealt(rest, "s").alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("b"), F.lit(2).alias("role"), "s", "comp")
     return small.unionByName(asked).unionByName(asks)
@@ -387,19 +389,38 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per
     return stored(joined.mapInArrow(compare, "s long, other long"), "ngram-links")
 
 
-def linked(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, comp) of the sets that have links."""
+def linked(docs: DataFrame, sets: DataFrame, width: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of the sets that have links. known: (node, comp) of sets that are linked already; they are not compared
+    with each other again, and what is outside of a group's largest component asks the others."""
     members = groups(sets, percent)
-    rows = members.select("token", F.lit(0).alias("i"), dealt(F.col("size"), "s", "token").alias("b"), F.lit(0).alias("role"), "s", F.col("s").alias("comp"))
+    if known is None:
+        rows = members.select("token", F.lit(0).alias("i"), dealt(F.col("size"), "s", "token").alias("b"), F.lit(0).alias("role"), "s", F.col("s").alias("comp"))
+    else:
+        rows = stored(apart(members, members.select("token").distinct(), known, outside=True), "ngram-apart")
     found = walked(filled(rows, sets), percent, every=False)
     links = verified(docs, sets, found.where("s is not null").select("s", "other"), width, percent)
+    if known is not None:
+        links = links.unionByName(known.select(F.col("node").alias("s"), F.col("comp").alias("other")))
     first = stored(components(links, "s", "other"), "ngram-first")
-    rows = stored(apart(members, found.where("token is not null").select("token"), first), "ngram-apart")
+    rows = stored(apart(members, found.where("token is not null").select("token"), first, outside=known is not None), "ngram-apart")
     found = walked(filled(rows, sets), percent, every=True)
     more = verified(docs, sets, found.select("s", "other"), width, percent)
     return stored(components(links.unionByName(more), "s", "other"), "ngram-classes")
 
 
+def joined(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """(k, other): edges that join all texts of docs (k, text; k distinct) that are linked; those of one class meet in its
+    smallest k. known: (node, comp) of texts that are linked already. Texts without words are alike."""
+    rows = stored(encoded(docs.select(F.col("k").alias("doc_id"), "k", "text"), levels(counted(docs, width)), width, percent), "ngram-sets")
+    sets = rows.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    before = rows.where("n > 0").join(known, F.col("k") == F.col("node")).groupBy("s").agg(F.min("comp").alias("comp")).select(F.col("s").alias("node"), "comp")
+    comps = linked(docs, stored(sets, "ngram-distinct"), width, percent, stored(before, "ngram-known"))
+    named = rows.select("k", "s").join(comps, F.col("s") == F.col("node"), "left").select("k", F.coalesce("comp", "s", F.lit(-1)).alias("c"))
+    named = stored(named, "ngram-named")
+    least = named.groupBy(F.col("c").alias("__c")).agg(F.min("k").alias("other"))
+    return named.join(least, F.col("c") == F.col("__c")).where("k <> other").select("k", "other")
+
+
 def similar_sets(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, s (hash of the set, null without words), component_id (the smallest doc_id reachable over
     links, itself included) of every row; documents are linked if their sets of shingles of `width` words have percent of

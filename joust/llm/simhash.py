@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY, WORDS, CHECK = 5, 0.8, 3, 22
 ALL_BITS, FIRST_ROUNDS = 17, 2
 #: Partners that are compared with one shingle set in one task.
 PARTNERS = 1000
+#: Members of a key that are compared with each other, for each 2^20 texts begun: by chance a key has one a 2^20 texts.
+CROWD = 8
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -168,8 +170,8 @@ def op9_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar(df: DataFrame, ident: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """(k, comp): classes of texts, by hash k of the text, that are linked by a similarity of their sets of shingles;
-    texts without a link are left out. words: up to 4.
+    """(k, comp): classes of texts, by hash k of the text, that are linked by a similarity (in whole percent) of their sets
+    of shingles; texts without a link are left out. words: up to 4.
 
     Defined cases: null is the empty text; texts without words are alike; a text of fewer words than a shingle is one
     shingle; repeated rows and texts are one text; an empty table gives an empty result; other columns are not read.
@@ -193,7 +195,7 @@ def similar_texts(docs: DataFrame, width: int, similarity: float, words: int) ->
     w = Window.partitionBy("part", "other", "key")
     groups = entries.select("key", "k", "check", F.count("*").over(w).alias("size"), F.max(F.struct("n", "k", "check")).over(w).alias("pivot")).where("size > 1 and k <> pivot.k")
     groups = groups.select("key", "k", "check", "size", F.col("pivot.k").alias("pivot"), near(F.col("check"), F.col("pivot.check"), CHECK).alias("hit")).where("size > 2 or hit")
-    groups = stored(groups.drop("size"), "similar-groups")
+    groups = stored(groups, "similar-groups")
     # of those near their pivot in one word, the ones near it over all words
     total = lambda d: sum((F.bit_count(F.col(f"{c}").bitwiseXOR(F.col(f"{d}{c}"))) for c in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"{d}{names[0]}"))))
     theirs = fps.select(F.col("k").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
@@ -213,14 +215,26 @@ def similar_texts(docs: DataFrame, width: int, similarity: float, words: int) ->
         open_ = open_.join(direct.select(F.col("node").alias("k"), F.col("comp").alias("c")), "k", "left").join(direct.select(F.col("node").alias("other"), F.col("comp").alias("d")), "other", "left")
         open_ = stored(open_.where(F.coalesce("c", "k") != F.coalesce("d", "other")), "similar-open")
     of = lambda name, to: direct.select(F.col("node").alias(name), F.col("comp").alias(to))
-    known = groups.select("key", "k", "check", "pivot").join(of("k", "c"), "k", "left").join(of("pivot", "p"), "pivot", "left")
-    known = stored(known.select("key", "k", "check", F.coalesce("c", "k").alias("c"), F.coalesce("p", "pivot").alias("p")), "similar-known")
-    rest = known.where("c <> p").select("key", F.col("k").alias("x"), F.col("check").alias("seen"), F.col("c").alias("cx"))
-    other = rest.join(known, "key").where((F.col("cx") != F.col("c")) & ((F.col("c") == F.col("p")) | (F.col("x") < F.col("k"))) & near(F.col("seen"), F.col("check"), CHECK))
-    # what is left is compared as it is: no pair of texts that are still apart is dropped
+    known = groups.select("key", "k", "check", "pivot", "size").join(of("k", "c"), "k", "left").join(of("pivot", "p"), "pivot", "left")
+    known = stored(known.select("key", "k", "check", "size", F.coalesce("c", "k").alias("c"), F.coalesce("p", "pivot").alias("p")), "similar-known")
+    # groups of few are compared as they are: no pair of texts that are still apart is dropped
+    few_here = F.col("size") <= CROWD * (1 + fps.count() // (1 << 20))
+    rest = known.where(few_here & (F.col("c") != F.col("p"))).select("key", F.col("k").alias("x"), F.col("check").alias("seen"), F.col("c").alias("cx"))
+    other = rest.join(known.where(few_here), "key").where((F.col("cx") != F.col("c")) & ((F.col("c") == F.col("p")) | (F.col("x") < F.col("k"))) & near(F.col("seen"), F.col("check"), CHECK))
     other = other.select(F.col("x").alias("k"), F.col("k").alias("other")).distinct().join(fps.drop("n"), "k").join(theirs, "other")
     left = open_.select("k", "other").unionByName(other.where(total("o") <= ALL_BITS * words).select("k", "other")).distinct()
     links = links.unionByName(verified(docs, left, width, similarity))
+    # larger ones are no chance: near copies of one text, mostly too far from each other. All links among their texts are
+    # found by the prefixes of their sets, which grows with the texts and not with their pairs
+    large = known.where(~few_here)
+    crowd = large.join(large.where("c <> p").select("key").distinct(), "key", "left_semi")
+    crowd = stored(crowd.select("k").distinct(), "similar-crowd")
+    if not crowd.isEmpty():
+        from . import ngrams  # which has its shingles from here
+
+        texts = stored(docs.join(small(crowd), "k", "left_semi").dropDuplicates(["k"]), "similar-texts")
+        before = stored(components(links, "k", "other"), "similar-before")
+        links = links.unionByName(ngrams.joined(texts, before, width, round(100 * similarity)))
     return stored(components(links, "k", "other").select(F.col("node").alias("k"), "comp"), "similar")
 
 

@@ -108,6 +108,40 @@ def test_similar_texts_and_what_stays(spark):
     assert got == sorted([("1", "same text here"), ("None", "alone"), ("2", "alone again"), ("2", "another one")])
 
 
+def test_near_copies_too_far_from_each_other_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(changes):
+        words = base[:]
+        for i in rng.sample(range(150), changes):
+            words[i] = f"x{rng.random()}"
+        return " ".join(words)
+
+    texts = list(dict.fromkeys([" ".join(base), *(copy(rng.choice([1, 2, 4, 5])) for _ in range(150)), "", " ", "\n"]))
+    compared, plain = [], simhash.verified
+
+    def verified(docs, pairs, *more):
+        compared.append(pairs.count())
+        return plain(docs, pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", verified)
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    few = {r.k: r.comp for r in simhash.similar(frame(spark, texts)).collect()}
+    pairs, compared[:] = sum(compared), []
+    monkeypatch.setattr(simhash, "CROWD", 1 << 30)  # every pair of a key
+    every = {r.k: r.comp for r in simhash.similar(frame(spark, texts)).collect()}
+    assert pairs * 2 < sum(compared)
+    # no link that pairs show is lost
+    assert {*every} <= {*few} and all(few[k] == few[c] for k, c in every.items())
+    keys = {t: k for t, k in spark.createDataFrame([(t,) for t in texts], "text string").select("text", simhash.text_key("text")).collect()}
+    want = brute_similar(texts)
+    for i, a in enumerate(texts):
+        for j in range(i):
+            both = few.get(keys[a]) is not None and few.get(keys[a]) == few.get(keys[texts[j]])
+            assert not both or want[i] == want[j]
+
+
 def test_long_fingerprints_equal_the_definition():
     for t in TEXTS:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ")
