@@ -30,7 +30,8 @@ SHARE = 0.8
 STRETCH = 13
 #: Benchmark windows are broadcast up to so many (16 bytes each); beyond that both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-BLANK = r"[\x20\x09-\x0D]+"
+#: White space that is no single space: most is one, and stays as it is.
+BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Punctuation around a slot's value.
 AROUND = r"""^["'(\[]+|(?:['’]s)?[.,;:!?)"'\]]*$"""
 #: What counts as a unit after a number; a parameter of the template, lower case.
@@ -53,10 +54,11 @@ def template(line: Column) -> Column:
     """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
     # each step is used once, as a condition on it would compute it again
     x = F.regexp_replace(line, rf"(?<![^ ])(?:[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?|{SPELLED})", "<n>")
-    x = F.regexp_replace(x, r"[\"'(]?(?<![^ ][\"'(]?)\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
-    x = F.regexp_replace(x, rf"(?<=<n> )(?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<u>")
+    # what most characters fail at comes first, as patterns are tried at each of them
+    x = F.regexp_replace(x, r"[\"'(]?(?=\p{Lu})(?<![^ ][\"'(]?)\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
+    x = F.regexp_replace(x, rf"<n> (?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<n> <u>")
     x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
-    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}<> ]+", "")
+    return F.regexp_replace(F.lower(x), r"[^a-z <>\p{L}\p{N}]+", "")
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -565,6 +566,14 @@ def test_names_at_the_start_and_spelled_numbers_are_slots(spark, item, text, fou
     assert bool(got.collect()) == found
 
 
+def test_single_spaces_are_no_match_and_templates_stay_the_same(spark):
+    assert not re.search(decontam.BLANK, "a b c") and re.sub(decontam.BLANK, " ", "\t a \n\n b  c\r") == " a b c "
+    texts = ["5 km, 6km 7", "<n> <n> m 3 kg.", "'Ann (Bob \"Carl d'Eve ÉLan Élan", "a\tb\n\n x<n> mm 12 mm"]
+    df = spark.createDataFrame([*enumerate(texts)], "i int, text string")
+    got = [" ".join(r[0]) for r in decontam.with_words(df, "text").orderBy("i").select("__words").collect()]
+    assert got == ["<n> <u> <n> <u> <n>", "<n> <u> <n> <u>", "ann bob carl deve élan <c>", "a b x<n> <u> <n> <u>"]
+
+
 def test_templates_of_capitals_and_spelled_numbers(spark):
     cases = {"Bob had seven apples": "<c> had <n> apples", "the one-eyed often won a tenth": "the oneeyed often won a tenth", "Twenty-one men, two": "<n> men <n>", "two three men": "<n> <m> men", "O'Neil (Ann) McX ÉTÉ Été I": "oneil <c>) mcx été <c> i"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", decontam.template(decontam.squeezed(F.col("t"))).alias("x")).collect()
