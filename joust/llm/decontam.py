@@ -31,7 +31,7 @@ STRETCH = 13
 #: Benchmark windows are broadcast up to so many (16 bytes each); beyond that both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 #: White space that is no single space: most is one, and stays as it is.
-BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D](?:(?<!\x20)[\x20\x09-\x0D]*|[\x20\x09-\x0D]+)"
 #: Punctuation around a slot's value.
 AROUND = r"""^["'(\[]+|(?:['’]s)?[.,;:!?)"'\]]*$"""
 #: What counts as a unit after a number; a parameter of the template, lower case.
@@ -52,13 +52,13 @@ def squeezed(text: Column, units: tuple[str, ...] = UNITS) -> Column:
 
 def template(line: Column) -> Column:
     """Of a squeezed line: as many words, some of them empty (punctuation), some placeholders; <m> continues one."""
-    # each step is used once, as a condition on it would compute it again
-    x = F.regexp_replace(line, rf"(?<![^ ])(?:[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?|{SPELLED})", "<n>")
-    # what most characters fail at comes first, as patterns are tried at each of them
-    x = F.regexp_replace(x, r"[\"'(]?(?=\p{Lu})(?<![^ ][\"'(]?)\p{Lu}\p{Ll}[\p{L}'-]*", "<c>")
+    # each step is used once, as a condition on it would compute it again; patterns are tried at each character, so they
+    # begin with one that most fail at: the space before a word, also before the first
+    x = F.regexp_replace(F.concat(F.lit(" "), line), rf" (?:[($€£+-]*\d[\d.,:/-]*(?:st|nd|rd|th)?|{SPELLED})", " <n>")
+    x = F.regexp_replace(x, r" \p{Lu}\p{Ll}[\p{L}'-]*", " <c>")
     x = F.regexp_replace(x, rf"<n> (?:{'|'.join(map(str, UNITS))})(?=[.,;!?]?(?: |$))", "<n> <u>")
-    x = F.regexp_replace(x, "|".join(rf"<{k}>(?<=(?:^| )<{k}> <{k}>)(?![\p{{L}}\p{{N}}<])" for k in "cn"), "<m>")
-    return F.regexp_replace(F.lower(x), r"[^a-z <>\p{L}\p{N}]+", "")
+    x = F.regexp_replace(x, r"<(?:c>(?<= <c> <c>)|n>(?<= <n> <n>))(?![\p{L}\p{N}<])", "<m>")
+    return F.substring(F.regexp_replace(F.lower(x), r"[\P{L}&&[^ <>\p{N}]]+", ""), 2, 2**31 - 1)
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -88,6 +88,14 @@ def hashed(words: Column, at: Column, width: int) -> Column:
     return F.when(at + width <= F.size(words), F.xxhash64(F.lit(width), *[F.get(words, at + k) for k in range(width)]))
 
 
+def windows(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(k, here, hash) of each window of those widths of docs: k, __words."""
+    # outer, though no text is without words: for the plain form the planner asks first whether there are any, which
+    # would compute the words twice
+    ours = docs.select("k", "__words", F.posexplode_outer("__words").alias("here", "__w"))
+    return ours.select("k", "here", F.explode(F.array(*[hashed(F.col("__words"), F.col("here"), n) for n in widths])).alias("hash")).where("hash is not null")
+
+
 def proposals(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """(k, i, shift) of equal windows; docs: k, __words, items: i, __words. A row a word and its windows stay inside
     code generation up to the join with the benchmark's hashes; only equal windows are shuffled."""
@@ -98,11 +106,9 @@ def proposals(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
         own = F.when(F.col("__width") == n, hashed(F.col("__words"), F.col("there"), n)).otherwise(own)
     theirs = items.select("i", "__width", "__words", F.posexplode("__words").alias("there", "__w")).select("i", "there", own.alias("hash")).where("hash is not null")
     theirs = stored(theirs, "benchmark-windows")
-    ours = docs.select("k", "__words", F.posexplode("__words").alias("here", "__w"))
-    ours = ours.select("k", "here", F.explode(F.array(*[hashed(F.col("__words"), F.col("here"), n) for n in widths])).alias("hash")).where("hash is not null")
     known = theirs.select("hash").distinct()
     known = F.broadcast(known) if theirs.count() <= BROADCAST_WINDOWS else known
-    return ours.join(known, "hash", "left_semi").join(theirs, "hash").select("k", "i", (F.col("here") - F.col("there")).alias("shift")).distinct()
+    return windows(docs, widths).join(known, "hash", "left_semi").join(theirs, "hash").select("k", "i", (F.col("here") - F.col("there")).alias("shift")).distinct()
 
 
 def slot(i: Column) -> Column:

@@ -580,3 +580,11 @@ def test_templates_of_capitals_and_spelled_numbers(spark):
     assert {r.t: r.x for r in rows}["Bob had seven apples"] == "<c> had <n> apples"
     assert {r.t: r.x for r in rows}["the one-eyed often won a tenth"] == "the oneeyed often won a tenth"
     assert {r.t: r.x for r in rows}["two three men"] == "<n> <m> men"
+
+
+def test_words_of_a_text_are_computed_once_for_its_windows(spark):
+    df = spark.createDataFrame([(1, "green ideas sleep"), (2, ""), (3, None)], "k long, text string")
+    got = decontam.windows(decontam.with_words(df, "text"), [1, 2])
+    # one split: no condition computes the words again
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.k, r.here) for r in got.collect()) == [(1, 0), (1, 0), (1, 1), (1, 1), (1, 2), (2, 0), (3, 0)]
